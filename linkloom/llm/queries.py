@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.llm import bpe, piece_counts, simhash, token_files
 from linkloom.llm import quality_rules as rules
-from linkloom.llm import simhash
+
+#: Places of the vocabulary files; any others of the same kinds do.
+WORD_BPE, BYTE_RANKS, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+END_ID = 1
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,9 +30,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(_read(spark, sf_dir, "documents"), WORD_BPE, END_ID).withColumnRenamed("id", "doc_id")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.piece_counts(_read(spark, sf_dir, "documents"), PIECES).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_files": op4_token_files,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op10_piece_counts": op10_piece_counts,
 }
 
 ORACLES: dict[str, str] = {}
