@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, piece_counts, simhash, token_files
+from linkloom.llm import bpe, piece_counts, simhash, token_files, warc
 from linkloom.llm import quality_rules as rules
+from linkloom.llm import top_k as search
 
 #: Places of the vocabulary files; any others of the same kinds do.
 WORD_BPE, BYTE_RANKS, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -38,6 +39,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digests(_read(spark, sf_dir, "pages"))
+
+
 def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.piece_counts(_read(spark, sf_dir, "documents"), PIECES).withColumnRenamed("id", "doc_id")
 
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_top_k": op8_top_k,
+    "op9_warc": op9_warc,
     "op10_piece_counts": op10_piece_counts,
 }
 
