@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, piece_counts, simhash, token_files, warc
+from linkloom.llm import bpe, compression_quality, piece_counts, simhash, token_files, warc
 from linkloom.llm import quality_rules as rules
 from linkloom.llm import top_k as search
 
@@ -39,6 +39,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = compression_quality.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = compression_quality.with_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", compression_quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_compression_quality": op7_compression_quality,
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_piece_counts": op10_piece_counts,
