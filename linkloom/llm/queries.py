@@ -8,19 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, compression_quality, piece_counts, simhash, token_files, warc
+from linkloom.llm import bpe, compression_quality, piece_counts, simhash, soft_mixing, token_files, warc
 from linkloom.llm import quality_rules as rules
 from linkloom.llm import top_k as search
 
 #: Places of the vocabulary files; any others of the same kinds do.
 WORD_BPE, BYTE_RANKS, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
 END_ID = 1
+#: Domains of the mixture and their shares of tokens; ``documents.lang`` labels the texts the classifier learns from.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    mixed = soft_mixing.mix(docs, docs, TARGETS, domain_col="lang", carry_text=False)
+    shares = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(TARGETS)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, _read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -60,6 +69,7 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
