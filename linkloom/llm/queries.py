@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, compression_quality, piece_counts, simhash, soft_mixing, token_files, warc
+from linkloom.llm import bpe, compression_quality, html_text, piece_counts, simhash, soft_mixing, token_files, warc
 from linkloom.llm import quality_rules as rules
 from linkloom.llm import top_k as search
 
@@ -44,6 +44,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(_read(spark, sf_dir, "documents"), WORD_BPE, END_ID).withColumnRenamed("id", "doc_id")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_html_text": op5_html_text,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_compression_quality": op7_compression_quality,
     "op8_top_k": op8_top_k,
