@@ -9,8 +9,9 @@ partition is the prefix sum of the token counts before it, so the place of a doc
 sequence is base plus offset; no task needs another's data. Readers map the files.
 
 Encoding: texts are cut at ASCII white space, which the tokenizer drops anyhow and no token spans;
-each distinct word goes through the tokenizer library once per worker and batch and its packed ids
-are kept, up to ``WORDS`` words.
+each distinct word goes through the tokenizer library once per worker and its packed ids are kept,
+up to ``WORDS`` words (about 200 bytes each). The tokenizer lower-cases, so A-Z are lowered first; not
+so in texts with combining marks, where composing before or after lowering may differ.
 
 Defined cases: null and empty texts have only the end id; equal ids keep the order of their text
 hashes; repeated rows are all written; other columns are ignored; an empty table writes an empty
@@ -32,10 +33,16 @@ from pyspark.sql.window import Window
 from linkloom.llm import files
 from linkloom.llm.store import Tables, new_path
 
-WORDS, _PART = 300_000, 512
+WORDS, _PART = 1_200_000, 512
 MANIFEST = "part int, tokens string, offsets string, ids string, n_docs long, n_null long, n_tokens long, width int"
 
 
+def words_of(data: bytes) -> list[bytes]:
+    """The words of a text, in lower case where that is sure to change no id."""
+    marks = b"\xcc" in data or b"\xcd" in data  # lead bytes of U+0300 to U+036F
+    return (data if marks else data.lower()).split()
+
+
 class WordEncoder(dict):
     """ASCII-blank-separated word to its packed ids."""
 
@@ -94,7 +101,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
             offsets.write(np.zeros(1, "<u8").tobytes())
             for batch in _then(first, batches):
                 for few in (batch.slice(at, _PART) for at in range(0, batch.num_rows, _PART)):
-                    words = [x.as_buffer().to_pybytes().split() if x.is_valid else [] for x in few.column(1).cast(pa.binary())]
+                    words = [words_of(x.as_buffer().to_pybytes()) if x.is_valid else [] for x in few.column(1).cast(pa.binary())]
                     own.learn(set().union(*words))
                     lengths = np.zeros(len(words), np.int64)
                     for k, each in enumerate(words):
