@@ -6,8 +6,10 @@ transducer reads a piece byte by byte. Its state holds the positions from which
 end later (a trie node each) with the tokens pending up to them. A byte moves the trie nodes; the
 one token that ends here after a position and fits its last token extends that position's tokens.
 Tokens that all live positions share are emitted: the lookahead is at most the longest token's
-length. States and transitions are made when first met and kept; the store is cleared at
-``STATES`` states, so memory is bounded. Whole pieces met before are remembered likewise.
+length. States and transitions are made when first met and kept, up to ``STATES`` states; beyond,
+the machine goes on from state to state without keeping them. Likewise up to ``PIECES`` whole pieces
+met are remembered. After ``STALE`` pieces that found no room both stores start anew, for texts that
+have changed.
 
 A piece that is itself a token is that token, as in the rank library. Null texts encode to no ids
 like empty ones; repeated rows and null ids pass through; other columns are ignored; texts are
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES, PIECES, PAIRS = 200_000, 400_000, 1_000_000
+STATES, PIECES, PAIRS, STALE = 150_000, 400_000, 500_000, 10_000_000
 _CHUNK, _LONG = 1 << 16, 1 << 20
 
 
@@ -36,12 +38,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The definition: merge the adjacent pair of least rank, leftmost first, until none is left."""
+def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 40) -> list[bytes]:
+    """The definition: merge the adjacent pair of least rank, leftmost first, until none is left that ranks below the limit."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         rank, at = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 40:
+        if rank >= below:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
@@ -66,76 +68,123 @@ class Transducer:
                     nodes += 1
                 node = nxt
             self.ends[node] = rank
-        self.own: dict[int, bool] = {}
+        self.spines: dict[int, tuple | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state((-1, ((0, ()),)))
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._state((-1, _FRESH))
 
     def _state(self, state: tuple) -> int:
         at = self.ids.get(state)
         if at is None:
             at = self.ids[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
         return at
 
+    def spine(self, token: int) -> tuple | None:
+        """((bytes, rank of the next merge), ...) up the left and the right edge of a token's merges; None if it isn't its own encoding."""
+        if token not in self.spines:
+            data = self.tokens[token]
+            if len(data) == 1:
+                found = ((data, token),), ((data, token),)
+            else:
+                parts = merge_by_rank(data, self.ranks, below=token)
+                ways = [self.spine(self.ranks[p]) for p in parts] if len(parts) == 2 else [None]
+                found = None if None in ways else ((*ways[0][0], (data, token)), (*ways[1][1], (data, token)))
+            self.spines[token] = found
+        return self.spines[token]
+
     def fits(self, left: int, token: int) -> bool:
-        """Whether the token stands by itself after left (-1: at the start)."""
-        known = self.own.get(token)
-        if known is None:
-            known = self.own[token] = len(merge_by_rank(self.tokens[token], self.ranks)) == 1
-        if not known or left < 0:
-            return known
+        """Whether the token stands by itself after left (-1: at the start).
+
+        Merges run by rank, so the pair breaks if a merge across the border ranks before those
+        that finish what it needs: walk up left's right edge and token's left edge in rank order.
+        """
         pair = (left, token)
         known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            a, b = self.tokens[left], self.tokens[token]
-            known = self.pairs[pair] = merge_by_rank(a + b, self.ranks) == [a, b]
+            known = self.pairs[pair] = self._fits(left, token)
         return known
 
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        anchor, live = self.states[at]
+    def _fits(self, left: int, token: int) -> bool:
+        own = self.spine(token)
+        if own is None or left < 0:
+            return own is not None
+        a, b, i, j, never = self.spine(left)[1], own[0], 0, 0, 1 << 40
+        while True:
+            up = a[i + 1][1] if i + 1 < len(a) else never
+            down = b[j + 1][1] if j + 1 < len(b) else never
+            across = self.ranks.get(a[i][0] + b[j][0], never)
+            if across < up and across <= down and across < never:
+                return False
+            if up == down == never:
+                return True
+            if up <= down:
+                i += 1
+            else:
+                j += 1
+
+    def _step(self, anchor: int, live: tuple, byte: int) -> tuple[int, tuple, tuple[int, ...]]:
+        """(last emitted token, live positions, tokens emitted) after a byte."""
+        child, ends, inner = self.child.get, self.ends.get, self.inner
         after, here = [], None
         for node, pending in live:
-            node = self.child.get(node << 8 | byte)
+            node = child(node << 8 | byte)
             if node is None:
                 continue
-            token = self.ends.get(node)
-            if here is None and token is not None and self.fits(pending[-1] if pending else anchor, token):
-                here = (*pending, token)
-            if node in self.inner:
+            if here is None:
+                token = ends(node)
+                if token is not None and self.fits(pending[-1] if pending else anchor, token):
+                    here = (*pending, token)
+            if node in inner:
                 after.append((node, pending))
+        if not after:
+            return here[-1], _FRESH, here
         after.append((0, here))
-        shared = 0
-        first = after[0][1]
+        first, shared = after[0][1], 0
         while shared < len(first) and all(len(p) > shared and p[shared] == first[shared] for _, p in after):
             shared += 1
-        out = first[:shared]
-        state = (out[-1] if out else anchor, tuple((n, p[shared:]) for n, p in after))
-        move = self.moves[at][byte] = (self._state(state), out)
+        if shared:
+            return first[shared - 1], tuple([(n, p[shared:]) for n, p in after]), first[:shared]
+        return anchor, tuple(after), ()
+
+    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        anchor, live, out = self._step(*self.states[at], byte)
+        move = self.moves[at << 8 | byte] = (self._state((anchor, live)), out)
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of a piece."""
-        if len(self.states) > STATES:
-            self._clear()
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        at, out = 0, []
-        for byte in piece:
-            at, emitted = self.moves[at].get(byte) or self._move(at, byte)
+        at, out, known, room = 0, [], self.moves.get, len(self.states) < STATES
+        for place, byte in enumerate(piece):
+            move = known(at << 8 | byte)
+            if move is None:
+                if not room:
+                    return self._unkept(*self.states[at], piece[place:], out)
+                move = self._move(at, byte)
+            at, emitted = move
             if emitted:
                 out += emitted
         return out + list(self.states[at][1][-1][1])
 
+    def _unkept(self, anchor: int, live: tuple, rest: bytes, out: list[int]) -> list[int]:
+        for byte in rest:
+            anchor, live, emitted = self._step(anchor, live, byte)
+            out += emitted
+        return out + list(live[-1][1])
+
+
+_FRESH = ((0, ()),)
+
 
 class Encoder(dict):
     """Piece to its ids as packed little-endian 32-bit integers."""
@@ -143,12 +192,19 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.machine, self.split = Transducer(ranks), regex.compile(pattern)
-        self.tokens = self.machine.tokens
+        self.tokens, self.missed = self.machine.tokens, 0
+        self.packed = {token: token.to_bytes(4, "little") for token in self.tokens}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
-        packed = self[piece] = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
+        packed = b"".join(map(self.packed.__getitem__, self.machine.encode(piece.encode())))
+        if len(self) < PIECES:
+            self[piece] = packed
+        else:
+            self.missed += 1
+            if self.missed > STALE:
+                self.clear()
+                self.machine._clear()
+                self.missed = 0
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -230,19 +286,21 @@ def decode_ids(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     return coded.mapInArrow(run, "id long, ids binary, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each text encoded and decoded again."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each text encoded and decoded again; with_ids adds the packed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
+        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+        for part in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
             rows = []
-            for x in batch.column(1):
+            for x in part.column(1):
                 packed, digest = own.encode(x.as_py() or ""), hashlib.sha256()
                 for text in decode(np.frombuffer(packed, "<u4").tolist(), own.tokens):
                     digest.update(text.encode())
-                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.record_batch([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), packed if with_ids else None))
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)]
+            yield pa.record_batch([part.column(0), *cols[: 4 if with_ids else 3]], names[: 5 if with_ids else 4])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kinds)
