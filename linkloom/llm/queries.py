@@ -86,5 +86,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_counts": op10_piece_counts,
 }
 
-ORACLES: dict[str, str] = {}
-PIPELINE_STAGES: list = []
+_OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, lang, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), g AS (
+  SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+), r AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (
+    SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c >= 2
+  ) GROUP BY rid
+), c AS (
+  SELECT w.rid, doc_id, lang, source, len(ws) AS n_words, length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r ON w.rid = r.rid
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+), x AS (
+  SELECT rid, lang, source, base_failed, unnest([
+    {'ratio': 'word_chars', 'v': CAST(floor(1000 * word_chars / greatest(n_words, 1)) AS BIGINT)},
+    {'ratio': 'symbols', 'v': CAST(floor(1000 * n_symbols / greatest(n_words, 1)) AS BIGINT)},
+    {'ratio': 'dup_lines', 'v': CAST(floor(1000 * n_dup_lines / greatest(n_lines, 1)) AS BIGINT)},
+    {'ratio': 'repeats', 'v': CAST(floor(1000 * n_repeat_words / greatest(n_words, 1)) AS BIGINT)}], recursive := true) FROM b
+), k AS (
+  SELECT lang, source, ratio, (v >> greatest(len(bin(v)) - 5, 0)) << greatest(len(bin(v)) - 5, 0) AS k FROM x WHERE NOT base_failed
+), own AS (
+  SELECT lang, source, ratio, quantile_disc(k, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM k GROUP BY ALL
+), lng AS (
+  SELECT lang, ratio, quantile_disc(k, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM k GROUP BY ALL
+), whole AS (
+  SELECT ratio, quantile_disc(k, [0.25, 0.5, 0.75]) AS q FROM k GROUP BY ALL
+), e AS (
+  SELECT own.lang, own.source, own.ratio, CASE WHEN own.n >= 200 THEN own.q WHEN lng.n >= 200 THEN lng.q ELSE whole.q END AS q,
+         CASE own.ratio WHEN 'word_chars' THEN 400 WHEN 'symbols' THEN 25 WHEN 'dup_lines' THEN 65 ELSE 40 END AS least
+  FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.ratio = lng.ratio JOIN whole ON own.ratio = whole.ratio
+), o AS (
+  SELECT DISTINCT rid FROM x JOIN e ON x.lang IS NOT DISTINCT FROM e.lang AND x.source IS NOT DISTINCT FROM e.source AND x.ratio = e.ratio
+  WHERE v > q[3] + 8 * greatest(q[3] - q[2], least) OR (x.ratio = 'word_chars' AND v < q[1] - 8 * greatest(q[2] - q[1], least))
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.rid IS NULL AS kept
+FROM b LEFT JOIN o ON b.rid = o.rid
+"""
+
+_OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+_OP9_SQL = """
+WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+#: The others are tested against brute force, libraries or held-out labels in tests/llm.
+ORACLES: dict[str, str] = {"op3_quality_rules": _OP3_SQL, "op8_top_k": _OP8_SQL, "op9_warc": _OP9_SQL}
