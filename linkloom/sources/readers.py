@@ -90,7 +90,7 @@ def events(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): one text file's lines with their places, from its single-file text."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).where(F.col("value") != "")
 
 
@@ -102,7 +102,7 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
 def log_parts(spark: SparkSession, folder: str, stem: str = "crawl-progress", ext: str = ".log") -> DataFrame:
     """(part, line, value) of a log's parts by number, in any order; orderBy(part, line) merges them. The '#META' heads are left out."""
     name = F.regexp_extract("_metadata.file_name", rf"^{re.escape(stem)}\.part(\d+){re.escape(ext)}$", 1)
-    whole = spark.read.option("wholetext", True).text(posixpath.join(folder, f"{stem}.part*{ext}"))
+    whole = spark.read.text(posixpath.join(folder, f"{stem}.part*{ext}"), wholetext=True)
     rows = whole.select(name.cast("int").alias("part"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.col("part").isNotNull())
     return rows.where(~(F.col("value").startswith("#META ") & (F.col("line") == 0)) & (F.col("value") != ""))
 
@@ -139,7 +139,7 @@ def flag(value: Column) -> Column:
 
 def settings(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
     """(key, value) of a key=value file: comments and unknown keys left out; the last of equal keys wins."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     t = text.trim(F.col("value"))
     pairs = rows.where((t != "") & ~t.startswith("#") & t.contains("=")).select("line", text.trim(F.substring_index(t, "=", 1)).alias("key"), text.trim(F.regexp_extract(t, r"(?s)^[^=]*=(.*)$", 1)).alias("value"))
     return pairs.where(F.col("key").isin(known)).groupBy("key").agg(F.max_by("value", "line").alias("value"))
@@ -148,7 +148,7 @@ def settings(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
 def states(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(pos, file, app, host, v) of state files in the order of the paths; unreadable ones have null app."""
     order = {posixpath.basename(p): i for i, p in enumerate(paths)}
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", schemas.STATE).alias("s"))
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", schemas.STATE).alias("s"))
     at = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
     return whole.select(at[F.col("file")].alias("pos"), "file", "s.app", "s.host", "s.v")
 
