@@ -1,8 +1,8 @@
 """Breadth-first crawl over recorded responses or over an edge table, one level at a time.
 
 Each level is a join, a deduplication and an anti-join; what is seen is a table partitioned by key,
-never held on the driver. Levels are cut from their lineage by checkpoint() in the cluster's shared
-folder. Order within a level is (parent's rank, position), the order of a crawl with one worker, so
+never held on the driver. Each level is a written table in the cluster's shared folder, which cuts its
+lineage. Order within a level is (parent's rank, position), the order of a crawl with one worker, so
 first discoverers and caps are well defined.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from linkloom.functions import http, urls
 from linkloom.operators import classify, extract
 from linkloom.plans.config import CrawlConfig
-from linkloom.sources.shared import checkpointed
+from linkloom.sources.shared import Tables
 
 START = "(start)"
 
@@ -32,32 +32,38 @@ def ranked(rows: DataFrame, order: list[str], column: str = "rank") -> DataFrame
     return local.join(bases, "_part").withColumn(column, F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
 
 
-def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, keys: list[str] | None = None, keep_going: Callable[[int], bool] = lambda depth: True) -> DataFrame:
+def bfs(
+    edges: DataFrame, starts: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, keys: list[str] | None = None, keep_going: Callable[[int], bool] = lambda depth: True, ordered: bool = True
+) -> DataFrame:
     """(keys..., node, depth, parent, rank) of nodes reached over edges (keys..., src, dst[, pos]).
 
     keys (such as a site) make independent traversals in one plan. The rank is the order of discovery,
-    parent the first discoverer. max_nodes cuts by rank per whole table; keep_going is asked before
-    each level, for stop and retune files.
+    parent the first discoverer. Without ``ordered`` there are no ranks (a sort per level less), the parent
+    is the least one of the level before. max_nodes cuts by rank over the whole table and needs the order;
+    keep_going is asked before each level, for stop and retune files.
     """
-    keys = keys or []
-    edges = edges if "pos" in edges.columns else edges.withColumn("pos", F.xxhash64("dst"))
+    keys, tables = keys or [], Tables(edges.sparkSession)
+    ordered = ordered or max_nodes is not None
+    edges = edges if "pos" in edges.columns or not ordered else edges.withColumn("pos", F.xxhash64("dst"))
     key = [*keys, "node"]
-    seen = checkpointed(starts.select(*key).distinct().withColumns({"depth": F.lit(0), "parent": F.lit(START), "rank": F.row_number().over(Window.orderBy(*key)).cast("long")}))
+    rank = F.row_number().over(Window.orderBy(*key)).cast("long") if ordered else F.lit(None).cast("long")
+    seen = tables.write(starts.select(*key).distinct().withColumns({"depth": F.lit(0), "parent": F.lit(START), "rank": rank}), "start")
     level, depth, total = seen, 0, seen.count()
-    parts = [seen]
     while (max_depth is None or depth < max_depth) and (max_nodes is None or total < max_nodes) and keep_going(depth):
         out = edges.join(level.select(*keys, F.col("node").alias("src"), F.col("rank").alias("_rank")), [*keys, "src"])
-        new = out.groupBy(*keys, F.col("dst").alias("node")).agg(F.min(F.struct("_rank", "pos", "src")).alias("_first"))
+        first = F.min(F.struct("_rank", "pos", "src") if ordered else F.struct("src"))
+        new = out.groupBy(*keys, F.col("dst").alias("node")).agg(first.alias("_first"))
         fresh = new.join(seen.select(*key), key, "left_anti")
-        fresh = fresh.select(*key, F.lit(depth + 1).alias("depth"), F.col("_first.src").cast("string").alias("parent"), F.col("_first._rank").alias("_r"), F.col("_first.pos").alias("_p"))
-        placed = ranked(fresh, ["_r", "_p", *key]).withColumn("rank", F.col("rank") + total)
+        own = [F.col("_first._rank").alias("_r"), F.col("_first.pos").alias("_p")] if ordered else []
+        fresh = fresh.select(*key, F.lit(depth + 1).alias("depth"), F.col("_first.src").cast("string").alias("parent"), *own)
+        if ordered:
+            fresh = ranked(tables.write(fresh, "fresh"), ["_r", "_p", *key]).withColumn("rank", (F.col("rank") + total).cast("long"))
         if max_nodes is not None:
-            placed = placed.where(F.col("rank") <= max_nodes)
-        level = checkpointed(placed.select(*key, "depth", "parent", F.col("rank").cast("long").alias("rank")))
+            fresh = fresh.where(F.col("rank") <= max_nodes)
+        level = tables.write(fresh.select(*key, "depth", "parent", F.col("rank") if ordered else F.lit(None).cast("long").alias("rank")), "level")
         n = level.count()
         if n == 0:
             break
-        parts.append(level)
         seen, depth, total = seen.unionByName(level), depth + 1, total + n
     return seen
 
@@ -87,7 +93,7 @@ def crawl(spark: SparkSession, responses: DataFrame, config: CrawlConfig) -> Cra
     web = extract.links(served.where(usable & F.col("html").isNotNull()), "key", "html")
     in_docs = extract.document_links(served.where(usable & F.col("html").isNull() & F.col("doc").isNotNull()), "key", "doc", "kind")
     of_docs = in_docs.where(F.col("href").isNotNull()).select("page_url", "pos", F.col("href").alias("raw_href"), "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"))
-    links = checkpointed(classify.classify(web.unionByName(of_docs), start_host, config.prefix(), config.include_subdomains))
+    links = Tables(spark).write(classify.classify(web.unionByName(of_docs), start_host, config.prefix(), config.include_subdomains), "links")
     edges = links.where(F.col("link_class") == "internal").select(F.col("page_url").alias("src"), F.col("target").alias("dst"), F.col("pos").cast("long").alias("pos"))
     first = spark.createDataFrame([(start,)], "url string").select(urls.normalize(urls.canonical(F.col("url"))).alias("node"))
     reached = bfs(edges, first, config.max_depth, config.url_cap())

@@ -11,6 +11,7 @@ from linkloom.functions import http, text, urls
 from linkloom.operators import allowlist, classify, extract, graph, journal, measures, outcomes, triage
 from linkloom.plans import bindings as b
 from linkloom.sources import readers, writers
+from linkloom.sources.shared import Tables
 from linkloom.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,7 +371,8 @@ def _edges(spark, d):
 
 
 def _bfs(spark, d, depth, most=None):
-    return graph.bfs(_edges(spark, d), spark.createDataFrame([("p1",)], "node string"), depth, most)
+    edges = Tables(spark).write(_edges(spark, d), "edges")
+    return graph.bfs(edges, spark.createDataFrame([("p1",)], "node string"), depth, most, ordered=False)
 
 
 @query(f"WITH {_BFS.format(d=3)} SELECT node, depth FROM g")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import urls
 from linkloom.operators import allowlist, classify, measures
 from linkloom.plans.config import CrawlConfig, effective
-from linkloom.sources.shared import checkpointed
+from linkloom.sources.shared import Tables
 
 
 def _fs(spark: SparkSession, path: str):
@@ -57,7 +57,7 @@ def report_json(tables: dict[str, DataFrame], config: CrawlConfig, crawled_at: s
     tables are pages, external, out_of_scope, flagged (with suppressed) and refs. A report is one document,
     so its lists are collected into one row; larger crawls are kept as tables instead (see ``write_tables``).
     """
-    flagged = checkpointed(tables["flagged"])
+    flagged = Tables(tables["flagged"].sparkSession).write(tables["flagged"], "flagged")
     lists = classify.referrer_lists(tables["refs"])
     whole = measures.summary(tables["pages"], tables["external"], tables["out_of_scope"], flagged, tables["refs"], queued, retries, runtime_ms)
     parts = [whole.select(F.struct(*whole.columns).alias("summary"))]
