@@ -8,7 +8,7 @@ one token that ends here after a position and fits its last token extends that p
 Tokens that all live positions share are emitted: the lookahead is at most the longest token's
 length. States and transitions are made when first met and kept, up to ``STATES`` states; beyond,
 the machine goes on from state to state without keeping them. Likewise up to ``PIECES`` whole pieces
-met are remembered. After ``STALE`` pieces that found no room both stores start anew, for texts that
+met are remembered, and the tests of up to ``PAIRS`` pairs. All of it takes about 200 MB in a worker. After ``STALE`` pieces that found no room both stores start anew, for texts that
 have changed.
 
 A piece that is itself a token is that token, as in the rank library. Null texts encode to no ids
@@ -19,8 +19,10 @@ whole whatever their length, as pieces are joined as they come.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES, PIECES, PAIRS, STALE = 150_000, 400_000, 500_000, 10_000_000
+from linkloom.llm import worker
+
+STATES, PIECES, PAIRS, STALE = 60_000, 300_000, 250_000, 10_000_000
 _CHUNK, _LONG = 1 << 16, 1 << 20
 
 
@@ -69,10 +73,11 @@ class Transducer:
                 node = nxt
             self.ends[node] = rank
         self.spines: dict[int, tuple | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
+        self.pairs.clear()
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -104,12 +109,12 @@ class Transducer:
         Merges run by rank, so the pair breaks if a merge across the border ranks before those
         that finish what it needs: walk up left's right edge and token's left edge in rank order.
         """
-        pair = (left, token)
+        pair = left + 1 << 24 | token
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[pair] = self._fits(left, token)
+            known = self._fits(left, token)
+            if len(self.pairs) < PAIRS:
+                self.pairs[pair] = known
         return known
 
     def _fits(self, left: int, token: int) -> bool:
@@ -250,14 +255,21 @@ def decode(ids: Iterator[int], tokens: dict[int, bytes]) -> Iterator[str]:
     yield machine.feed(b"".join(part)) + machine.end()
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+@contextmanager
+def _no_collector() -> Iterator[None]:
+    """The stores hold no cycles, so the cycle collector would only walk them in vain."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def encoder(path: str, pattern: str) -> Encoder:
     """The encoder of a rank file, one per worker process."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _encoders[path, pattern]
+    return worker.keep(("bpe", path, pattern), lambda: Encoder(load_ranks(path), pattern))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,11 +306,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
         for part in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
             rows = []
-            for x in part.column(1):
-                packed, digest = own.encode(x.as_py() or ""), hashlib.sha256()
-                for text in decode(np.frombuffer(packed, "<u4").tolist(), own.tokens):
-                    digest.update(text.encode())
-                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), packed if with_ids else None))
+            with _no_collector():
+                for x in part.column(1):
+                    packed, digest = own.encode(x.as_py() or ""), hashlib.sha256()
+                    for text in decode(np.frombuffer(packed, "<u4").tolist(), own.tokens):
+                        digest.update(text.encode())
+                    rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), packed if with_ids else None))
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)]
             yield pa.record_batch([part.column(0), *cols[: 4 if with_ids else 3]], names[: 5 if with_ids else 4])
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkloom.llm import worker
 from linkloom.llm.store import Tables
 
 SAMPLE, LONGEST, PIECE, DICTIONARY, LEVEL = 3000, 50_000, 512, 32 << 10, 1
@@ -127,6 +128,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         packers = model.packers()
         for batch in batches:
             x = [features(t.as_buffer().to_pybytes() if t.is_valid else b"", packers) for t in batch.column(at).cast(pa.binary())]

@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm import worker
+
 MARK, WORDS = "▁".encode(), 400_000
 
 
@@ -83,14 +85,9 @@ class Automaton(dict):
         return n
 
 
-_automata: dict[str, Automaton] = {}
-
-
 def automaton(path: str) -> Automaton:
     """The automaton of a vocabulary file, one per worker process."""
-    if path not in _automata:
-        _automata[path] = Automaton(load_pieces(path))
-    return _automata[path]
+    return worker.keep(("pieces", path), lambda: Automaton(load_pieces(path)))
 
 
 def piece_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

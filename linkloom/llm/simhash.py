@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.llm import worker
 from linkloom.llm.components import connected_components
 from linkloom.llm.store import Tables
 
@@ -65,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             texts = batch.column(1)
             fps = [_signed(fingerprint(x.as_buffer().to_pybytes())) if x.is_valid else 0 for x in texts.cast(pa.binary())]

@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from linkloom.llm import worker
 from linkloom.llm.store import Tables
 
 SAMPLE, LONGEST, SEGMENT, BINS, PASSES, CLOSE, DOMAINS = 1500, 20_000, 256, 1 << 13, 100, 1e-4, 64
-_SLICE = 1 << 20
+_SLICE = 1 << 17
 
 
 def _codes(data: np.ndarray) -> np.ndarray:
@@ -115,18 +116,23 @@ def fit_classifier(labelled: DataFrame, domains: list[str], text_col: str = "tex
 def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text", tokens_col: str | None = None, carry_text: bool = True) -> DataFrame:
     """docs with ``n_tokens`` and ``posterior`` (an array in the order of the domains)."""
     kept = [c for c in docs.columns if c not in ("n_tokens", "posterior") and (carry_text or c != text_col)]
-    rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text"), *([F.col(tokens_col).cast("long").alias("_tokens")] if tokens_col else []))
+    passed = [*kept, *({text_col, tokens_col or text_col} - set(kept))]
     schema = docs.select(*kept).schema.add("n_tokens", "long").add("posterior", T.ArrayType(T.DoubleType()))
+    text_at = passed.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(kept)
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(n).cast(pa.binary())]
-            counts = batch.column(n + 1).fill_null(0) if tokens_col else pa.array([len(t.split()) for t in texts], pa.int64())
-            posteriors = np.array([model.posterior(t) for t in texts]).reshape(len(texts), -1)
-            yield pa.record_batch([*batch.columns[:n], counts, pa.array(list(posteriors), pa.list_(pa.float64()))], [*kept, "n_tokens", "posterior"])
-
-    return rows.mapInArrow(run, schema)
+        worker.release()
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            texts = batch.column(text_at).cast(pa.binary())
+            n, posteriors = [], []
+            for x in texts:
+                data = x.as_buffer().to_pybytes() if x.is_valid else b""
+                n.append(len(data.split()))
+                posteriors.append(model.posterior(data))
+            counts = batch.column(passed.index(tokens_col)).cast(pa.int64()).fill_null(0) if tokens_col else pa.array(n, pa.int64())
+            yield pa.record_batch([*batch.columns[: len(kept)], counts, pa.array(posteriors, pa.list_(pa.float64()))], [*kept, "n_tokens", "posterior"])
+
+    return docs.select(*passed).mapInArrow(run, schema)
 
 
 def _replay(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkloom.llm import files
+from linkloom.llm import files, worker
 from linkloom.llm.store import Tables, new_path
 
 WORDS, _PART = 1_200_000, 512
@@ -73,14 +73,9 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
     """The encoder of a tokenizer file, one per worker process."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker.keep(("words", path), lambda: WordEncoder(path))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
