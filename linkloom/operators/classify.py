@@ -42,7 +42,10 @@ def capped_referrers(edges: DataFrame, most: int = 0) -> DataFrame:
 
 
 def referrer_lists(edges: DataFrame) -> DataFrame:
-    """(target, found_on): referrers in order of first sight."""
+    """(target, found_on): all referrers in order of first sight, as report files hold them.
+
+    A list is as long as its target has referrers. For display take ``previews``, for work the edges.
+    """
     sorted_ = F.sort_array(F.collect_list(F.struct("first_seen", "referrer")))
     return edges.groupBy("target").agg(F.transform(sorted_, lambda x: x["referrer"]).alias("found_on"))
 
@@ -53,6 +56,19 @@ def preview(found_on: Column, shown: int = 3) -> Column:
     return F.array_join(F.concat(F.slice(found_on, 1, shown), more), "\n")
 
 
+def previews(edges: DataFrame, shown: int = 3) -> DataFrame:
+    """(target, n, found_on) with only the first referrers listed; partial ranks keep lists and shuffles short whatever a target's fame."""
+    n = edges.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    first = referrer_lists(capped_referrers(edges, shown))
+    return n.join(first, "target")
+
+
+def preview_text(n: Column, found_on: Column) -> Column:
+    """The referrers listed and, for those beyond, '+N more'."""
+    listed = F.array_join(found_on, "\n")
+    return F.when(n > F.size(found_on), F.concat(listed, F.format_string("\n+%d more", n - F.size(found_on)))).otherwise(listed)
+
+
 def first_referrer(edges: DataFrame) -> DataFrame:
     """(target, source): the referrer seen first."""
     return edges.groupBy("target").agg(F.min_by("referrer", F.struct("first_seen", "referrer")).alias("source"))

@@ -9,6 +9,7 @@ first discoverers and caps are well defined.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql.window import Window
 from linkloom.functions import http, urls
 from linkloom.operators import classify, extract
 from linkloom.plans.config import CrawlConfig
+from linkloom.sources import live
+from linkloom.sources.control import Control
 from linkloom.sources.shared import Tables
 
 START = "(start)"
@@ -128,6 +131,37 @@ def urls_host(url: str) -> str:
     return whatwg.parse(url).host or ""
 
 
+def crawl_live(spark: SparkSession, config: CrawlConfig, control: Control | None = None) -> Crawl:
+    """Fetch a site level by level, then crawl what was fetched.
+
+    Each level's urls are fetched by the executors and written; the control files are looked at between
+    levels: a stop ends the walk, a pause waits, a tune file sets the pacing of what follows.
+    """
+    control, tables = control or Control(config), Tables(spark)
+    config = replace(config, crawl_delay=live.crawl_delay(spark, config))
+    host = F.lit(urls_host(config.start_url))
+    ask = spark.createDataFrame([(config.start_url,)], "url string").select(urls.normalize(urls.canonical(F.col("url"))).alias("url"))
+    got, depth, n = None, 0, 0
+    while control.wait():
+        config = control.tuned(config)
+        if config.max_pages is not None:
+            ask = ask.orderBy("_first", "url").limit(config.max_pages - n) if "_first" in ask.columns else ask
+        level = tables.write(live.fetch_table(ask, config), "responses")
+        got, n = level if got is None else got.unionByName(level), n + level.count()
+        depth += 1
+        if (config.max_depth is not None and depth > config.max_depth) or (config.max_pages is not None and n >= config.max_pages):
+            break
+        read = level.where((F.col("status") < 400) & (F.coalesce("error", F.lit("")) == ""))
+        in_docs = extract.document_links(read.where(F.col("doc").isNotNull())).where(F.col("href").isNotNull())
+        found = extract.links(read.where(F.col("html").isNotNull())).select("pos", "href").unionByName(in_docs.select("pos", "href"))
+        web = found.select("pos", "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"))
+        inner = classify.classify(web, host, config.prefix(), config.include_subdomains).where(F.col("link_class") == "internal")
+        ask = inner.groupBy(F.col("target").alias("url")).agg(F.min("pos").alias("_first")).join(got.select("url"), "url", "left_anti")
+        if ask.isEmpty():
+            break
+    return crawl(spark, got if got is not None else live.fetch_table(ask.where("false"), config), config)
+
+
 def crawl_sites(spark: SparkSession, responses: DataFrame, configs: list[CrawlConfig]) -> list[Crawl]:
     """One independent crawl per start url, all over the same responses."""
     return [crawl(spark, responses, c) for c in configs]

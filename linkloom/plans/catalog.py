@@ -167,7 +167,7 @@ def referrer_cap(spark, d):
 
 @query(f"WITH {_LK}, {_REFS}, l AS (SELECT target, list(referrer ORDER BY seen, referrer) AS r FROM refs GROUP BY 1) SELECT target, array_to_string(r[1:3], chr(10)) || CASE WHEN len(r) > 3 THEN chr(10) || '+' || (len(r) - 3) || ' more' ELSE '' END AS preview FROM l")
 def found_on_preview(spark, d):
-    return classify.referrer_lists(b.refs(spark, d)).select("target", classify.preview(F.col("found_on")).alias("preview"))
+    return classify.previews(b.refs(spark, d)).select("target", classify.preview_text(F.col("n"), F.col("found_on")).alias("preview"))
 
 
 @query(f"WITH {_LK}, {_REFS} SELECT target, arg_min(referrer, seen) AS source FROM refs GROUP BY 1")

@@ -1,20 +1,26 @@
-"""A Spark data source that fetches urls live: ``spark.read.format("linkloom_fetch")``.
+"""Fetching urls live, as a Spark data source or over a table of urls.
 
-Options: urls (separated by blanks), method, user_agent, browser, timeout (ms), redirects, partitions.
+``spark.read.format("linkloom_fetch")`` has the options: urls (separated by blanks), method, user_agent, browser, timeout (ms), redirects, partitions.
 Rows are (url, status, content_type, retry_after, body, error); a failed request has status 0 and an error.
 """
 
 from __future__ import annotations
 
 import http.client
+import re
 import socket
+import time
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from linkloom.functions import whatwg
-from linkloom.functions.http import MAX_DOC, request_headers
+from linkloom.functions.http import BACKOFF_MS, HEAD_DOUBTFUL, MAX_DOC, content_gate, document_type, request_gap_ms, request_headers, sniff
+from linkloom.plans.config import CrawlConfig
 
 MOVED, REDIRECTS = (301, 302, 303, 307, 308), 5
 SCHEMA = "url string, status int, content_type string, retry_after string, body binary, error string"
@@ -75,3 +81,71 @@ class FetchSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+
+def patient_fetch(url: str, config: CrawlConfig, sleep=time.sleep) -> tuple:
+    """fetch with the config's retries of throttled answers (429, 503): after Retry-After seconds, or 5 s doubling, at most max_backoff."""
+    headers = request_headers(config.user_agent, config.browser)
+    for attempt in range(config.max_retries + 1):
+        row = fetch(url, "GET", headers, config.timeout / 1000, most=max(config.max_doc_bytes, 1))
+        if row[1] not in (429, 503) or attempt == config.max_retries:
+            return row
+        asked = float(row[3]) if row[3] and re.fullmatch(r"\d+(\.\d+)?", row[3]) else 0
+        sleep(min(config.max_backoff, asked or BACKOFF_MS / 1000 * 2**attempt))
+    raise AssertionError("unreachable")
+
+
+def fetch_table(urls: DataFrame, config: CrawlConfig) -> DataFrame:
+    """Responses (schemas.RESPONSE) of a table's urls, fetched by at most ``concurrency`` tasks that keep the request gap between them."""
+    n = config.concurrency
+    pause = max(request_gap_ms(config.rps, config.crawl_delay) * n, config.delay) / 1000
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for url in frame["url"]:
+                rows.append(patient_fetch(url, config))
+                time.sleep(pause)
+            yield pd.DataFrame(rows, columns=["url", "status", "content_type", "retry_after", "body", "error"])
+
+    got = urls.select("url").repartition(n).mapInPandas(run, SCHEMA)
+    path = F.regexp_extract("url", r"^[A-Za-z][^:]*://[^/?#]*([^?#]*)", 1)
+    gate = content_gate(F.col("content_type"), path, config.scan_docs)
+    html = F.when(gate == "html", F.decode("body", "UTF-8"))
+    doc = F.when((gate == "doc") | (gate == "sniff") & sniff(F.col("body")).isNotNull(), F.col("body"))
+    return got.select("url", "status", F.coalesce("content_type", F.lit("")).alias("content_type"), "retry_after", html.alias("html"), doc.alias("doc"), F.coalesce(document_type(F.col("content_type"), path), sniff(F.col("body"))).alias("doc_type"), "error")
+
+
+def probe_table(urls: DataFrame, config: CrawlConfig) -> DataFrame:
+    """(url, status, error): a HEAD, and a GET where it is doubtful; the GET wins if it is answered."""
+    headers = request_headers(config.user_agent, config.browser)
+
+    def one(url: str) -> tuple:
+        status, error = (fetch(url, "HEAD", headers, config.timeout / 1000)[k] for k in (1, 5))
+        if error or status in HEAD_DOUBTFUL or status >= 500:
+            got = fetch(url, "GET", headers, config.timeout / 1000, most=0)
+            if got[1]:
+                return url, got[1], got[5]
+            return url, status, (got[5] or error) if status == 0 else error
+        return url, status, error
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([one(u) for u in frame["url"]], columns=["url", "status", "error"])
+
+    return urls.select("url").repartition(config.concurrency).mapInPandas(run, "url string, status int, error string")
+
+
+def crawl_delay(spark: SparkSession, config: CrawlConfig) -> float:
+    """The crawl delay in seconds: the option, else that of the start origin's robots.txt for us, 0 on any failure."""
+    from linkloom.sources.readers import robots_delay
+
+    if config.crawl_delay or config.ignore_robots:
+        return config.crawl_delay
+    start = whatwg.parse(config.start_url)
+    port = "" if start.port is None else f":{start.port}"
+    row = fetch(f"{start.scheme}://{start.host}{port}/robots.txt", "GET", request_headers(config.user_agent, config.browser), config.timeout / 1000)
+    if not 0 < row[1] < 400 or not row[4]:
+        return 0.0
+    lines = spark.createDataFrame(list(enumerate(row[4].decode("utf-8", "replace").splitlines())), "line int, value string")
+    return robots_delay(lines, config.user_agent).first().delay

@@ -224,3 +224,61 @@ def test_live_source(spark):
         assert got == {asked[0]: (200, True), asked[1]: (200, True), asked[2]: (302, True), asked[3]: (404, True), asked[4]: (0, False), asked[5]: (0, False), asked[6]: (0, False)}
     finally:
         server.shutdown()
+
+
+class _Live(BaseHTTPRequestHandler):
+    throttled = 0
+
+    def do_GET(self):
+        pages = {"/": '<title>Home</title><a href="/a">a</a><a href="/slow">s</a><a href="/missing">m</a><a href="http://out.example/">o</a>', "/a": '<a href="/deep">d</a>', "/deep": "<a href='/too-deep'>x</a>", "/robots.txt": "User-agent: *\nCrawl-delay: 0.01"}
+        status, headers = (200, {}) if self.path in pages else (404, {})
+        if self.path == "/slow":
+            _Live.throttled += 1
+            status, headers = (200, {}) if _Live.throttled > 1 else (429, {"Retry-After": "0.01"})
+        if self.command == "HEAD" and self.path == "/a":
+            status = 405
+        self.send_response(status)
+        for k, v in {"Content-Type": "text/plain" if self.path == "/robots.txt" else "text/html", **headers}.items():
+            self.send_header(k, v)
+        self.end_headers()
+        if self.command == "GET":
+            self.wfile.write(pages.get(self.path, "").encode())
+
+    do_HEAD = do_GET
+
+    def log_message(self, *args):
+        pass
+
+
+def test_live_crawl_and_controls(spark, tmp_path):
+    from linkloom.operators import graph
+    from linkloom.sources import live
+    from linkloom.sources.control import Control
+
+    server = HTTPServer(("127.0.0.1", 0), _Live)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        config = CrawlConfig(start_url=f"{at}/", max_depth=2, delay=0, concurrency=2)
+        assert live.crawl_delay(spark, config) == 0.01
+        done = graph.crawl_live(spark, config)
+        assert {(r.url.removeprefix(at), r.depth) for r in done.pages.collect()} == {("/", 0), ("/a", 1), ("/slow", 1), ("/deep", 2)}
+        assert [(r.url.removeprefix(at), r.reason, r.disposition) for r in done.flagged.collect()] == [("/missing", "HTTP 404", "broken")]
+        assert rows(done.external, "url") == [("http://out.example/",)]
+        asked = spark.createDataFrame([(f"{at}/a",), (f"{at}/missing",), ("http://127.0.0.1:1/",)], "url string")
+        got = {r.url: r.status for r in live.probe_table(asked, config).collect()}
+        assert got == {f"{at}/a": 200, f"{at}/missing": 404, "http://127.0.0.1:1/": 0}
+        (tmp_path / "stop").write_text("")
+        stopped = Control(CrawlConfig(start_url=f"{at}/", stop_file=str(tmp_path / "stop")))
+        none = graph.crawl_live(spark, config, stopped)
+        assert none.pages.count() == 0 and stopped.exit_code() == 130
+    finally:
+        server.shutdown()
+    tune = tmp_path / "tune"
+    tune.write_text('{"rps": 1}')
+    control = Control(CrawlConfig(tune_file=str(tune), pause_file=str(tmp_path / "pause")), sleep=lambda s: (tmp_path / "pause").unlink())
+    assert control.tuned(CrawlConfig()).rps == 0
+    tune.write_text('{"rps": 2}')
+    assert control.tuned(CrawlConfig()).rps == 2
+    (tmp_path / "pause").write_text("")
+    assert control.wait() and control.exit_code() == 0

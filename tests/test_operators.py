@@ -153,7 +153,8 @@ def test_measures_defaults(spark):
     empty = broken.limit(0)
     assert measures.broken_instances(empty, refs).first()[0] == 0
     lists = classify.referrer_lists(refs)
-    assert lists.select(classify.preview("found_on" if False else F.col("found_on"), 1)).first()[0] == "p1\n+1 more"
+    assert lists.select(classify.preview(F.col("found_on"), 1)).first()[0] == "p1\n+1 more"
+    assert classify.previews(refs, 1).select(classify.preview_text(F.col("n"), F.col("found_on"))).first()[0] == "p1\n+1 more"
     ordered = classify.by_parent(spark.createDataFrame([("b", 0), ("a", 1), ("c", 2), ("c", 3)], "parent string, index int"))
     assert [r.parent for r in ordered.collect()] == ["c", "c", "a", "b"]
     assert [r.key for r in classify.by_size(spark.createDataFrame([("B", 1), ("a", 1), ("A", 1), ("z", 9)], "key string, n int")).collect()] == ["z", "a", "A", "B"]
