@@ -8,7 +8,7 @@ one token that ends here after a position and fits its last token extends that p
 Tokens that all live positions share are emitted: the lookahead is at most the longest token's
 length. States and transitions are made when first met and kept, up to ``STATES`` states; beyond,
 the machine goes on from state to state without keeping them. Likewise up to ``PIECES`` whole pieces
-met are remembered, and the tests of up to ``PAIRS`` pairs. All of it takes about 200 MB in a worker. After ``STALE`` pieces that found no room both stores start anew, for texts that
+met are remembered, and the tests of up to ``PAIRS`` pairs. All of it takes about 300 MB in a worker. After ``STALE`` pieces that found no room both stores start anew, for texts that
 have changed.
 
 A piece that is itself a token is that token, as in the rank library. Null texts encode to no ids
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import worker
 
-STATES, PIECES, PAIRS, STALE = 60_000, 300_000, 250_000, 10_000_000
+STATES, PIECES, PAIRS, STALE = 100_000, 600_000, 250_000, 10_000_000
 _CHUNK, _LONG = 1 << 16, 1 << 20
 
 
@@ -59,19 +59,21 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.tokens = ranks, {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
-        self.ends: dict[int, int] = {}
-        self.inner: set[int] = set()
+        ends: dict[int, int] = {}
         nodes = 1
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                self.inner.add(node)
                 nxt = self.child.get(node << 8 | byte)
                 if nxt is None:
                     nxt = self.child[node << 8 | byte] = nodes
                     nodes += 1
                 node = nxt
-            self.ends[node] = rank
+            ends[node] = rank
+        self.ends = [ends.get(node, -1) for node in range(nodes)]
+        self.inner = bytearray(nodes)
+        for key in self.child:
+            self.inner[key >> 8] = 1
         self.spines: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
         self._clear()
@@ -137,23 +139,29 @@ class Transducer:
 
     def _step(self, anchor: int, live: tuple, byte: int) -> tuple[int, tuple, tuple[int, ...]]:
         """(last emitted token, live positions, tokens emitted) after a byte."""
-        child, ends, inner = self.child.get, self.ends.get, self.inner
+        child, ends, inner, pairs = self.child.get, self.ends, self.inner, self.pairs.get
         after, here = [], None
         for node, pending in live:
             node = child(node << 8 | byte)
             if node is None:
                 continue
             if here is None:
-                token = ends(node)
-                if token is not None and self.fits(pending[-1] if pending else anchor, token):
-                    here = (*pending, token)
-            if node in inner:
+                token = ends[node]
+                if token >= 0:
+                    left = pending[-1] if pending else anchor
+                    fit = pairs(left + 1 << 24 | token)
+                    if self.fits(left, token) if fit is None else fit:
+                        here = (*pending, token)
+            if inner[node]:
                 after.append((node, pending))
         if not after:
             return here[-1], _FRESH, here
         after.append((0, here))
-        first, shared = after[0][1], 0
-        while shared < len(first) and all(len(p) > shared and p[shared] == first[shared] for _, p in after):
+        first = after[0][1]
+        if not first:
+            return anchor, tuple(after), ()
+        shared = 0
+        while shared < len(first) and all([len(p) > shared and p[shared] == first[shared] for _, p in after]):
             shared += 1
         if shared:
             return first[shared - 1], tuple([(n, p[shared:]) for n, p in after]), first[:shared]

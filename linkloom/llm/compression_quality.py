@@ -102,13 +102,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tables = Tables(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     short = docs.where(F.length(text_col) <= LONGEST).select(F.col(id_col).alias("id"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    usable = marks.join(short, "id", "left_semi")
-    picked = tables.write(usable.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE), "picked")
+    usable = tables.write(marks.join(short, "id", "left_semi"), "usable")
     sizes = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    # hashes below a cut leave about 4 * SAMPLE rows of a class to rank, however many there are
+    cut = F.when(F.col("y") == 1, 4 * SAMPLE / max(sizes.get(1, 0), 1)).otherwise(4 * SAMPLE / max(sizes.get(0, 0), 1))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    near = usable.where((F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64 <= cut)
+    picked = tables.write(near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE), "picked")
     # at most 2 * SAMPLE rows are broadcast and come to the driver, of LONGEST characters at most
     rows = docs.where(F.length(text_col) <= LONGEST).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id", "y"]).select("y", "k", "text").orderBy("y", "k").collect()
-    tables.drop(picked)
+    tables.drop(picked, usable)
     texts = {(y, half): [r.text.encode() for r in rows if r.y == y and r.k % 2 == half] for y in (0, 1) for half in (0, 1)}
     if not all(texts.values()):
         share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)

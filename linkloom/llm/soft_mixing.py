@@ -93,7 +93,9 @@ def fit_classifier(labelled: DataFrame, domains: list[str], text_col: str = "tex
     prior /= prior.sum()
     order = Window.partitionBy("domain").orderBy("h")
     tables = Tables(labelled.sparkSession)
-    hashes = usable.select("domain", F.xxhash64("text").alias("h")).distinct()
+    # hashes below a cut leave about 4 * SAMPLE rows of a domain to rank, however many there are
+    cut = F.create_map(*(x for d in domains for x in (F.lit(d), F.lit(4 * SAMPLE / max(counts.get(d, 0), 1)))))
+    hashes = usable.select("domain", F.xxhash64("text").alias("h")).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(cut, F.col("domain"))).distinct()
     picked = tables.write(hashes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE), "picked")
     # at most SAMPLE rows a domain are broadcast and come to the driver
     rows = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["domain", "h"]).dropDuplicates(["domain", "h"]).select("domain", "k", "text").orderBy("domain", "k").collect()
