@@ -11,7 +11,9 @@ sequence is base plus offset; no task needs another's data. Readers map the file
 Encoding: texts are cut at ASCII white space, which the tokenizer drops anyhow and no token spans;
 each distinct word goes through the tokenizer library once per worker and its packed ids are kept,
 up to ``WORDS`` words (about 200 bytes each). The tokenizer lower-cases, so A-Z are lowered first; not
-so in texts with combining marks, where composing before or after lowering may differ.
+so in texts with combining marks, where composing before or after lowering may differ. Words that are
+Latin letters in lower case, with ASCII marks (no apostrophe) after them, skip the tokenizer's
+splitting: letters and marks are separate pieces to it in any case, and its merging model takes each.
 
 Defined cases: null and empty texts have only the end id; equal ids keep the order of their text
 hashes; repeated rows are all written; other columns are ignored; an empty table writes an empty
@@ -21,6 +23,7 @@ manifest. Files of lost attempts are never named in the manifest.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +46,17 @@ def words_of(data: bytes) -> list[bytes]:
     return (data if marks else data.lower()).split()
 
 
+#: Letters below U+0250 (all composed already, none is white space or a mark), then ASCII marks.
+_LATIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_names() -> dict[int, str]:
+    """The byte alphabet of byte-level models: visible characters stand for themselves, the others for those from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [x for x in range(256) if x not in set(visible)]
+    return {x: chr(x) for x in visible} | {x: chr(256 + n) for n, x in enumerate(hidden)}
+
+
 class WordEncoder(dict):
     """ASCII-blank-separated word to its packed ids."""
 
@@ -53,20 +67,45 @@ class WordEncoder(dict):
 
         self.model = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.merge, self.names, self.tails = self.model.model.tokenize, _byte_names(), {"": b""}
+
+    def _split(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words by the whole tokenizer."""
+        coded = self.model.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(coded.ids, self.dtype)
+        of = np.array(coded.word_ids, np.int64) if len(ids) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(of, np.arange(len(words) + 1)) * self.dtype.itemsize
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _core(self, letters: str) -> bytes:
+        size = self.dtype.itemsize
+        name = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.names)
+        return b"".join([t.id.to_bytes(size, "little") for t in self.merge(name)])
 
     def learn(self, words: set[bytes]) -> None:
         """Encode words not met before."""
         if len(self) + len(words) > WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            coded = self.model.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, self.dtype)
-            of = np.array(coded.word_ids, np.int64) if len(ids) else np.zeros(0, np.int64)
-            cuts = np.searchsorted(of, np.arange(len(part) + 1)) * self.dtype.itemsize
-            raw = ids.tobytes()
-            self.update(zip(part, (raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), strict=True))
+        others = []
+        for word in words:
+            if word in self:
+                continue
+            text = word.decode()
+            m = _LATIN.fullmatch(text)
+            if m is None or text.lower() != text:
+                others.append(word)
+                continue
+            core, tail = m.groups()
+            if tail not in self.tails:
+                if len(self.tails) > 100_000:
+                    self.tails = {"": b""}
+                self.tails[tail] = self._split([tail])[0]
+            known = self.get(core.encode()) if tail else None
+            self[word] = (self._core(core) if known is None else known) + self.tails[tail]
+        for at in range(0, len(others), 10_000):
+            part = others[at : at + 10_000]
+            self.update(zip(part, self._split([w.decode() for w in part]), strict=True))
 
     def encode(self, words: list[bytes]) -> bytes:
         """Packed ids of words that have been learnt."""
