@@ -90,7 +90,7 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(low, lambda b: _let(packed(b), lambda s: from_sorted(s, b))))
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_counts(docs: DataFrame, text_col: str = "text", carry_text: bool = True) -> DataFrame:
     """docs with the six counts of ``COUNTS`` as long columns."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words, lines = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
@@ -101,7 +101,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
         _let(words, _repeat_words).alias("n_repeat_words"),
     )
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [c for c in docs.columns if c not in ADDED and (carry_text or c != text_col)]
     counted = docs.select(*kept, F.explode(F.array(whole)).alias("_counts"))  # explode keeps the counts from being computed once for each use
     of = {"n_lines": "lines.n", "n_dup_lines": "lines.dup"}
     return counted.select(*kept, *(F.col(f"_counts.{of.get(c, c)}").alias(c) for c in COUNTS))
@@ -150,11 +150,11 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return ends.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == name, F.col(end))).alias(f"{name}_{end}") for name, *_ in RATIOS for end in ("low", "high")))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row of docs with its counts, base_failed, outliers (names of ratios out of range) and kept."""
+def quality_rules(docs: DataFrame, text_col: str = "text", carry_text: bool = True) -> DataFrame:
+    """Every row of docs with its counts, base_failed, outliers (names of ratios out of range) and kept; without carry_text the text is left out, and so not written in between."""
     tables = Tables(docs.sparkSession)
     few = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counted = tables.write(with_counts(docs, text_col).withColumn("base_failed", few), "counted")
+    counted = tables.write(with_counts(docs, text_col, carry_text).withColumn("base_failed", few), "counted")
     ends = tables.write(thresholds(sketches(counted)).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "thresholds")
     joined = counted.join(ends, counted.lang.eqNullSafe(ends._lang) & counted.source.eqNullSafe(ends._source), "left")
     out = [F.when((_ratio(top, under) > F.col(f"{name}_high")) | (F.lit(both) & (_ratio(top, under) < F.col(f"{name}_low"))), F.lit(name)) for name, top, under, _, both in RATIOS]

@@ -36,7 +36,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.quality_rules(_read(spark, sf_dir, "documents"))
+    judged = rules.quality_rules(_read(spark, sf_dir, "documents"), carry_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
