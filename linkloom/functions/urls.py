@@ -12,8 +12,9 @@ from pyspark.sql.types import StringType
 from linkloom.functions import whatwg
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
-#: A root-relative href that resolving leaves as it is, and an origin that is in canonical form.
-_PLAIN = r"^/(?:(?!\.{1,2}(?:/|$))[A-Za-z0-9_~!$&()*+,;=:@.\-]+(?:/|$))*$"
+#: A root-relative href that resolving leaves as it is but for letters to encode, and an origin that is in canonical form.
+_PLAIN = r"^/(?:(?!\.{1,2}(?:/|$))[A-Za-z0-9_~!$&()*+,;=:@.\-\u00C0-\u024F]+(?:/|$))*$"
+_KEPT = {"%2F": "/", "%7E": "~", "%21": "!", "%24": "$", "%26": "&", "%28": "(", "%29": ")", "%2B": "+", "%2C": ",", "%3B": ";", "%3D": "=", "%3A": ":", "%40": "@"}
 _ORIGIN = r"^(https?://[a-z0-9\-]+(?:\.[a-z][a-z0-9\-]*)+)(?:[/?#]|$)"
 
 
@@ -32,9 +33,17 @@ def resolve(raw: Column | str, base: Column | str) -> Column:
     Plain root-relative hrefs are joined in the JVM; only the others go through Python.
     """
     raw, base = _col(raw), _col(base)
+    fast, href = plain_href(raw, base)
+    return F.when(fast, href).otherwise(_resolve(F.when(~fast, raw), base))
+
+
+def plain_href(raw: Column, base: Column) -> tuple[Column, Column]:
+    """(whether the JVM can resolve raw on base, its href if so): root-relative, no dot segments, Latin letters at most to encode."""
     origin = F.regexp_extract(base, _ORIGIN, 1)
-    fast = raw.rlike(_PLAIN) & (origin != "")
-    return F.when(fast, F.concat(origin, raw)).otherwise(_resolve(F.when(~fast, raw), base))
+    coded = F.url_encode(raw)
+    for code, plain in _KEPT.items():
+        coded = F.replace(coded, F.lit(code), F.lit(plain))
+    return F.coalesce(raw.rlike(_PLAIN) & (origin != ""), F.lit(False)), F.concat(origin, F.when(raw.rlike(r"^[\x00-\x7F]*$"), raw).otherwise(coded))
 
 
 @F.arrow_udf(StringType())

@@ -14,9 +14,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from linkloom.functions import http, text, urls
+from linkloom.functions import http, text, urls, whatwg
 
 #: Fixed patterns: comments, base, anchors, titles; attribute values quoted or bare.
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s">]+)"""
@@ -38,6 +38,21 @@ def title(html: Column) -> Column:
     return F.substring(text.collapse(F.regexp_extract(F.regexp_replace(html, COMMENT, ""), TITLE, 1)), 1, TITLE_CAP)
 
 
+@F.arrow_udf(StructType([StructField("raw_href", StringType()), StructField("href", StringType())]))
+def _link(raw: pa.Array, base_href: pa.Array, page_url: pa.Array) -> pa.Array:
+    """Decoded and resolved hrefs, null for those left out; of null raw hrefs (resolved in the JVM) nothing is done."""
+    out = []
+    for href, base, page in zip(raw.to_pylist(), base_href.to_pylist(), page_url.to_pylist(), strict=True):
+        decoded = text.decode_entity(href) if href else ""
+        if not decoded or decoded.startswith("#") or re.match(SKIPPED, decoded):
+            out.append(None)
+            continue
+        on = whatwg.resolve(text.decode_entity(base), page) if base else page
+        found = whatwg.resolve(decoded, on or page)
+        out.append(found and {"raw_href": decoded, "href": found})
+    return pa.array(out, pa.struct([("raw_href", pa.string()), ("href", pa.string())]))
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(page_url, pos, raw_href, href, protocol, host, path) of every anchor, in order, repeats kept.
 
@@ -47,14 +62,16 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     source = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), COMMENT, "")
     found = pages.select(
         F.col(url).alias("page_url"),
-        text.decode_entities(text.trim(_inner(F.regexp_extract(source, BASE, 1)))).alias("base_href"),
+        text.trim(_inner(F.regexp_extract(source, BASE, 1))).alias("base_href"),
         F.regexp_extract_all(source, F.lit(ANCHOR), F.lit(1)).alias("hrefs"),
     )
     each = found.select("page_url", "base_href", F.posexplode("hrefs").alias("pos", "value"))
-    each = each.withColumn("raw_href", text.decode_entities(text.trim(_inner(F.col("value"))))).where((F.col("raw_href") != "") & ~F.col("raw_href").startswith("#") & ~F.col("raw_href").rlike(SKIPPED))
-    based = each.withColumn("base", F.when(F.col("base_href") == "", F.col("page_url")).otherwise(F.coalesce(urls.resolve("base_href", "page_url"), F.col("page_url"))))
-    out = based.withColumn("href", urls.resolve("raw_href", "base")).where(F.col("href").isNotNull())
-    return out.select("page_url", "pos", "raw_href", "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"))
+    each = each.select("page_url", "base_href", "pos", text.trim(_inner(F.col("value"))).alias("raw"))
+    plain, href = urls.plain_href(F.col("raw"), F.col("page_url"))
+    fast = plain & (F.col("base_href") == "") & ~F.col("raw").contains("&")
+    link = F.when(fast, F.struct(F.col("raw").alias("raw_href"), href.alias("href"))).otherwise(_link(F.when(~fast, F.col("raw")), "base_href", "page_url"))
+    out = each.select("page_url", "pos", link.alias("link")).where(F.col("link.href").isNotNull()).select("page_url", "pos", "link.raw_href", "link.href")
+    return out.select("*", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"))
 
 
 def zip_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
