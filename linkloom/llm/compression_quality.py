@@ -7,7 +7,7 @@ the whole text and of its worst quarter of pieces, with the share of bytes that
 leaves. A logistic curve, fitted on labelled texts that no dictionary saw and weighted to the true
 class sizes, turns them into a calibrated score.
 
-Fitting uses at most ``SAMPLE`` labelled rows of each class, those of least id hash, of texts up to
+Fitting uses at most ``SAMPLE`` labelled rows of each class, those of id hashes below a cut, of texts up to
 ``LONGEST`` characters; everything is scored, whole. Labels, lang, source and ids are never inputs.
 
 Defined cases: null texts score like empty ones; a label counts if it is 0 or 1, with a non-null id;
@@ -25,7 +25,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from linkloom.llm import worker
 from linkloom.llm.store import Tables
@@ -104,15 +103,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     short = docs.where(F.length(text_col) <= LONGEST).select(F.col(id_col).alias("id"))
     usable = tables.write(marks.join(short, "id", "left_semi"), "usable")
     sizes = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    # hashes below a cut leave about 4 * SAMPLE rows of a class to rank, however many there are
-    cut = F.when(F.col("y") == 1, 4 * SAMPLE / max(sizes.get(1, 0), 1)).otherwise(4 * SAMPLE / max(sizes.get(0, 0), 1))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    near = usable.where((F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64 <= cut)
-    picked = tables.write(near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE), "picked")
-    # at most 2 * SAMPLE rows are broadcast and come to the driver, of LONGEST characters at most
-    rows = docs.where(F.length(text_col) <= LONGEST).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id", "y"]).select("y", "k", "text").orderBy("y", "k").collect()
+    # hashes below a cut leave about SAMPLE rows of a class, however many there are, with nothing to rank
+    cut = F.when(F.col("y") == 1, SAMPLE / max(sizes.get(1, 0), 1)).otherwise(SAMPLE / max(sizes.get(0, 0), 1))
+    picked = tables.write(usable.where((F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64 <= cut), "picked")
+    joined = docs.where(F.length(text_col) <= LONGEST).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").dropDuplicates(["id", "y"])
+    # at most 4 * SAMPLE rows come to the driver, of LONGEST characters at most
+    rows = joined.select("y", F.xxhash64("id").alias("h"), "id", "text").orderBy("h", "y").limit(4 * SAMPLE).collect()
     tables.drop(picked, usable)
-    texts = {(y, half): [r.text.encode() for r in rows if r.y == y and r.k % 2 == half] for y in (0, 1) for half in (0, 1)}
+    own = {y: [r.text.encode() for r in sorted(rows, key=lambda r: (r.h, r.id)) if r.y == y][:SAMPLE] for y in (0, 1)}
+    texts = {(y, half): own[y][1 - half :: 2] for y in (0, 1) for half in (0, 1)}
     if not all(texts.values()):
         share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
         return Model(weights=(float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0))

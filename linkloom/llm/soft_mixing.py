@@ -13,7 +13,7 @@ a function of the posterior and of the g so far. A pass replays them per documen
 vector of sums per task; nothing but K numbers a pass comes to the driver, no state is kept between
 passes, and a lost executor costs its tasks only.
 
-Fitting the classifier takes at most ``SAMPLE`` rows per domain, those of least text hash, with up to
+Fitting the classifier takes about ``SAMPLE`` rows per domain and twice that at most, those of text hashes below a cut, with up to
 ``LONGEST`` characters; posteriors, tokens and the fit use all of every text. Tokens are
 words ``[^\\x20\\x09-\\x0D]+`` unless a column of counts is named.
 
@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from linkloom.llm import worker
 from linkloom.llm.store import Tables
@@ -91,20 +90,16 @@ def fit_classifier(labelled: DataFrame, domains: list[str], text_col: str = "tex
     counts = {r.domain: r.n for r in usable.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most DOMAINS rows
     prior = np.array([counts.get(d, 0) + 1.0 for d in domains])
     prior /= prior.sum()
-    order = Window.partitionBy("domain").orderBy("h")
-    tables = Tables(labelled.sparkSession)
-    # hashes below a cut leave about 4 * SAMPLE rows of a domain to rank, however many there are
-    cut = F.create_map(*(x for d in domains for x in (F.lit(d), F.lit(4 * SAMPLE / max(counts.get(d, 0), 1)))))
-    hashes = usable.select("domain", F.xxhash64("text").alias("h")).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(cut, F.col("domain"))).distinct()
-    picked = tables.write(hashes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE), "picked")
-    # at most SAMPLE rows a domain are broadcast and come to the driver
-    rows = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["domain", "h"]).dropDuplicates(["domain", "h"]).select("domain", "k", "text").orderBy("domain", "k").collect()
-    tables.drop(picked)
+    # hashes below a cut leave about SAMPLE rows of a domain, however many there are, with nothing to rank or join
+    cut = F.create_map(*(x for d in domains for x in (F.lit(d), F.lit(SAMPLE / max(counts.get(d, 0), 1)))))
+    near = usable.withColumn("h", F.xxhash64("text")).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(cut, F.col("domain")))
+    # at most 2 * SAMPLE rows a domain come to the driver, of LONGEST characters at most
+    rows = near.dropDuplicates(["domain", "h"]).orderBy("h", "domain").limit(2 * SAMPLE * len(domains)).collect()
     bins = np.ones((BINS, len(domains)))
     held = []
-    for r in rows:
+    for k, r in enumerate(sorted(rows, key=lambda r: (r.domain, r.h))):
         data, d = r.text.encode(), domains.index(r.domain)
-        if r.k % 3 == 0:
+        if k % 3 == 0:
             held.append((d, data))
         elif len(data) > 2:
             bins[:, d] += np.bincount(_codes(np.frombuffer(data, np.uint8)), minlength=BINS)
