@@ -140,23 +140,27 @@ def crawl_live(spark: SparkSession, config: CrawlConfig, control: Control | None
     control, tables = control or Control(config), Tables(spark)
     config = replace(config, crawl_delay=live.crawl_delay(spark, config))
     host = F.lit(urls_host(config.start_url))
-    ask = spark.createDataFrame([(config.start_url,)], "url string").select(urls.normalize(urls.canonical(F.col("url"))).alias("url"))
+    ask = spark.createDataFrame([(config.start_url,)], "url string").select(urls.normalize(urls.canonical(F.col("url"))).alias("url"), F.lit(1).cast("long").alias("rank"))
     got, depth, n = None, 0, 0
     while control.wait():
         config = control.tuned(config)
         if config.max_pages is not None:
-            ask = ask.orderBy("_first", "url").limit(config.max_pages - n) if "_first" in ask.columns else ask
+            ask = ask.where(F.col("rank") <= config.max_pages)
         level = tables.write(live.fetch_table(ask, config), "responses")
         got, n = level if got is None else got.unionByName(level), n + level.count()
         depth += 1
         if (config.max_depth is not None and depth > config.max_depth) or (config.max_pages is not None and n >= config.max_pages):
             break
-        read = level.where((F.col("status") < 400) & (F.coalesce("error", F.lit("")) == ""))
-        in_docs = extract.document_links(read.where(F.col("doc").isNotNull())).where(F.col("href").isNotNull())
-        found = extract.links(read.where(F.col("html").isNotNull())).select("pos", "href").unionByName(in_docs.select("pos", "href"))
-        web = found.select("pos", "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"))
+        read = level.where((F.col("status") < 400) & (F.coalesce("error", F.lit("")) == "") & extract.body_verdict(F.col("html"), F.col("doc")).isNull())
+        in_docs = extract.document_links(read.where(F.col("html").isNull() & F.col("doc").isNotNull())).where(F.col("href").isNotNull())
+        found = extract.links(read.where(F.col("html").isNotNull())).select("page_url", "pos", "href").unionByName(in_docs.select("page_url", "pos", "href"))
+        web = found.select("page_url", "pos", "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"))
         inner = classify.classify(web, host, config.prefix(), config.include_subdomains).where(F.col("link_class") == "internal")
-        ask = inner.groupBy(F.col("target").alias("url")).agg(F.min("pos").alias("_first")).join(got.select("url"), "url", "left_anti")
+        # ranked as bfs ranks them, so that a cap fetches the pages that the crawl judges
+        placed = inner.join(ask.select(F.col("url").alias("page_url"), F.col("rank").alias("_rank")), "page_url")
+        fresh = placed.groupBy(F.col("target").alias("url")).agg(F.min(F.struct("_rank", F.col("pos").cast("long").alias("pos"))).alias("_first")).join(got.select("url"), "url", "left_anti")
+        fresh = tables.write(fresh.select("url", F.col("_first._rank").alias("_r"), F.col("_first.pos").alias("_p")), "fresh")
+        ask = tables.write(ranked(fresh, ["_r", "_p", "url"]).select("url", (F.col("rank") + n).cast("long").alias("rank")), "ask")
         if ask.isEmpty():
             break
     return crawl(spark, got if got is not None else live.fetch_table(ask.where("false"), config), config)
