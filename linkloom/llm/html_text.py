@@ -12,9 +12,12 @@ one order, repeated whole, and all inside one gap of the root class, the largest
 page; so valid classes nest into the template. What is left are the slots.
 
 Extraction drops the template's own text, and slots inside navigation, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments, told by element, role, class and id. Where a
-page marks its article (``article``, ``main``, or the role), only slots in it stay, whole; the
-template's text is not dropped there, as pages of copied articles share it.
+notices, adverts, forms, scripts, styles and comments, told by element, role, class and id. A marked
+article (``article``, ``main``, or the role) is evidence only: text outside it is dropped if what the
+template leaves there is no longer than what it leaves inside; else the article is a teaser and both
+stay. The template's text is dropped inside as well, but text in an article also counts by distinct
+article contents: it belongs to the template only if ``PAGES`` and ``SUPPORT`` of these have it too,
+so copied articles stay whole.
 
 Text: character references are decoded, white space inside a block is one space, blocks are joined
 by an empty line in page order. Hosts come from urls, lower-cased; pages without a host form one group.
@@ -29,7 +32,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -147,7 +150,11 @@ def token_of(kind: int, text: str, path: str) -> int:
 
 def tokens(page: str) -> list[int]:
     """The tokens of a page that can belong to a template, in order."""
-    return [token_of(k, text, path) for k, text, path, *_ in events(page) if k in (1, 2) or k == 0 and not text.isspace()]
+    return _tokens(events(page))
+
+
+def _tokens(parts: Iterable[tuple[int, str, str, bool, bool]]) -> list[int]:
+    return [token_of(k, text, path) for k, text, path, *_ in parts if k in (1, 2) or k == 0 and not text.isspace()]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +194,10 @@ def classes(pages: DataFrame) -> DataFrame:
     return frequent.groupBy("host").agg(F.mode(whole, True).alias("root"), F.collect_list(F.struct("token", "class")).alias("members"))
 
 
-def _gaps(page: str, root: int | None, of: dict[int, int]) -> tuple[dict[int, list[int]], dict[int, set[int]]]:
+def _gaps(own_tokens: list[int], root: int | None, of: dict[int, int]) -> tuple[dict[int, list[int]], dict[int, set[int]]]:
     """By class: its tokens in page order, and the gaps of the root class they lie in."""
     order, gaps, gap = defaultdict(list), defaultdict(set), 0
-    for token in tokens(page):
+    for token in own_tokens:
         own = of.get(token)
         if own is None:
             continue
@@ -203,16 +210,25 @@ def _gaps(page: str, root: int | None, of: dict[int, int]) -> tuple[dict[int, li
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and class of some pages: hash of its order and its gap, least and greatest; 0 pages out of order count as such."""
+    """Per host and class of some pages: hash of its order and its gap, least and greatest; 0 pages out of order count as such.
+
+    Rows with broken = -1 are (host, 0, token, article, ...): the frequent texts in each article content, and token 0 for the article itself.
+    """
     names = ["host", "class", "order_low", "order_high", "gap_low", "gap_high", "broken"]
     for batch in batches:
         held: dict[tuple[str, int], list[int]] = {}
         known: dict[str, dict[int, int]] = {}
+        seen: set[tuple[str, int, int]] = set()
         for page, host, root, members in zip(*(batch.column(k) for k in range(4)), strict=True):
             host, root = host.as_py(), root.as_py()
             if host not in known:
                 known[host] = {m["token"]: m["class"] for m in members.as_py()}
-            order, gaps = _gaps(page.as_py() or "", root, known[host])
+            parts = list(events(page.as_py() or ""))
+            order, gaps = _gaps(_tokens(parts), root, known[host])
+            texts = [(text, path) for k, text, path, dropped, inside in parts if k == 0 and inside and not dropped and not text.isspace()]
+            if texts:
+                article = _hash("\0".join(" ".join(text.split()) for text, _ in texts))
+                seen.update((host, t, article) for t in (0, *(t for t in (token_of(0, *x) for x in texts) if t in known[host])))
             for own, seq in order.items():
                 once = list(dict.fromkeys(seq))
                 broken = int(seq != once * (len(seq) // len(once)) or len(gaps[own]) > 1)
@@ -222,7 +238,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held[host, own] = [sign, sign, gap, gap, broken]
                 else:
                     held[host, own] = [min(row[0], sign), max(row[1], sign), min(row[2], gap), max(row[3], gap), row[4] + broken]
-        cols = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [()] * 7
+        out = [(*k, *v) for k, v in held.items()] + [(h, 0, t, article, 0, 0, -1) for h, t, article in seen]
+        cols = list(zip(*out, strict=True)) or [()] * 7
         yield pa.record_batch([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(cols)], names)
 
 
@@ -232,10 +249,15 @@ def templates(pages: DataFrame) -> DataFrame:
     found = tables.write(classes(pages), "classes")
     hosted = pages.select(host_column("url").alias("host"), "html").join(found, "host")
     sums = hosted.select("html", "host", "root", "members").mapInArrow(_evidence, "host string, class long, order_low long, order_high long, gap_low long, gap_high long, broken long")
-    judged = sums.groupBy("host", "class").agg(F.min("order_low").alias("a"), F.max("order_high").alias("b"), F.min("gap_low").alias("c"), F.max("gap_high").alias("d"), F.sum("broken").alias("broken"))
+    sums = tables.write(sums, "evidence")
+    articles = sums.where("broken = -1").groupBy("host", F.col("order_low").alias("token")).agg(F.count_distinct("order_high").alias("n"))
+    totals = articles.where("token = 0").select("host", F.col("n").alias("all"))
+    copied = articles.where("token <> 0").join(totals, "host").where(F.col("n") < F.greatest(F.lit(PAGES), SUPPORT * F.col("all"))).groupBy("host").agg(F.collect_list("token").alias("copied"))
+    judged = sums.where("broken >= 0").groupBy("host", "class").agg(F.min("order_low").alias("a"), F.max("order_high").alias("b"), F.min("gap_low").alias("c"), F.max("gap_high").alias("d"), F.sum("broken").alias("broken"))
     valid = judged.where("a = b and c = d and broken = 0").groupBy("host").agg(F.collect_set("class").alias("valid"))
     kept = F.transform(F.filter("members", lambda m: F.array_contains("valid", m.getField("class"))), lambda m: m.getField("token"))
-    return tables.write(found.join(valid, "host").select("host", kept.alias("template")), "templates")
+    left = F.array_except(kept, F.coalesce("copied", F.array().cast("array<bigint>")))
+    return tables.write(found.join(valid, "host").join(copied, "host", "left").select("host", left.alias("template")), "templates")
 
 
 def host_column(url: str) -> F.Column:
@@ -247,6 +269,12 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     """The main text of a page, given its host's template."""
     parts = list(events(page))
     marked = any(inside and k == 1 for k, _, _, _, inside in parts)
+    good = [k == 0 and not dropped and not (template and token_of(0, text, path) in template) for k, text, path, dropped, _ in parts]
+    if marked:
+        sizes = [0, 0]
+        for own, (_, text, _, _, inside) in zip(good, parts, strict=True):
+            sizes[inside] += own and len(text.strip())
+        marked = sizes[1] >= sizes[0]
     blocks, run = [], []
 
     def flush() -> None:
@@ -255,12 +283,12 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
             blocks.append(text)
         run.clear()
 
-    for kind, text, path, dropped, inside in parts:
+    for own, (kind, text, _, _, inside) in zip(good, parts, strict=True):
         if kind == 4:
             run.append(" ")
         elif kind:
             flush()
-        elif not dropped and (inside if marked else not (template and token_of(0, text, path) in template)):
+        elif own and (inside or not marked):
             run.append(entities.unescape(text) if "&" in text else text)
     flush()
     return "\n\n".join(blocks)
