@@ -1,24 +1,30 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Components become integers floor(256 * x). A shard of at most ``SHARD`` rows has, per component,
-its rows in order of value. Relative to the shard's least (for a negative query component: greatest)
-value a component's part of the score is never negative; quantised to ``LEVELS`` steps it is a
-posting's impact. For a query, segments of postings of all components are processed by descending
-impact times query weight, adding each row's least possible part to its accumulator. What a row can
-still gain is bounded by the next segments and the steps' width. Rows whose bound is below the
-k-th best score proven so far can't be members; only once the others are few, or no segment is
-left, does processing stop, and these possible members are scored exactly. So results are exact.
-
-Queries are written in blocks of at most ``BLOCK`` rows to files in the shared folder, each with a
-threshold: the k-th best score within its own block, a proven bound. Each task builds its shards'
-indexes and streams the blocks; nothing is broadcast and no cross join is made. A task returns at
-most k rows per query that reach the bound, and a window limited before the shuffle keeps the k best.
+Components become integers floor(256 * x). A shard of at most ``SHARD`` rows has one posting list per
+component, of impacts: the values in at most ``LEVELS`` steps of equal width, so that a list's largest
+impact bounds all of its postings. A query takes the lists in descending order of its weight times
+that largest impact, a segment of ``SEGMENT`` lists at a time, and adds weight times impact to the
+accumulators of the rows that are left.
+
+What a row can still gain is at most |q_rest| * |x_rest| (Cauchy and Schwarz), the norms of query and
+row over the lists not yet processed, plus |q| times the norm of what the steps cut off. After each
+segment the rows with the best accumulators are scored exactly; the k-th best of these is a proven
+bound. Rows that can't reach it leave, and the accumulators are compacted. Only once few rows are
+left, or no segment, does processing stop, and these possible members are scored exactly. Impacts,
+sums and squared norms are whole numbers below 2**53 in double precision, so only square roots are
+rounded, for which the bound leaves room. So results are exact.
+
+Queries are written in blocks of at most ``BLOCK`` rows to files in the shared folder. Each task
+builds its shards' indexes and streams the blocks; nothing is broadcast and no cross join is made. A
+task returns at most k rows per query and shard, and a window limited before the shuffle keeps the k
+best. Bounds come from the shard's own rows, so queries need not be rows of the vectors.
 
 Defined cases: vectors null or with null or non-finite components, and rows with a null id, take no
 part; shorter vectors count as padded with zeros; rows with the query's own id are not its
 candidates; each repeated query row gets its own answer, each repeated candidate its own place; other
-columns are ignored; an empty table gives an empty result. Components of 2**24 or more in magnitude
-are scored in exact integers of any size; scores are then held to the range of a long.
+columns, whatever their names, are ignored; an empty table gives an empty result. Shards and queries
+with components of 2**22 or more in magnitude are scored whole in exact integers of any size; scores
+are then held to the range of a long.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ from pyspark.sql.window import Window
 from linkloom.llm import files
 from linkloom.llm.store import Tables, new_path
 
-SHARD, BLOCK, LEVELS, ROUNDS = 1 << 16, 1 << 11, 64, 8
-_SAFE, _LOWEST = 1 << 24, -(1 << 62)
+SHARD, BLOCK, LEVELS, SEGMENT = 1 << 16, 1 << 11, 256, 8
+_SAFE, _FEW, _LOWEST = 1 << 22, 64, -(1 << 63)
 
 
 def integers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -69,62 +75,56 @@ class Shard:
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.matrix = ids[order], matrix[order]
+        self.processed = 0  # postings, of all searches
         self.plain = matrix.dtype == np.int64 and np.abs(matrix).max(initial=0) < _SAFE
-        if not self.plain:
+        if not self.plain or not len(ids):
             return
-        self.rows = np.ascontiguousarray(np.argsort(self.matrix, axis=0, kind="stable").T.astype(np.int32))
-        self.values = np.take_along_axis(self.matrix.T, self.rows.astype(np.int64), 1)
-        self.low, self.high = (self.values[:, 0], self.values[:, -1]) if len(ids) else (None, None)
-        self.step = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS)) if len(ids) else None
-
-    def search(self, own: int, query: np.ndarray, k: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows that reach the bound, best first."""
+        values = self.matrix.T
+        step = np.maximum(1, -(-2 * np.abs(values).max(1, keepdims=True) // LEVELS))
+        impacts = (2 * values + step) // (2 * step) * step
+        self.impacts = np.ascontiguousarray(impacts.astype(np.float32))  # whole numbers of at most 23 bits
+        self.top = np.abs(impacts).max(1)
+        self.energy = (impacts * impacts).sum(0).astype(float)
+        self.cut_off = np.sqrt(((values - impacts) ** 2).sum(0).astype(float)) * (1 + 1e-12)
+
+    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows, best first."""
         width = max(self.matrix.shape[1], len(query))
         query = np.pad(query, (0, width - len(query))) if len(query) < width else query
         a, b = np.searchsorted(self.ids, [own, own + 1]) if own < (1 << 63) - 1 else (np.searchsorted(self.ids, own), len(self.ids))
-        if not self.plain or query.dtype != np.int64 or np.abs(query).max(initial=0) >= _SAFE or len(self.ids) <= 64:
+        if not self.plain or query.dtype != np.int64 or np.abs(query).max(initial=0) >= _SAFE or len(self.ids) - (b - a) <= _FEW:
             maybe = np.concatenate([np.arange(a), np.arange(b, len(self.ids))])
         else:
-            maybe = self._possible(query[: self.matrix.shape[1]], k, bound, a, b)
+            maybe = self._possible(query[: self.matrix.shape[1]], k, a, b)
         scores = _exact(_wider(self.matrix[maybe], width), query)
-        near = scores >= bound
-        ids, scores = self.ids[maybe[near]], scores[near]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+        best = np.lexsort((self.ids[maybe], -scores))[:k]
+        return self.ids[maybe[best]], scores[best]
 
-    def _possible(self, query: np.ndarray, k: int, bound: int, a: int, b: int) -> np.ndarray:
+    def _possible(self, query: np.ndarray, k: int, a: int, b: int) -> np.ndarray:
         """Rows other than a..b that the proof doesn't rule out."""
-        n, weight, up = len(self.ids), np.abs(query), query >= 0
-        floor = int((query * np.where(up, self.low, self.high)).sum())
-        slack = int((weight * (self.step - 1)).sum())
-        total = np.zeros(n, np.int64)
-        top = (weight * self.step * LEVELS).max(initial=0)
-        done = np.zeros(len(query), np.int64)  # postings processed, from the end of high impact
-        for turn in range(1, ROUNDS + 1):
-            cut = top * (ROUNDS - turn) // ROUNDS  # segments of at least this impact are due
-            rest = 0
-            for j in np.flatnonzero(weight).tolist():
-                step, w = int(self.step[j]), int(weight[j])
-                level = -(-cut // (w * step))  # the lowest level due
-                if up[j]:
-                    end = n - int(np.searchsorted(self.values[j], self.low[j] + level * step))
-                    some = slice(n - end, n - int(done[j]))
-                    gain = (self.values[j, some] - self.low[j]) // step
-                else:
-                    end = int(np.searchsorted(self.values[j], self.high[j] - level * step, "right"))
-                    some = slice(int(done[j]), end)
-                    gain = (self.high[j] - self.values[j, some]) // step
-                total[self.rows[j, some]] += gain * (w * step)
-                done[j] = max(end, done[j])
-                if done[j] < n:
-                    rest += w * step * max(level - 1, 0)
-            total[a:b] = _LOWEST
-            if n - (b - a) >= k:
-                bound = max(bound, floor + int(np.partition(total, n - k)[n - k]))
-            maybe = np.flatnonzero(total >= bound - floor - slack - rest)
-            if len(maybe) <= max(8 * k, n // 64):
+        rows = np.r_[0:a, b : len(self.ids)]
+        if len(rows) <= k:
+            return rows
+        impact = np.abs(query) * self.top
+        order = np.argsort(-impact, kind="stable")[: np.count_nonzero(impact)]
+        weight = query.astype(float)
+        sums, left, bound = np.zeros(len(rows)), self.energy[rows], -np.inf
+        slack = float(np.sqrt((weight * weight).sum())) * (1 + 1e-12) * self.cut_off[rows]
+        for at in range(0, len(order), SEGMENT):
+            lists = order[at : at + SEGMENT]
+            gains = self.impacts[np.ix_(lists, rows)].astype(float)
+            self.processed += gains.size
+            sums += weight[lists] @ gains
+            left -= np.einsum("ij,ij->j", gains, gains)
+            rest = float(np.sqrt((weight[order[at + SEGMENT :]] ** 2).sum()))
+            best = np.argpartition(sums, len(rows) - k)[len(rows) - k :]
+            bound = max(bound, int((self.matrix[rows[best]] @ query).min()))
+            keep = sums + rest * np.sqrt(left) * (1 + 1e-12) + slack + 1 >= bound
+            if not keep.all():
+                rows, sums, left, slack = rows[keep], sums[keep], left[keep], slack[keep]
+            if len(rows) <= max(8 * k, _FEW):
                 break
-        return maybe[(maybe < a) | (maybe >= b)]
+        return rows
 
 
 def _take(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,18 +147,14 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return np.concatenate([i for i, _ in parts]), np.concatenate([_wider(m, width) for _, m in parts])
 
 
-def _block_files(queries: DataFrame, folder: str, k: int) -> DataFrame:
-    """(uri): files of query blocks with their bounds."""
+def _block_files(queries: DataFrame, folder: str) -> DataFrame:
+    """(uri): files of query blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, matrix in _take(batches, BLOCK):
-            shard = Shard(ids, matrix)
-            bounds = []
-            for own, query in zip(ids.tolist(), matrix, strict=True):
-                scores = shard.search(own, query, k, -(1 << 63))[1]
-                bounds.append(int(scores[k - 1]) if len(scores) == k else -(1 << 63))
-            rows = pa.array([[str(x) for x in r] for r in matrix] if matrix.dtype == object else matrix.tolist(), pa.list_(pa.string() if matrix.dtype == object else pa.int64()))
-            table = pa.record_batch([pa.array(ids), pa.array(bounds, pa.int64()), rows], ["id", "bound", "vector"])
+            flat = pa.array([str(x) for x in matrix.ravel()], pa.string()) if matrix.dtype == object else pa.array(matrix.ravel())
+            rows = pa.FixedSizeListArray.from_arrays(flat, matrix.shape[1]) if matrix.shape[1] else pa.array([[]] * len(ids), pa.list_(pa.int64(), 0))
+            table = pa.record_batch([pa.array(ids), rows], ["id", "vector"])
             with files.writer(folder, "queries") as (uri, out), pa.ipc.new_file(out, table.schema) as to:
                 to.write_batch(table)
             yield pa.record_batch([pa.array([uri])], ["uri"])
@@ -166,12 +162,12 @@ def _block_files(queries: DataFrame, folder: str, k: int) -> DataFrame:
     return queries.mapInArrow(run, "uri string")
 
 
-def _load(uri: str) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(row, id, bound, vector) of a block's queries."""
-    table = pa.ipc.open_file(files.whole(uri)).read_all()
-    exact = pa.types.is_string(table.schema.field("vector").type.value_type)
-    for row, (own, bound, vector) in enumerate(zip(*(table.column(c).to_pylist() for c in ("id", "bound", "vector")), strict=True)):
-        yield row, own, bound, np.array([int(x) for x in vector], object) if exact else np.array(vector, np.int64)
+def _load(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block's queries."""
+    table = pa.ipc.open_file(files.whole(uri)).read_all().combine_chunks()
+    kind, flat = table.schema.field("vector").type, table.column("vector").combine_chunks().flatten()
+    values = np.array([int(x) for x in flat.to_pylist()], object) if pa.types.is_string(kind.value_type) else flat.to_numpy()
+    return table.column("id").to_numpy(), values.reshape(table.num_rows, kind.list_size)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -181,17 +177,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     files.make_dir(folder)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite))
-    uris = [r.uri for r in tables.write(_block_files(clean(queries), folder, k), "blocks").toLocalIterator()]  # names of files, one for 2048 queries
+    uris = [r.uri for r in tables.write(_block_files(clean(queries), folder), "blocks").toLocalIterator()]  # names of files, one for 2048 queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, matrix in _take(batches, SHARD):
             shard = Shard(ids, matrix)
             for block, uri in enumerate(uris):
-                found = []
-                for row, own, bound, query in _load(uri):
-                    near, scores = shard.search(own, query, k, bound)
-                    found.append((np.full(len(near), block * BLOCK + row), np.full(len(near), own), near, scores))
-                yield pa.record_batch([pa.array(np.concatenate([f[c] for f in found]).astype(np.int64)) for c in range(4)], ["q", "query_id", "vec_id", "score"])
+                own, wanted = _load(uri)
+                found = [shard.search(int(x), query, k) for x, query in zip(own, wanted, strict=True)]
+                sizes = [len(near) for near, _ in found]
+                rows = np.repeat(np.arange(len(own)), sizes)
+                yield pa.record_batch([pa.array(c) for c in (block * BLOCK + rows, own[rows], np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))], ["q", "query_id", "vec_id", "score"])
 
     pairs = clean(vectors).mapInArrow(run, "q long, query_id long, vec_id long, score long")
     best = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), F.asc("vec_id"))

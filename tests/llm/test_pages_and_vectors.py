@@ -121,7 +121,7 @@ def test_compressed_dictionary_frame():
 def test_archives_of_odd_pages(spark):
     big = "x" * 200
     rows = [(None, None, big), (9, "a\nb", big), (8, "u", big), (8, "u", big), (1, "u", None), (2, "u", "y"), (3, "u", "y"), (4, None, "z" * 99), (5, "u", "z" * 99), (6, "u", "é" * 50), (7, "u", "é" * 50), (None, "u", "q" * 300), (None, "u", "q" * 300)]
-    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
+    pages = spark.createDataFrame([(*r, "extra", 1, "x", True, b"y") for r in rows], "page_id long, url string, html string, digest string, first int, n string, revisit boolean, payload binary")
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_digests(pages).collect()), key=repr)
     assert got == sorted(
         [(None, 200, "revisit", 8), (9, 200, "revisit", 8), (8, 200, "response", None), (8, 200, "response", None), (1, 0, "response", None), (2, 1, "response", None), (3, 1, "response", None), (4, 99, "response", None), (5, 99, "response", None), (6, 100, "response", None), (7, 100, "revisit", 6), (None, 300, "response", None), (None, 300, "response", None)],
@@ -172,7 +172,43 @@ def test_search_stops_early_and_is_still_exact():
     matrix[:20] *= 40
     shard = top_k.Shard(np.arange(5000), matrix)
     for own in (0, 3, 77):
-        ids, scores = shard.search(own, matrix[own], 5, -(1 << 63))
+        ids, scores = shard.search(own, matrix[own], 5)
         want = sorted(((-int(s), i) for i, s in enumerate(matrix @ matrix[own]) if i != own))[:5]
         assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
-        assert len(shard._possible(matrix[own], 5, -(1 << 62), own, own + 1)) < 5000
+        assert len(shard._possible(matrix[own], 5, own, own + 1)) < 5000
+
+
+def test_test_vectors_need_under_60_percent_of_postings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    whole = np.floor(256 * np.array([r.embedding for r in rows], float)).astype(np.int64)
+    shard, queries = top_k.Shard(ids, whole), np.flatnonzero(ids % 50 == 0)
+    for q in queries:
+        near, scores = shard.search(int(ids[q]), whole[q], 5)
+        exact = whole @ whole[q]
+        want = [x for x in np.lexsort((ids, -exact)) if x != q][:5]
+        assert near.tolist() == ids[want].tolist() and scores.tolist() == exact[want].tolist()
+    assert shard.processed < 0.6 * whole.size * len(queries)
+
+
+@pytest.mark.parametrize("scale", [1, 40, 9000, 1 << 21])
+def test_search_of_coarse_impacts_is_exact(scale):
+    rng = np.random.default_rng(scale)
+    matrix = rng.integers(-scale, scale + 1, (3000, 12))
+    matrix[::3] = matrix[0]
+    shard = top_k.Shard(rng.permutation(3000), matrix)
+    for query in [*shard.matrix[:5], -shard.matrix[7], np.zeros(12, np.int64), rng.integers(-scale, scale + 1, 12)]:
+        ids, scores = shard.search(-1, query, 7)
+        want = sorted((-int(s), int(i)) for i, s in zip(shard.ids, shard.matrix @ query, strict=True))[:7]
+        assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+
+
+def test_top_k_of_outside_queries_and_clashing_columns(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, (500, 6)), rng.normal(0, 9, (9, 6))
+    frame = lambda m, first: spark.createDataFrame([(first + i, v.tolist(), 1, 2, 3, 4) for i, v in enumerate(m)], "vec_id long, embedding array<double>, id int, v int, q int, score int")
+    got = {}
+    for r in top_k.top_k(frame(x, 0), frame(y, 10_000)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    a, b = (np.floor(256 * m).astype(np.int64) for m in (x, y))
+    assert got == {10_000 + i: sorted((-int(s), k) for k, s in enumerate(a @ q))[:5] for i, q in enumerate(b)}
