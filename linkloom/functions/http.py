@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkloom.functions import text
+
 #: Fixed values.
 BLOCKED_STATUS = (401, 403, 405, 406, 408, 409, 429, 451, 999)
 HEAD_DOUBTFUL = (0, 400, 403, 405, 406, 429, 501)
@@ -12,6 +16,10 @@ MAX_HTML, MAX_DOC = 5 * 1024 * 1024, 25 * 1024 * 1024
 CHALLENGE = r"(?i)just a moment|attention required|checking your browser|verify you are human|cf-browser-verification|please wait while|ddos protection|access denied|are you a robot"
 DEAD = r"name_not_resolved|enotfound|connection_refused|econnrefused|connection_closed|address_unreachable|ehostunreach|enetunreach|ssl|cert|err_cert|certificate"
 BACKOFF_MS = 5000
+NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+PLAIN_ACCEPT = "text/html,application/xhtml+xml,*/*"
+BROWSER_ACCEPT = "text/html,application/xhtml+xml,application/xml;q=0.9,image/avif,image/webp,*/*;q=0.8"
+OLE_TYPES, PDF_PATH, OOXML_PATH, OLE_PATH = ("msword", "ms-excel", "ms-powerpoint", "vnd.ms-"), r"\.pdf(\?|$)", r"\.(docx|xlsx|pptx)(\?|$)", r"\.(doc|xls|ppt)(\?|$)"
 
 
 def disposition(status: Column, error: Column) -> Column:
@@ -55,8 +63,8 @@ def probe(head_status: Column, head_error: Column, get_status: Column, get_error
 def document_type(content_type: Column, path: Column) -> Column:
     """pdf, ooxml or ole by content type or extension, else null."""
     c, p = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(path, F.lit("")))
-    ole = c.contains("msword") | c.contains("ms-excel") | c.contains("ms-powerpoint") | c.contains("vnd.ms-") | p.rlike(r"\.(doc|xls|ppt)(\?|$)")
-    return F.when(c.contains("pdf") | p.rlike(r"\.pdf(\?|$)"), "pdf").when(c.contains("openxmlformats") | p.rlike(r"\.(docx|xlsx|pptx)(\?|$)"), "ooxml").when(ole, "ole")
+    ole = reduce(lambda acc, x: acc | c.contains(x), OLE_TYPES, p.rlike(OLE_PATH))
+    return F.when(c.contains("pdf") | p.rlike(PDF_PATH), "pdf").when(c.contains("openxmlformats") | p.rlike(OOXML_PATH), "ooxml").when(ole, "ole")
 
 
 def sniff(doc: Column) -> Column:
@@ -77,13 +85,13 @@ def content_gate(content_type: Column, path: Column, scan_docs: bool = True) ->
 def request_headers(user_agent: str, browser: bool = False) -> dict[str, str]:
     """Headers of a plain or a browser-like request."""
     if browser:
-        return {"User-Agent": user_agent, "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,image/avif,image/webp,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.9"}
-    return {"User-Agent": user_agent, "Accept": "text/html,application/xhtml+xml,*/*"}
+        return {"User-Agent": user_agent, "Accept": BROWSER_ACCEPT, "Accept-Language": "en-US,en;q=0.9"}
+    return {"User-Agent": user_agent, "Accept": PLAIN_ACCEPT}
 
 
 def retry_after(value: Column, now: Column, max_ms: int) -> Column:
     """Milliseconds of a Retry-After header, seconds or HTTP date, held to 0..max_ms."""
-    seconds = value.try_cast("double")
+    seconds = F.when(value.rlike(NUMBER), text.trim(value).try_cast("double"))
     date = F.try_to_timestamp(F.regexp_replace(value, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", "$1"), F.lit("dd MMM yyyy HH:mm:ss"))
     ms = F.coalesce(seconds * 1000, (F.unix_millis(date) - F.unix_millis(now)).cast("double"), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(ms, F.lit(float(max_ms))))

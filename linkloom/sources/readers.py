@@ -119,10 +119,15 @@ def part_meta(spark: SparkSession, folder: str, stem: str = "crawl-progress", ex
     return rows.select(F.col("_metadata.file_name").alias("file"), F.substring("value", 7, 1 << 30).alias("meta"))
 
 
+def parse_url_list(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(url) of a list's lines; '#' cuts anywhere, blanks are dropped."""
+    t = text.trim(F.regexp_replace(column, "#.*$", ""))
+    return lines.select(t.alias("url")).where(F.col("url") != "")
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
-    """(url) of a list file; '#' cuts anywhere, blanks are dropped."""
-    t = text.trim(F.regexp_replace("value", "#.*$", ""))
-    return spark.read.text(path).select(t.alias("url")).where(F.col("url") != "")
+    """(url) of a list file."""
+    return parse_url_list(spark.read.text(path))
 
 
 def domain_list(spark: SparkSession, path: str) -> DataFrame:
@@ -139,7 +144,11 @@ def flag(value: Column) -> Column:
 
 def settings(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
     """(key, value) of a key=value file: comments and unknown keys left out; the last of equal keys wins."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    return parse_settings(spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")), known)
+
+
+def parse_settings(rows: DataFrame, known: list[str]) -> DataFrame:
+    """(key, value) of (line, value) rows of key=value text."""
     t = text.trim(F.col("value"))
     pairs = rows.where((t != "") & ~t.startswith("#") & t.contains("=")).select("line", text.trim(F.substring_index(t, "=", 1)).alias("key"), text.trim(F.regexp_extract(t, r"(?s)^[^=]*=(.*)$", 1)).alias("value"))
     return pairs.where(F.col("key").isin(known)).groupBy("key").agg(F.max_by("value", "line").alias("value"))
