@@ -1,8 +1,13 @@
 import re
+import struct
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from linkloom.llm import compression_quality as cq
@@ -118,4 +123,48 @@ def test_classifier_edge_cases(spark, odd, none, documents):
     assert cq.with_scores(none, model).count() == 0
     alone = cq.fit(documents, labels.where("quality = 1"))
     assert cq.with_scores(documents, alone).select("score").distinct().count() == 1
-    assert cq.fit(none, labels.where("false")).score(__import__("numpy").zeros((1, 4)))[0] == 0.5
+    assert cq.fit(none, labels.where("false")).score(np.zeros((1, 5)))[0] == 0.5
+
+
+def test_scores_equal_a_plain_classifier(spark, documents):
+    """Dictionaries, features, curve and scores again, by loops over lists."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = cq.fit(documents, labels)
+    texts = {r.doc_id: r.text.encode() for r in documents.collect()}
+    learnt = [(r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts]
+    hashes = {i: (lambda h: h - (h >> 63 << 64))(xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) for i, _ in learnt}
+    half = {y: [i for _, i in sorted((hashes[i], i) for i, q in learnt if q == y)] for y in (0, 1)}
+    cut = lambda t: [t[k : k + 512] for k in range(0, len(t), 512)]
+    even = lambda p: [p[k * len(p) // min(16, len(p))] for k in range(min(16, len(p)))]
+    raw = []
+    for y in (1, 0):
+        pieces = [p for i in half[y][::2] for p in even(cut(texts[i]))]
+        try:
+            raw.append(zstandard.train_dictionary(32 << 10, pieces).as_bytes())
+        except zstandard.ZstdError:
+            raw.append(b"".join(pieces)[-(32 << 10) :])
+    assert (model.good, model.bad) == tuple(raw)
+
+    def size(piece, known):
+        return len(zstandard.ZstdCompressor(level=1, dict_data=known and zstandard.ZstdCompressionDict(known), write_content_size=False, write_dict_id=False).compress(piece))
+
+    def plain(text):
+        g, b, n = ([size(p, known) for p in cut(text)] for known in (*raw, None))
+        worst = max(1, len(g) // 4)
+        least = lambda x: sum(sorted(x)[:worst]) / worst
+        each = [(y - x) / min(x, y) for x, y in zip(g, b, strict=True)], [(z - x) / z for x, z in zip(g, n, strict=True)]
+        return [(sum(b) - sum(g)) / min(sum(g), sum(b)), least(each[0]), (sum(n) - sum(g)) / sum(n), least(each[1]), (sum(n) - sum(b)) / sum(n)]
+
+    held = [(plain(texts[i]), y) for y in (0, 1) for i in half[y][1::2]]
+    x = np.array([f for f, _ in held])
+    y = np.array([q for _, q in held])
+    w = np.array([len(half[q]) / len(half[q][1::2]) for q in y])
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
+    beta = np.array([model.weights[0] + (np.array(model.weights[1:]) * mean).sum(), *(np.array(model.weights[1:]) * spread)])
+    p = 1 / (1 + np.exp(-z @ beta))
+    slope = z.T @ (w / w.sum() * len(w) * (y - p)) - np.r_[1e-6, [0.1] * 5] * beta
+    assert np.abs(slope).max() < 1e-5  # the curve is the optimum of the penalised likelihood
+    for r in cq.with_scores(documents, model).select("doc_id", "score").collect():
+        got = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], plain(texts[r.doc_id]), strict=True))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(got, -30, 30)))) < 1e-9
