@@ -2,18 +2,22 @@
 
 Merging by rank fixes, for every prefix of a piece, the last token of that prefix's encoding: a
 token sequence is the encoding if and only if each adjacent pair encodes to itself. So the
-transducer reads a piece byte by byte. Its state holds the positions from which a token may still
-end later (a trie node each) with the tokens pending up to them. A byte moves the trie nodes; the
-one token that ends here after a position and fits its last token extends that position's tokens.
-Tokens that all live positions share are emitted: the lookahead is at most the longest token's
-length. States and transitions are made when first met and kept, up to ``STATES`` states; beyond,
-the machine goes on from state to state without keeping them. Likewise up to ``PIECES`` whole pieces
-met are remembered, and the tests of up to ``PAIRS`` pairs. All of it takes about 300 MB in a worker. After ``STALE`` pieces that found no room both stores start anew, for texts that
-have changed.
+transducer reads a piece byte by byte and says of each prefix which token ends it. Its state is the
+set of positions from which a token may still end later, each a trie node and the last token before
+it. A byte moves the trie nodes; the one token that ends here and fits the last token before it is
+the prefix's. At nodes above ``SMALL`` tokens or fewer, last tokens after which the same of these
+fit are one, and positions after which none fits are let go, so that states of different pasts meet
+and their number flattens. Tokens are emitted by walking back from prefix to prefix: at a piece's
+end, and in long ones after ``AHEAD`` bytes up to the place that all live positions share.
+
+States and transitions are made when first met. When ``STATES`` are held, all are let go and made
+anew; so are remembered pieces beyond ``PIECES`` and tested pairs beyond ``PAIRS``. Each step is the
+same whatever is held. All of it takes about 300 MB in a worker.
 
 A piece that is itself a token is that token, as in the rank library. Null texts encode to no ids
-like empty ones; repeated rows and null ids pass through; other columns are ignored; texts are
-whole whatever their length, as pieces are joined as they come.
+like empty ones; repeated rows and null ids pass through; other columns, whatever their names, are
+ignored; texts are whole whatever their length, as pieces are joined as they come; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import worker
 
-STATES, PIECES, PAIRS, STALE = 100_000, 600_000, 250_000, 10_000_000
+STATES, PIECES, PAIRS, SMALL, AHEAD = 200_000, 600_000, 250_000, 32, 4096
 _CHUNK, _LONG = 1 << 16, 1 << 20
 
 
@@ -71,19 +75,26 @@ class Transducer:
                 node = nxt
             ends[node] = rank
         self.ends = [ends.get(node, -1) for node in range(nodes)]
-        self.inner = bytearray(nodes)
-        for key in self.child:
-            self.inner[key >> 8] = 1
+        self.kids: list[list[int]] = [[] for _ in range(nodes)]
+        self.depth = [0] * nodes
+        for key, node in self.child.items():  # parents come before their children
+            self.kids[key >> 8].append(node)
+            self.depth[node] = self.depth[key >> 8] + 1
+        self.under = [0] * nodes  # tokens strictly below a node
+        for node in range(nodes - 1, -1, -1):
+            self.under[node] = sum(self.under[k] + (self.ends[k] >= 0) for k in self.kids[node])
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.spines: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.pairs.clear()
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state((-1, _FRESH))
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.met: dict[tuple[int, int], tuple[int, int] | None] = {}
+        self.first: dict[tuple, int] = {}
+        self._state(_FRESH)
 
     def _state(self, state: tuple) -> int:
         at = self.ids.get(state)
@@ -114,9 +125,9 @@ class Transducer:
         pair = left + 1 << 24 | token
         known = self.pairs.get(pair)
         if known is None:
-            known = self._fits(left, token)
-            if len(self.pairs) < PAIRS:
-                self.pairs[pair] = known
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[pair] = self._fits(left, token)
         return known
 
     def _fits(self, left: int, token: int) -> bool:
@@ -137,39 +148,40 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, anchor: int, live: tuple, byte: int) -> tuple[int, tuple, tuple[int, ...]]:
-        """(last emitted token, live positions, tokens emitted) after a byte."""
-        child, ends, inner, pairs = self.child.get, self.ends, self.inner, self.pairs.get
-        after, here = [], None
-        for node, pending in live:
-            node = child(node << 8 | byte)
+    def _below(self, node: int) -> Iterator[int]:
+        for kid in self.kids[node]:
+            if self.ends[kid] >= 0:
+                yield self.ends[kid]
+            yield from self._below(kid)
+
+    def _meet(self, node: int, left: int) -> tuple[int, int] | None:
+        """The position that stands for all with this node after which the same tokens fit; None if none does."""
+        fit = tuple([t for t in self._below(node) if self.fits(left, t)])
+        return (node, self.first.setdefault((node, fit), left)) if fit else None
+
+    def _move(self, at: int, byte: int) -> tuple[int, int]:
+        """(next state, token that ends here) after a byte."""
+        if len(self.states) >= STATES or len(self.met) >= 4 * STATES:
+            live = self.states[at]
+            self._clear()
+            at = self._state(live)
+        here, after = -1, []
+        for position in self.states[at]:
+            node = self.child.get(position[0] << 8 | byte)
             if node is None:
                 continue
-            if here is None:
-                token = ends[node]
-                if token >= 0:
-                    left = pending[-1] if pending else anchor
-                    fit = pairs(left + 1 << 24 | token)
-                    if self.fits(left, token) if fit is None else fit:
-                        here = (*pending, token)
-            if inner[node]:
-                after.append((node, pending))
-        if not after:
-            return here[-1], _FRESH, here
-        after.append((0, here))
-        first = after[0][1]
-        if not first:
-            return anchor, tuple(after), ()
-        shared = 0
-        while shared < len(first) and all([len(p) > shared and p[shared] == first[shared] for _, p in after]):
-            shared += 1
-        if shared:
-            return first[shared - 1], tuple([(n, p[shared:]) for n, p in after]), first[:shared]
-        return anchor, tuple(after), ()
-
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        anchor, live, out = self._step(*self.states[at], byte)
-        move = self.moves[at << 8 | byte] = (self._state((anchor, live)), out)
+            token = self.ends[node]
+            if here < 0 <= token and self.fits(position[1], token):
+                here = token
+            if self.under[node]:
+                now = node, position[1]
+                if self.under[node] <= SMALL:
+                    if now not in self.met:
+                        self.met[now] = self._meet(*now)
+                    now = self.met[now]
+                if now is not None:
+                    after.append(now)
+        move = self.moves[at << 8 | byte] = self._state((*after, (0, here))), here
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -177,26 +189,37 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        at, out, known, room = 0, [], self.moves.get, len(self.states) < STATES
-        for place, byte in enumerate(piece):
+        at, last, out, known, look = 0, [], [], self.moves.get, AHEAD
+        for byte in piece:
             move = known(at << 8 | byte)
             if move is None:
-                if not room:
-                    return self._unkept(*self.states[at], piece[place:], out)
                 move = self._move(at, byte)
-            at, emitted = move
-            if emitted:
-                out += emitted
-        return out + list(self.states[at][1][-1][1])
+                known = self.moves.get
+            at, token = move
+            last.append(token)
+            if len(last) == look:
+                last = last[self._emit(last, {len(last) - self.depth[node] for node, _ in self.states[at]}, out) :]
+                look = len(last) + AHEAD
+        self._emit(last, {len(last)}, out)
+        return out
 
-    def _unkept(self, anchor: int, live: tuple, rest: bytes, out: list[int]) -> list[int]:
-        for byte in rest:
-            anchor, live, emitted = self._step(anchor, live, byte)
-            out += emitted
-        return out + list(live[-1][1])
+    def _emit(self, last: list[int], ends: set[int], out: list[int]) -> int:
+        """Append the tokens up to the place that the encodings of all these prefixes share, and return it."""
+        size = self.size
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - size[last[end - 1]])
+        (shared,) = ends
+        back, end = [], shared
+        while end:
+            back.append(last[end - 1])
+            end -= size[back[-1]]
+        out += reversed(back)
+        return shared
 
 
-_FRESH = ((0, ()),)
+_FRESH = ((0, -1),)
 
 
 class Encoder(dict):
@@ -205,19 +228,14 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.machine, self.split = Transducer(ranks), regex.compile(pattern)
-        self.tokens, self.missed = self.machine.tokens, 0
+        self.tokens = self.machine.tokens
         self.packed = {token: token.to_bytes(4, "little") for token in self.tokens}
 
     def __missing__(self, piece: str) -> bytes:
         packed = b"".join(map(self.packed.__getitem__, self.machine.encode(piece.encode())))
-        if len(self) < PIECES:
-            self[piece] = packed
-        else:
-            self.missed += 1
-            if self.missed > STALE:
-                self.clear()
-                self.machine._clear()
-                self.missed = 0
+        if len(self) >= PIECES:
+            self.clear()
+        self[piece] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
