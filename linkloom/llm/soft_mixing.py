@@ -13,11 +13,12 @@ a function of the posterior and of the g so far. A pass replays them per documen
 vector of sums per task; nothing but K numbers a pass comes to the driver, no state is kept between
 passes, and a lost executor costs its tasks only.
 
-Fitting the classifier takes about ``SAMPLE`` rows per domain and twice that at most, those of text hashes below a cut, with up to
-``LONGEST`` characters; posteriors, tokens and the fit use all of every text. Tokens are
+Fitting the classifier takes about ``SAMPLE`` texts per domain, those of hashes below a cut, of any length. Tasks count
+their trigrams and weigh the temperatures; only sums come to the driver, ``BINS`` numbers a domain. Posteriors, tokens and
+the fit use all of every text. The labelled table is one of its own, whose domains no scored row needs. Tokens are
 words ``[^\\x20\\x09-\\x0D]+`` unless a column of counts is named.
 
-Defined cases: null and empty texts have no tokens, the prior as posterior, and weigh nothing in the fit; repeated rows
+Defined cases: labelled rows of other domains or without text teach nothing; null and empty texts have no tokens, the prior as posterior, and weigh nothing in the fit; repeated rows
 count each time and share their fate; unreachable targets give the least-squares fit; an empty
 table gives an empty result; columns named like those added are replaced.
 """
@@ -36,8 +37,10 @@ from pyspark.sql import types as T
 from linkloom.llm import worker
 from linkloom.llm.store import Tables
 
-SAMPLE, LONGEST, SEGMENT, BINS, PASSES, CLOSE, DOMAINS = 1500, 20_000, 256, 1 << 13, 100, 1e-4, 64
+SAMPLE, SEGMENT, BINS, PASSES, CLOSE, DOMAINS = 1500, 256, 1 << 13, 100, 1e-4, 64
 _SLICE = 1 << 17
+ADDED = ("n_tokens", "posterior", "rate", "copies")
+HEATS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
 
 def _codes(data: np.ndarray) -> np.ndarray:
@@ -86,28 +89,47 @@ def fit_classifier(labelled: DataFrame, domains: list[str], text_col: str = "tex
     """Learn the named domains from labelled texts."""
     if not 0 < len(domains) <= DOMAINS:
         raise ValueError(f"1 to {DOMAINS} domains, not {len(domains)}")
-    usable = labelled.select(F.col(domain_col).cast("string").alias("domain"), F.col(text_col).alias("text")).where(F.col("domain").isin(domains) & (F.length("text") <= LONGEST))
+    tables = Tables(labelled.sparkSession)
+    usable = labelled.select(F.col(domain_col).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text")).where(F.col("domain").isin(domains) & F.col("text").isNotNull())
     counts = {r.domain: r.n for r in usable.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most DOMAINS rows
     prior = np.array([counts.get(d, 0) + 1.0 for d in domains])
     prior /= prior.sum()
-    # hashes below a cut leave about SAMPLE rows of a domain, however many there are, with nothing to rank or join
+    # hashes below a cut leave about SAMPLE texts of a domain, however many there are, with nothing to rank or join
     cut = F.create_map(*(x for d in domains for x in (F.lit(d), F.lit(SAMPLE / max(counts.get(d, 0), 1)))))
-    near = usable.withColumn("h", F.xxhash64("text")).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(cut, F.col("domain")))
-    # at most 2 * SAMPLE rows a domain come to the driver, of LONGEST characters at most
-    rows = near.dropDuplicates(["domain", "h"]).orderBy("h", "domain").limit(2 * SAMPLE * len(domains)).collect()
-    bins = np.ones((BINS, len(domains)))
-    held = []
-    for k, r in enumerate(sorted(rows, key=lambda r: (r.domain, r.h))):
-        data, d = r.text.encode(), domains.index(r.domain)
-        if k % 3 == 0:
-            held.append((d, data))
-        elif len(data) > 2:
-            bins[:, d] += np.bincount(_codes(np.frombuffer(data, np.uint8)), minlength=BINS)
+    near = usable.withColumn("h", F.xxhash64("text")).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(cut, F.col("domain"))).dropDuplicates(["domain", "h"])
+    at = F.element_at(F.create_map(*(x for k, d in enumerate(domains) for x in (F.lit(d), F.lit(k)))), F.col("domain"))
+    sample = tables.write(near.select(at.alias("at"), (F.xxhash64("h") % 3 == 0).alias("held"), F.col("text").cast("binary").alias("data")), "sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = np.zeros((len(domains), BINS), np.int64)
+        for batch in batches:
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = np.frombuffer(x.as_buffer(), np.uint8)
+                for begin in range(0, max(len(data) - 2, 0), _SLICE):
+                    bins[d] += np.bincount(_codes(data[begin : begin + _SLICE + 2]), minlength=BINS)
+        d, k = np.nonzero(bins)
+        yield pa.record_batch([pa.array(d * BINS + k), pa.array(bins[d, k])], ["bin", "n"])
+
+    sums = sample.where("not held").select("at", "data").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS a domain
+    bins = np.ones(len(domains) * BINS)
+    bins[[r.bin for r in sums]] += [r.n for r in sums]
+    bins = bins.reshape(len(domains), BINS).T
     weights = np.log(bins / bins.sum(0)).astype(np.float32)
     raw = Classifier(tuple(domains), prior, weights)
-    scored = [(d, raw.segments(data)[0]) for d, data in held]
-    loss = lambda heat: -sum(np.log(_softmax(s / heat + np.log(prior))[:, d] + 1e-12).sum() for d, s in scored if len(s))
-    return Classifier(tuple(domains), prior, weights, min((1.0, 2.0, 4.0, 8.0, 16.0, 32.0), key=loss))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            loss = np.zeros(len(HEATS))
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                scores = raw.segments(x.as_buffer().to_pybytes())[0]
+                if len(scores):
+                    loss -= [np.log(_softmax(scores / heat + np.log(prior))[:, d] + 1e-12).sum() for heat in HEATS]
+            yield pa.record_batch([pa.array(np.arange(len(HEATS))), pa.array(loss)], ["heat", "loss"])
+
+    losses = sample.where("held").select("at", "data").mapInArrow(weigh, "heat long, loss double").groupBy("heat").agg(F.sum("loss").alias("loss")).collect()  # a row for each of HEATS
+    tables.drop(sample)
+    best = min(losses, key=lambda r: (r.loss, r.heat), default=None)
+    return Classifier(tuple(domains), prior, weights, HEATS[best.heat] if best else 1.0)
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text", tokens_col: str | None = None, carry_text: bool = True) -> DataFrame:
