@@ -14,7 +14,7 @@ for responses, the payload's digest; a fault raises ``WarcError`` with its place
 Defined cases: null html is an empty payload; a null url has no target header and control
 characters in urls are percent-encoded; rows that repeat the smallest page id of a group are all
 responses; a null page id is written without id and revisits a group's least id if there is one;
-an empty table gives no archive; other columns are ignored.
+an empty table gives no archive; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 for digest, page, url, payload, first, revisit in zip(*(batch.column(k) for k in range(6)), strict=True):
                     yield record(page.as_py(), url.as_py(), payload.as_py(), digest.as_py(), first.as_py(), revisit.as_py())
 
-        made, one = records(), []
+        made = records()
         one = [x for x in (next(made, None),) if x is not None]
         if one:
             with files.writer(folder, "pages.warc.zst") as (uri, out):
@@ -221,7 +221,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return archives.repartition(F.col("archive")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    n = archives.count()  # rows of a small written table; a given number of partitions isn't coalesced, so each archive has its own task
+    return archives.repartitionByRange(max(n, 1), "archive").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_digests(pages: DataFrame) -> DataFrame:
