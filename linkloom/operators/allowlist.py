@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text
 
-INLINE = 1000
-
 
 def to_regex(pattern: str) -> str:
     """An anchored regex of one pattern."""
@@ -37,22 +35,28 @@ def split_active(flagged: DataFrame, patterns: list[str]) -> DataFrame:
 def split_by_table(flagged: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
     """As split_active, for a table of patterns of any size.
 
-    Exact patterns join by equality. Up to ``INLINE`` wildcard patterns become one alternation;
-    more are joined by their text before the first '*', cut to each of its lengths present.
+    Exact patterns join by equality. A wildcard pattern joins by a literal part that a matching url must hold:
+    its head, else its tail, else its longest inner part. Urls are looked up by their heads, tails or substrings of
+    the lengths that such parts have, so a pair of url and pattern is made only where the part is there.
     """
     exact = patterns.where(~F.col(column).contains("*")).select(F.col(column).alias("url")).distinct()
-    wild = patterns.where(F.col(column).contains("*")).select(column).distinct()
-    few = [r[0] for r in wild.limit(INLINE + 1).collect()]
-    marked = flagged.join(exact.withColumn("_exact", F.lit(True)), "url", "left")
-    if len(few) <= INLINE:
-        by_wild = matches(F.col("url"), few)
-        return marked.withColumn("suppressed", F.col("_exact").isNotNull() | F.coalesce(by_wild, F.lit(False))).drop("_exact")
-    heads = wild.select(F.substring_index(column, "*", 1).alias("_head"), regex_column(F.col(column)).alias("_regex"))
-    lengths = sorted(r[0] for r in heads.select(F.length("_head")).distinct().collect())  # lengths of urls' heads: some hundreds at most
-    keys = flagged.select("url").distinct().select("url", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("_n"))
-    keys = keys.where(F.length("url") >= F.col("_n")).withColumn("_head", F.expr("substring(url, 1, _n)"))
-    hits = keys.join(heads, "_head").where(F.expr("url rlike _regex")).select("url").distinct()
-    return marked.join(hits.withColumn("_wild", F.lit(True)), "url", "left").withColumn("suppressed", F.col("_exact").isNotNull() | F.col("_wild").isNotNull()).drop("_exact", "_wild")
+    wild = patterns.where(F.col(column).contains("*")).select(F.split(column, r"\*").alias("_parts"), regex_column(F.col(column)).alias("_regex")).distinct()
+    size = lambda k: F.length(F.element_at("_parts", k))
+    inner = F.element_at(F.array_sort(F.transform("_parts", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1)["x"]
+    where = F.when(size(1) > 0, "head").when(size(-1) > 0, "tail").otherwise("inner")
+    part = F.when(size(1) > 0, F.element_at("_parts", 1)).when(size(-1) > 0, F.element_at("_parts", -1)).otherwise(inner)
+    keyed = wild.select(where.alias("_where"), part.alias("_part"), "_regex")
+    # one row: where parts are looked for and their lengths, which are lengths of urls, some hundreds at most
+    lengths = keyed.select("_where", F.length("_part").alias("_n")).distinct().groupBy().agg(F.collect_list(F.struct("_where", "_n")).alias("_lengths"))
+    cut = lambda x: F.when(x["_where"] == "head", F.array(F.left(F.col("url"), x["_n"]))).when(x["_where"] == "tail", F.array(F.right(F.col("url"), x["_n"]))).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("url") - x["_n"] + 1), lambda at: F.substring(F.col("url"), at, x["_n"])))
+    )
+    fitting = F.filter("_lengths", lambda x: x["_n"] <= F.length("url"))
+    urls = flagged.select("url").where(F.col("url").isNotNull()).distinct().crossJoin(lengths)
+    looked = urls.select("url", F.explode(F.flatten(F.transform(fitting, lambda x: F.transform(cut(x), lambda y: F.struct(x["_where"].alias("_where"), y.alias("_part")))))).alias("x")).select("url", "x.*")
+    hits = looked.join(keyed, ["_where", "_part"]).where(F.expr("url rlike _regex")).select("url").distinct()
+    marked = flagged.join(exact.withColumn("_exact", F.lit(True)), "url", "left").join(hits.withColumn("_wild", F.lit(True)), "url", "left")
+    return marked.withColumn("suppressed", F.col("_exact").isNotNull() | F.col("_wild").isNotNull()).drop("_exact", "_wild")
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:

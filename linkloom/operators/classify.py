@@ -50,6 +50,11 @@ def referrer_lists(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target").agg(F.transform(sorted_, lambda x: x["referrer"]).alias("found_on"))
 
 
+def referrer_counts(edges: DataFrame) -> DataFrame:
+    """(target, n): how many referrers a target has, by partial counts; for everything that needs no lists."""
+    return edges.groupBy("target").agg(F.count_distinct("referrer").alias("n"))
+
+
 def preview(found_on: Column, shown: int = 3) -> Column:
     """The first referrers and, beyond, '+N more'."""
     more = F.when(F.size(found_on) > shown, F.array(F.format_string("+%d more", F.size(found_on) - shown))).otherwise(F.array().cast("array<string>"))

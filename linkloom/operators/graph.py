@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -84,19 +84,32 @@ def crawl(spark: SparkSession, responses: DataFrame, config: CrawlConfig) -> Cra
     A url without a response is an error 'not in corpus'; throttled answers (429, 503) are errors after
     the retries a corpus can't give. Links beyond the depth or the caps still count as referrers.
     """
-    start = config.start_url
-    start_host = F.lit(urls_host(start))
+    return _crawl(spark, *_extracted(responses, config.scan_docs), config)
+
+
+def _extracted(responses: DataFrame, scan_docs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Responses by normalized key with their gates, all their links, and the links of documents."""
     normal = responses.withColumn("key", urls.normalize(urls.canonical(F.col("url"))))
     served = classify.first_wins(normal, ["key"], ["url"])
-    gate = http.content_gate(F.col("content_type"), urls.pathname("url"), config.scan_docs)
+    gate = http.content_gate(F.col("content_type"), urls.pathname("url"), scan_docs)
     kind = F.coalesce(F.col("doc_type"), http.document_type(F.col("content_type"), urls.pathname("url")))
     served = served.withColumns({"gate": gate, "kind": kind, "too_large": extract.body_verdict(F.col("html"), F.col("doc"))})
-    usable = (F.coalesce("error", F.lit("")) == "") & (F.col("status") < 400) & F.col("too_large").isNull()
+    usable = _usable()
     # links go out as the page's normalized key; relative hrefs are resolved on it, as on the requested url
     web = extract.links(served.where(usable & F.col("html").isNotNull()), "key", "html")
     in_docs = extract.document_links(served.where(usable & F.col("html").isNull() & F.col("doc").isNotNull()), "key", "doc", "kind")
     of_docs = in_docs.where(F.col("href").isNotNull()).select("page_url", "pos", F.col("href").alias("raw_href"), "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"))
-    links = Tables(spark).write(classify.classify(web.unionByName(of_docs), start_host, config.prefix(), config.include_subdomains), "links")
+    return served, web.unionByName(of_docs), in_docs
+
+
+def _usable() -> Column:
+    return (F.coalesce("error", F.lit("")) == "") & (F.col("status") < 400) & F.col("too_large").isNull()
+
+
+def _crawl(spark: SparkSession, served: DataFrame, web: DataFrame, in_docs: DataFrame, config: CrawlConfig) -> Crawl:
+    start, usable = config.start_url, _usable()
+    start_host = F.lit(urls_host(start))
+    links = Tables(spark).write(classify.classify(web, start_host, config.prefix(), config.include_subdomains), "links")
     edges = links.where(F.col("link_class") == "internal").select(F.col("page_url").alias("src"), F.col("target").alias("dst"), F.col("pos").cast("long").alias("pos"))
     first = spark.createDataFrame([(start,)], "url string").select(urls.normalize(urls.canonical(F.col("url"))).alias("node"))
     reached = bfs(edges, first, config.max_depth, config.url_cap())
@@ -167,5 +180,10 @@ def crawl_live(spark: SparkSession, config: CrawlConfig, control: Control | None
 
 
 def crawl_sites(spark: SparkSession, responses: DataFrame, configs: list[CrawlConfig]) -> list[Crawl]:
-    """One independent crawl per start url, all over the same responses."""
-    return [crawl(spark, responses, c) for c in configs]
+    """One independent crawl per start url, all over the same responses, whose links are extracted and written once."""
+    parts = {}
+    for scan in {c.scan_docs for c in configs}:
+        served, web, in_docs = _extracted(responses, scan)
+        tables = Tables(spark)
+        parts[scan] = served, tables.write(web, "all-links"), tables.write(in_docs, "document-links")
+    return [_crawl(spark, *parts[c.scan_docs], c) for c in configs]

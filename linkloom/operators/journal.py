@@ -9,23 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from linkloom.functions import urls
 from linkloom.operators.classify import first_wins
+from linkloom.operators.running import running_sum
 
 COMPLETIONS = ("p", "k", "e", "b")
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """Events with ``session``, the number of boundaries before them.
-
-    Boundaries are as few as resumes; each event looks up its session among their lines. The join is a
-    range join against that small side, so no task sorts the whole journal.
-    """
-    marks = events.where(F.col("t") == "r").select(F.col("line").alias("_mark"))
-    bounds = marks.agg(F.sort_array(F.collect_list("_mark")).alias("_marks"))  # one row; one number per resume
-    return events.crossJoin(F.broadcast(bounds)).withColumn("session", F.size(F.filter("_marks", lambda m: m < F.col("line"))).cast("long")).drop("_marks")
+    """Events with ``session``, the number of boundaries before them, as a running count over spans of lines."""
+    mark = (F.col("t") == "r").cast("long")
+    return running_sum(events, mark, "session").withColumn("session", F.col("session") - mark)
 
 
 def completions(events: DataFrame) -> DataFrame:
@@ -75,7 +70,7 @@ def enqueued(found: DataFrame, start_url: str | None, max_depth: int | None) ->
 
 def attempts(events: DataFrame) -> DataFrame:
     """(url, sessions): in how many sessions a url was visited."""
-    return sessions(events).where(F.col("t") == "v").groupBy(F.col("u").alias("url")).agg(F.count_distinct("session").alias("sessions"))
+    return sessions(events.where(F.col("t").isin("r", "v")).select("line", "t", "u")).where(F.col("t") == "v").groupBy(F.col("u").alias("url")).agg(F.count_distinct("session").alias("sessions"))
 
 
 def quarantined(events: DataFrame) -> DataFrame:
@@ -110,13 +105,10 @@ def resume_stats(events: DataFrame) -> DataFrame:
 def running_external(events: DataFrame) -> DataFrame:
     """(line, total): distinct external urls found up to each page, in journal order.
 
-    A url counts on the line that found it first; sums per partition of line ranges are offset by those before.
+    A url counts on the line that found it first.
     """
-    found = links(completions(events)).where(F.col("link_class") == "external")
+    done = completions(events)
+    found = links(done).where(F.col("link_class") == "external")
     new = found.groupBy("target").agg(F.min("page_line").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("_new"))
-    rows = completions(events).where(F.col("t") == "p").select("line").join(new, "line", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
-    local = rows.repartitionByRange("line").withColumn("_part", F.spark_partition_id())
-    run = local.withColumn("_sum", F.sum("_new").over(Window.partitionBy("_part").orderBy("line")))
-    sums = run.groupBy("_part").agg(F.max("_sum").alias("_n"))
-    base = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # one row per partition
-    return run.join(base, "_part").select("line", (F.col("_sum") + F.col("_base")).alias("total"))
+    rows = done.where(F.col("t") == "p").select("line").join(new, "line", "left")
+    return running_sum(rows, F.coalesce("_new", F.lit(0)), "total").select("line", "total")

@@ -236,9 +236,18 @@ def scoped_state(rows: DataFrame, pages: DataFrame, links: DataFrame) -> DataFra
 def tracker_data(flagged: DataFrame, found_on: DataFrame) -> DataFrame:
     """(part, url, reason, refs, v, ts): active errors, then blocked links, by kind; working ones left out, repeats kept.
 
-    flagged has suppressed, verdict and verdict_ts; found_on is (target, found_on).
+    flagged has suppressed, verdict and verdict_ts; found_on is (target, found_on). For counts instead of
+    lists of referrers see ``tracker_counts``.
     """
     open_ = flagged.where(~(F.col("suppressed") & (F.col("disposition") == "broken")) & (F.col("verdict") != "working"))
     own = F.when(F.coalesce("source", F.lit("")) != "", F.array("source")).otherwise(F.array().cast("array<string>"))
     joined = open_.join(found_on, open_.url == found_on.target, "left")
     return joined.select(F.when(is_external(), "external").otherwise("internal").alias("part"), "url", "reason", F.coalesce("found_on", own).alias("refs"), F.col("verdict").alias("v"), F.col("verdict_ts").alias("ts"))
+
+
+def tracker_counts(flagged: DataFrame, counts: DataFrame) -> DataFrame:
+    """As tracker_data with refs the number of referrers, from (target, n): no list is built, however famous a target is."""
+    open_ = flagged.where(~(F.col("suppressed") & (F.col("disposition") == "broken")) & (F.col("verdict") != "working"))
+    joined = open_.join(counts, open_.url == counts.target, "left")
+    own = (F.coalesce("source", F.lit("")) != "").cast("long")
+    return joined.select(F.when(is_external(), "external").otherwise("internal").alias("part"), "url", "reason", F.coalesce("n", own).alias("refs"), F.col("verdict").alias("v"), F.col("verdict_ts").alias("ts"))

@@ -232,9 +232,11 @@ def allowlist_split(spark, d):
     return allowlist.split_active(_active(spark, d), PATTERNS).select("url", "suppressed")
 
 
-@query(f"WITH {_FL} SELECT url, {_MATCH} AS suppressed FROM fl WHERE disposition = 'broken'")
+@query(f"WITH {_FL} SELECT url, {_MATCH} OR url LIKE '%/p13' OR url LIKE '%/p%7' OR contains(url, '/d4/') OR url = 'https://site.example/d2/p24' AS suppressed FROM fl WHERE disposition = 'broken'")
 def allowlist_table_join(spark, d):
-    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    """Patterns by head, by tail, by an inner part, exact ones, and a thousand that match nothing."""
+    more = ["*/p13", "*/p*7", "*/d4/*", "https://site.example/d2/p24", *(f"https://none{k}.example/*" for k in range(500)), *(f"*.none{k}" for k in range(500))]
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS + more], "pattern string")
     return allowlist.split_by_table(_active(spark, d), patterns).select("url", "suppressed")
 
 
@@ -467,7 +469,7 @@ def bulk_export_groups(spark, d):
 def tracker_data(spark, d):
     p = F.regexp_extract("url", r"(\d+)$", 1).cast("long")
     rows = allowlist.split_active(b.flagged(spark, d), PATTERNS).withColumns({"verdict": F.when(p % 6 == 0, "working").when(p % 6 == 1, "broken").otherwise("untriaged"), "verdict_ts": F.lit(None).cast("string")})
-    return triage.tracker_data(rows, classify.referrer_lists(b.refs(spark, d))).select("part", "url", "reason", F.size("refs").cast("long").alias("refs"), "v")
+    return triage.tracker_counts(rows, classify.referrer_counts(b.refs(spark, d))).select("part", "url", "reason", "refs", "v")
 
 
 # state
@@ -514,12 +516,10 @@ def journal_fold(spark, d):
     return journal.fold(b.journal(spark, d), b.START, 2)["frontier"]
 
 
-@query(f"WITH {_EV}, {_DONE}, s AS (SELECT u, count(DISTINCT n) AS n FROM (SELECT u, (SELECT count(*) FROM ev r WHERE r.t = 'r' AND r.line < ev.line) AS n FROM ev WHERE t = 'v') GROUP BY 1) SELECT u AS url, n AS sessions FROM s WHERE n >= 2 AND u NOT IN (SELECT u FROM done WHERE t = 'p')")
+@query(f"WITH {_EV}, {_DONE}, s AS (SELECT u, count(DISTINCT n) AS n FROM (SELECT u, (SELECT count(*) FROM ev r WHERE r.t = 'r' AND r.line < ev.line) AS n FROM ev WHERE t = 'v') GROUP BY 1) SELECT u AS url, n AS sessions FROM s WHERE n >= 2 AND u NOT IN (SELECT u FROM ev WHERE t = 'p')")
 def quarantine(spark, d):
-    """Urls visited in two or more sessions; here only page completions count, as every user completes somehow."""
-    events = b.journal(spark, d)
-    done = journal.completions(events).where(F.col("t") == "p").select(F.col("u").alias("url"))
-    return journal.attempts(events).where(F.col("sessions") >= 2).join(done, "url", "left_anti")
+    """Urls visited in two or more sessions and never completed; here only pages complete, the other completions are left out of the journal."""
+    return journal.quarantined(b.journal(spark, d).where(F.col("t").isin("v", "r", "p")))
 
 
 @query(f"WITH {_EV}, {_DONE} SELECT count(*) AS crawled, count(*) FILTER (t = 'p') AS good, count(*) FILTER (t = 'e') AS broken, count(*) FILTER (t = 'b') AS blocked, count(DISTINCT CASE WHEN t = 'p' THEN o % 50 END) AS external FROM done")
@@ -618,9 +618,9 @@ def magic(spark, d):
     return b.table(spark, d, "part").select("p_partkey", http.sniff(F.get(heads, (F.col("p_partkey") % 5).cast("int"))).alias("magic"))
 
 
-@query("SELECT 'https://site.example/' || p_partkey || '.pdf' AS page_url, 'pdf' AS doc_type, CAST(2 AS BIGINT) AS n, unnest(['https://a.example/' || p_partkey || '?x=(1)', 'https://site.example/b']) AS href FROM part")
+@query("SELECT 'https://site.example/' || p_partkey || '.pdf' AS page_url, 'pdf' AS doc_type, CAST(2 AS BIGINT) AS n, unnest(['https://a.example/' || p_partkey || '?x=(1)&y', 'https://site.example/b']) AS href FROM part")
 def pdf_links(spark, d):
     """Each part's PDF: a link with escaped brackets, a relative link, a repeated one, a mail address."""
-    body = F.concat(F.lit("%PDF-1.4 /URI (https://a.example/"), F.col("p_partkey").cast("string"), F.lit("?x=\\(1\\)x) /URI(/b) /URI (/b.) /URI (mailto:x@y)"))
+    body = F.concat(F.lit("%PDF-1.4 /URI (https://a.example/"), F.col("p_partkey").cast("string"), F.lit("?x=\\(1\\)&y) /URI(/b) /URI (/b.) /URI (mailto:x@y)"))
     docs = b.table(spark, d, "part").select(F.format_string("https://site.example/%d.pdf", "p_partkey").alias("url"), body.cast("binary").alias("doc"), F.lit(None).cast("string").alias("doc_type"))
-    return extract.document_links(docs).select("page_url", "doc_type", "n", F.regexp_replace("href", r"\)x$", ")").alias("href"))
+    return extract.document_links(docs).select("page_url", "doc_type", "n", "href")

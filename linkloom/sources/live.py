@@ -7,10 +7,12 @@ Rows are (url, status, content_type, retry_after, body, error); a failed request
 from __future__ import annotations
 
 import http.client
+import random
 import re
 import socket
 import time
 from collections.abc import Iterator
+from email.utils import parsedate_to_datetime
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from linkloom.functions import whatwg
-from linkloom.functions.http import BACKOFF_MS, HEAD_DOUBTFUL, MAX_DOC, content_gate, document_type, request_gap_ms, request_headers, sniff
+from linkloom.functions.http import BACKOFF_MS, HEAD_DOUBTFUL, MAX_DOC, NUMBER, content_gate, document_type, request_gap_ms, request_headers, sniff
 from linkloom.plans.config import CrawlConfig
 
 MOVED, REDIRECTS = (301, 302, 303, 307, 308), 5
@@ -83,16 +85,36 @@ class FetchSource(DataSource):
         return _Reader(self.options)
 
 
-def patient_fetch(url: str, config: CrawlConfig, sleep=time.sleep) -> tuple:
-    """fetch with the config's retries of throttled answers (429, 503): after Retry-After seconds, or 5 s doubling, at most max_backoff."""
-    headers = request_headers(config.user_agent, config.browser)
-    for attempt in range(config.max_retries + 1):
-        row = fetch(url, "GET", headers, config.timeout / 1000, most=max(config.max_doc_bytes, 1))
-        if row[1] not in (429, 503) or attempt == config.max_retries:
-            return row
-        asked = float(row[3]) if row[3] and re.fullmatch(r"\d+(\.\d+)?", row[3]) else 0
-        sleep(min(config.max_backoff, asked or BACKOFF_MS / 1000 * 2**attempt))
-    raise AssertionError("unreachable")
+def retry_seconds(value: str | None, now: float) -> float:
+    """Seconds of a Retry-After header: a finite number or an HTTP date, else 0."""
+    if re.fullmatch(NUMBER, value or ""):
+        return max(0.0, float(value))
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - now) if value else 0.0
+    except (ValueError, TypeError):
+        return 0.0
+
+
+class Patience:
+    """The backoff that all requests of a task share: throttled answers in a row lengthen it, others shorten it."""
+
+    def __init__(self, config: CrawlConfig, sleep=time.sleep, now=time.time, spread=random.random):
+        self.config, self.sleep, self.now, self.spread, self.streak = config, sleep, now, spread, 0
+
+    def fetch(self, url: str) -> tuple:
+        """fetch with retries of throttled answers (429, 503): after Retry-After, or 5 s doubling, spread by 0.85 to 1.15, at most max_backoff."""
+        headers = request_headers(self.config.user_agent, self.config.browser)
+        for attempt in range(self.config.max_retries + 1):
+            row = fetch(url, "GET", headers, self.config.timeout / 1000, most=max(self.config.max_doc_bytes, 1))
+            if row[1] not in (429, 503):
+                self.streak = max(0, self.streak - 1)
+                return row
+            self.streak += 1
+            if attempt == self.config.max_retries:
+                return row
+            wait = retry_seconds(row[3], self.now()) or BACKOFF_MS / 1000 * 2 ** min(self.streak - 1, 30)
+            self.sleep(min(self.config.max_backoff, wait) * (0.85 + 0.3 * self.spread()))
+        raise AssertionError("unreachable")
 
 
 def fetch_table(urls: DataFrame, config: CrawlConfig) -> DataFrame:
@@ -101,10 +123,11 @@ def fetch_table(urls: DataFrame, config: CrawlConfig) -> DataFrame:
     pause = max(request_gap_ms(config.rps, config.crawl_delay) * n, config.delay) / 1000
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patience = Patience(config)
         for frame in frames:
             rows = []
             for url in frame["url"]:
-                rows.append(patient_fetch(url, config))
+                rows.append(patience.fetch(url))
                 time.sleep(pause)
             yield pd.DataFrame(rows, columns=["url", "status", "content_type", "retry_after", "body", "error"])
 

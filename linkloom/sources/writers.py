@@ -11,9 +11,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkloom.functions import urls
 from linkloom.operators import allowlist, classify, measures
+from linkloom.operators.running import running_sum
 from linkloom.plans.config import CrawlConfig, effective
 from linkloom.sources.shared import Tables
 
@@ -126,25 +128,42 @@ def append_journal(events: DataFrame, folder: str) -> None:
 def split_log(lines: DataFrame, max_bytes: int, head_bytes: int = 0) -> DataFrame:
     """(part, line, value) of (line, value) rows: a line begins a new part when it would pass max_bytes.
 
-    Rolling is a running sum that starts anew, a fold over one log's lines in order.
+    Running sums give each line the bytes before and after it, and so the line that would begin the next
+    part if a part began here. From the first line on these pointers are followed by doubling: each round
+    joins twice as long jumps, so rounds number the logarithm of the parts.
     """
     if max_bytes <= 0:
         return lines.select(F.lit(1).alias("part"), "line", "value")
-
-    def roll(frames):
-        part, size = 1, head_bytes
-        for frame in frames:
-            parts = []
-            for value in frame["value"]:
-                n = len(value.encode()) + 1
-                if size + n > max_bytes and size > head_bytes:
-                    part, size = part + 1, head_bytes
-                size += n
-                parts.append(part)
-            frame["part"] = parts
-            yield frame[["part", "line", "value"]]
-
-    return lines.select("line", "value").coalesce(1).sortWithinPartitions("line").mapInPandas(roll, "part int, line long, value string")
+    tables = Tables(lines.sparkSession)
+    sized = running_sum(lines.select("line", "value"), F.octet_length("value") + 1, "end")
+    sized = tables.write(sized.withColumn("full", F.greatest(F.col("end"), F.col("end") - F.octet_length("value") - 1 + (max_bytes - head_bytes))), "log-lines")
+    jumps = tables.write(_first_beyond(sized, max_bytes), "jumps")
+    starts = tables.write(sized.agg(F.min("line").alias("line")).where("line is not null"), "starts")
+    while True:
+        both = tables.write(starts.union(starts.join(jumps, "line").select("to")).distinct(), "starts")
+        if both.count() == starts.count():
+            break
+        longer = jumps.join(jumps.select(F.col("line").alias("to"), F.col("to").alias("_to")), "to").select("line", F.col("_to").alias("to"))
+        starts, jumps = both, tables.write(longer, "jumps")
+    marked = sized.select("line", "value").join(starts.withColumn("_begins", F.lit(1)), "line", "left")
+    return running_sum(marked, F.coalesce("_begins", F.lit(0)), "part").select(F.col("part").cast("int").alias("part"), "line", "value")
+
+
+def _first_beyond(sized: DataFrame, width: int) -> DataFrame:
+    """(line, to): of each line the first one that ends beyond its ``full``; lines without one are left out.
+
+    Ends and bounds meet in buckets of ``width`` bytes; a bound with no end behind it in its bucket takes
+    the first end of the next bucket that has one.
+    """
+    ends = sized.select(F.col("end").alias("at"), F.lit(0).alias("kind"), "line")
+    bounds = sized.select(F.col("full").alias("at"), F.lit(1).alias("kind"), "line")
+    both = ends.union(bounds).withColumn("bucket", F.floor(F.col("at") / width))
+    end_line = F.when(F.col("kind") == 0, F.col("line"))
+    behind = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("to", F.first(end_line, ignorenulls=True).over(behind)).where("kind = 1")
+    firsts = both.groupBy("bucket").agg(F.min(end_line).alias("first"))  # one row per bucket, of which a part has about one
+    after = firsts.select("bucket", F.first("first", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    return found.join(after, "bucket").select("line", F.coalesce("to", "after").alias("to")).where("to is not null")
 
 
 def manifest(parts: DataFrame, head_bytes: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from linkloom.sources.shared import Tables
+
 #: Fixed patterns of the line grammar.
 RESULT = r"^\S+\s+(OK|ERR|SKIP|BLOCKED)\s+(.*)$"
 STATS = r"^# resume-stats crawled=(\d+) good=(\d+) broken=(\d+) blocked=(\d+) external=(\d+)"
@@ -114,22 +116,44 @@ def idle_alerts(stream: DataFrame, key: str = "run", idle_ms: int = IDLE_MS) ->
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} string, alert string, results long", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _ranges(rows: DataFrame, by: str, at: str) -> DataFrame:
+    """rows as a written table in ranges (_part) of (by, at), so that a busy host spreads over several."""
+    return Tables(rows.sparkSession).write(rows.repartitionByRange(by, at).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _before(parts: DataFrame, by: str, fold: Callable[[str], Column], column: str) -> DataFrame:
+    """(by, _part, column): the fold of a host's ranges before each, from a row per host and range."""
+    return parts.select(by, "_part", fold(column).over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias(column))
+
+
 def rate_slots(requests: DataFrame, gap_ms: float, by: str = "host", at: str = "t") -> DataFrame:
     """When rate-limited requests start: slot = max(own time, slot before + gap), per host.
 
-    In closed form: with i the place in order, slot_i = i * gap + max over j <= i of (t_j - j * gap).
+    In closed form: with i the place in order, slot_i = i * gap + max over j <= i of (t_j - j * gap). Places
+    and maxima are taken within ranges of a host's requests and carried from range to range.
     """
-    order = Window.partitionBy(by).orderBy(at)
-    rows = requests.withColumn("_i", F.row_number().over(order) - 1)
-    head = F.max(F.col(at) - F.col("_i") * gap_ms).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("slot", head + F.col("_i") * gap_ms).drop("_i")
+    order, key = Window.partitionBy(by, "_part").orderBy(at), [by, "_part"]
+    rows = _ranges(requests, by, at)
+    first = _before(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_first")), by, F.sum, "_first")
+    placed = rows.withColumn("_i", F.row_number().over(order) - 1).join(first, key).withColumn("_i", F.col("_i") + F.coalesce("_first", F.lit(0)))
+    placed = placed.withColumn("_lead", F.col(at) - F.col("_i") * gap_ms)
+    most = _before(placed.groupBy(*key).agg(F.max("_lead").alias("_most")), by, F.max, "_most")
+    own = F.max("_lead").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("_own", own).join(most, key)
+    return joined.withColumn("slot", F.greatest("_own", "_most") + F.col("_i") * gap_ms).drop("_i", "_first", "_lead", "_own", "_most", "_part")
 
 
 def streak(answers: DataFrame, by: str = "host", at: str = "t") -> DataFrame:
     """answers (throttled) with the streak after each: one more per throttled answer, one less per other, never below 0.
 
-    In closed form: the running sum of +1 and -1 less its running minimum below 0.
+    In closed form: the running sum of +1 and -1 less its running minimum below 0, both carried from range
+    to range of a host's answers.
     """
-    order = Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    rows = answers.withColumn("_s", F.sum(F.when(F.col("throttled"), 1).otherwise(-1)).over(order))
-    return rows.withColumn("streak", F.col("_s") - F.least(F.lit(0), F.min("_s").over(order))).drop("_s")
+    order, key = Window.partitionBy(by, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0), [by, "_part"]
+    step = F.when(F.col("throttled"), 1).otherwise(-1)
+    rows = _ranges(answers, by, at)
+    base = _before(rows.groupBy(*key).agg(F.sum(step).alias("_base")), by, F.sum, "_base")
+    summed = rows.withColumn("_s", F.sum(step).over(order)).join(base, key).withColumn("_s", F.col("_s") + F.coalesce("_base", F.lit(0)))
+    low = _before(summed.groupBy(*key).agg(F.min("_s").alias("_low")), by, F.min, "_low")
+    joined = summed.withColumn("_own", F.min("_s").over(order)).join(low, key)
+    return joined.withColumn("streak", F.col("_s") - F.least(F.lit(0), F.col("_own"), F.col("_low"))).drop("_s", "_base", "_own", "_low", "_part")

@@ -120,8 +120,11 @@ def test_allowlist(spark):
     assert {r.url: r.suppressed for r in allowlist.split_active(links, patterns).collect()} == want
     table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
     assert {r.url: r.suppressed for r in allowlist.split_by_table(links, table).collect()} == want
-    many = spark.createDataFrame([(p,) for p in patterns] + [(f"https://b{i}.example/*/z",) for i in range(allowlist.INLINE + 5)], "pattern string")
+    many = spark.createDataFrame([(p,) for p in patterns] + [(f"https://b{i}.example/*/z",) for i in range(1005)], "pattern string")
     assert {r.url: r.suppressed for r in allowlist.split_by_table(links, many).collect()} == want
+    for patterns in (["*"], ["*#frag"], ["*example/y*", "*nowhere*", "*/q?z=1(+)"], ["**", "h*1"], ["https://a.example/y*g*"], []):
+        table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+        assert sorted(map(repr, allowlist.split_by_table(links, table).collect())) == sorted(map(repr, allowlist.split_active(links, patterns).collect()))
 
 
 def _flagged(spark):
