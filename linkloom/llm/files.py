@@ -46,3 +46,18 @@ def whole(uri: str) -> pa.Buffer:
             return f.read_buffer()
     with store.open_input_file(path) as f:
         return f.read_buffer()
+
+
+@contextmanager
+def reader(uri: str) -> Iterator[pa.NativeFile]:
+    """A file to read by ranges: mapped where the store is local."""
+    store, path = at(uri)
+    local = isinstance(store, fs.LocalFileSystem) and store.get_file_info(path).size
+    with pa.memory_map(path) if local else store.open_input_file(path) as f:
+        yield f
+
+
+def range_of(file: pa.NativeFile, begin: int, size: int) -> pa.Buffer:
+    """Bytes of a file; no copy where it is mapped."""
+    file.seek(begin)
+    return file.read_buffer(size)

@@ -34,9 +34,29 @@ def test_encoding_of_joined_tokens_equals_the_library(parts):
     assert coded(text) == LIBRARY.encode_ordinary(text)
 
 
+def test_growth_of_states_flattens(documents):
+    machine, sizes = bpe.Transducer(RANKS), []
+    pieces = sorted({p for r in documents.collect() for p in bpe.regex.findall(public_tokenizers.PATTERN, r.text)}, key=hash)
+    for part in (pieces[: len(pieces) // 2], pieces[len(pieces) // 2 :]):
+        for p in part:
+            assert machine.encode(p.encode()) == LIBRARY._core_bpe.encode_single_piece(p.encode())
+        sizes.append(len(machine.states))
+    assert sizes[1] < 1.7 * sizes[0] < bpe.STATES
+
+
+@pytest.mark.parametrize("ahead", [1, 3, 7, 40])
+def test_tokens_come_out_after_bounded_lookahead(monkeypatch, ahead):
+    monkeypatch.setattr(bpe, "AHEAD", ahead)
+    machine = bpe.Transducer(RANKS)
+    rng = np.random.default_rng(ahead)
+    for n in (2, 30, 3000):
+        piece = bytes(rng.choice(list(b"thein gsaor"), n).tolist())
+        assert machine.encode(piece) == LIBRARY._core_bpe.encode_single_piece(piece)
+
+
 def test_full_stores_change_nothing(monkeypatch, documents):
     texts = [r.text for r in documents.limit(60).collect()]
-    for name, n in (("STATES", 50), ("PIECES", 100), ("PAIRS", 20), ("STALE", 500)):
+    for name, n in (("STATES", 50), ("PIECES", 100), ("PAIRS", 20)):
         monkeypatch.setattr(bpe, name, n)
     own = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
     assert all(np.frombuffer(own.encode(t), "<u4").tolist() == LIBRARY.encode_ordinary(t) for t in texts)
@@ -105,6 +125,8 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.token_digests(none, queries.WORD_BPE, queries.END_ID).count() == 0
     manifest = token_files.write_token_files(odd, f"file://{tmp_path}/tokens", queries.WORD_BPE, queries.END_ID).collect()
     assert all(r.width == 2 for r in manifest) and sum(r.n_docs for r in manifest) == odd.count()
+    read = token_files.read_token_files(spark.createDataFrame(manifest))
+    assert read.rdd.getNumPartitions() == len(manifest)
     path = manifest[0].tokens.removeprefix("file://")
     with open(path, "r+b") as f:
         f.truncate(1)
@@ -116,7 +138,7 @@ def test_words_are_lowered_only_where_safe():
     library = Tokenizer.from_file(queries.WORD_BPE)
     own = token_files.WordEncoder(queries.WORD_BPE)
     for text in ("H̱ T̈ İ İ ÀÉ À", "Straße ÄÖÜ ΑΣ'S", "A<B <|endoftext|> x Y z", "don't I'LL 12 3٣", "A\x85B \x1dC"):
-        words = token_files.words_of(text.encode())
+        words = token_files.words_of(text.encode(), own.added)
         own.learn(set(words))
         assert np.frombuffer(own.encode(words), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
