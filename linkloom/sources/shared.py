@@ -1,7 +1,7 @@
 """Written intermediate tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests on one
-machine) a folder of our own is made and set. Tables cut lineage: a lost executor costs the
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset a folder of our own is made
+and set, but only on a local master: on a cluster each machine would write and miss its own files. Tables cut lineage: a lost executor costs the
 tasks it ran, never the stages before a written table. Unlike checkpoint() they compute a plan once.
 """
 
@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import atexit
 import posixpath
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder, as a URI."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master!r} share")
         root = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         _left.append((spark, root))
@@ -62,6 +68,18 @@ class Tables:
         drop(self.spark, *(self.paths.pop(id(t)) for t in tables))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is deleted at the end, so use it around a query and the reading of its result, in long sessions."""
+    shared_dir(spark)  # made before, not deleted with the tables
+    before = len(_left)
+    try:
+        yield
+    finally:
+        drop(spark, *(path for _, path in _left[before:]))
+        del _left[before:]
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _left:

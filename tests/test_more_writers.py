@@ -1,12 +1,14 @@
 """Writers and small operators that no query reaches."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
 from linkloom.operators import triage
-from linkloom.sources import writers
+from linkloom.sources import shared, writers
 from linkloom.streaming import journal, progress
 from tests.conftest import rows
 
@@ -63,3 +65,18 @@ def test_checkpoints_and_windows(spark, tmp_path):
     assert sum(batches) == 3
     table = progress.per_window(progress.parse(spark.read.text(str(tmp_path / "in"))).withColumn("ts", F.to_timestamp(F.substring_index("value", " ", 1))), "ts")
     assert sorted((r.tag, r.n) for r in table.collect()) == [("ERR", 1), ("OK", 1), ("OK", 1)]
+
+
+def test_scratch_tables_are_deleted_and_clusters_must_name_a_folder(spark, monkeypatch):
+    with shared.scratch(spark):
+        table = shared.Tables(spark).write(spark.range(5), "t")
+        path = next(iter(table.inputFiles()))
+        assert table.count() == 5 and os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError, match="share"):
+        shared.shared_dir(Cluster)
