@@ -5,6 +5,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 from linkloom.operators import graph
 from linkloom.plans.config import CrawlConfig
+from linkloom.sources import live
 
 SITE = {"/": "ba", "/b": "xyw", "/a": "cd", **{f"/{k}": "" for k in "xywcd"}}
 
@@ -30,3 +31,13 @@ def test_the_cap_fetches_the_pages_that_are_judged(spark):
         assert done.flagged.count() == 0
     finally:
         server.shutdown()
+
+
+def test_patience(monkeypatch):
+    answers = iter([(429, "2"), (503, "Wed, 21 Oct 2015 07:28:30 GMT"), (200, None), (429, "NaN"), (429, None), (429, None)])
+    monkeypatch.setattr(live, "fetch", lambda url, *a, **k: (url, *(lambda s, r: (s, None, r))(*next(answers)), b"", None))
+    slept = []
+    config = CrawlConfig(start_url="https://s.example/", max_retries=2, max_backoff=300)
+    patience = live.Patience(config, slept.append, lambda: 1445412480.0, lambda: 0.5)
+    assert patience.fetch("a")[1] == 200 and slept == [2.0, 30.0]
+    assert patience.fetch("b")[1] == 429 and slept[2:] == [10.0, 20.0] and patience.streak == 4
