@@ -11,20 +11,29 @@ not all of one content). A second pass validates classes: on every page their to
 one order, repeated whole, and all inside one gap of the root class, the largest one whose tokens come once on every
 page; so valid classes nest into the template. What is left are the slots.
 
-Extraction drops the template's own text, and slots inside navigation, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments, told by element, role, class and id. A marked
-article (``article``, ``main``, or the role) is evidence only: text outside it is dropped if what the
-template leaves there is no longer than what it leaves inside; else the article is a teaser and both
-stay. The template's text is dropped inside as well, but text in an article also counts by distinct
-article contents: it belongs to the template only if ``PAGES`` and ``SUPPORT`` of these have it too,
-so copied articles stay whole.
+Slots are judged by content. A frequent opening tag that comes equally often on the host's pages has a
+role for each of its places there (first ``div``, second ``div``), any other one role for all. The roles
+form a tree, and the second pass sums for each the text in it that is neither template nor marked as a page
+part, and the share of link text. The host's main slot is found by walking down from the page: into
+the child that holds ``MAJOR`` of the text, or half of it and is marked as the article (``article``, ``main``, or the role),
+ending there. If no tag is marked so, generic containers beside the text of that slot that every page has and that
+hold under ``MINOR`` of it (a block of advertising, say) are no part of it.
+
+Extraction keeps the text in the main slot but for the template's own and that in navigation, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and comments, which element, role, class and id
+tell (a class word tells of a container inside the article only if it has no other words). Text in an
+article also counts by distinct article contents: it belongs to the template only if ``PAGES`` and
+``SUPPORT`` of these have it too, so copied articles stay whole. Pages of hosts too small for a template,
+and pages without text in the main slot, go by marks alone: a marked article drops the text outside it
+if that is no longer than its own.
 
 Text: character references are decoded, white space inside a block is one space, blocks are joined
 by an empty line in page order. Hosts come from urls, lower-cased; pages without a host form one group.
 
 Defined cases: null and empty html give an empty text; broken markup (open or stray tags, cut-off
-comments, quotes and references) is read as far as it goes; copies count as the pages they are;
-null ids and urls pass through; other columns are ignored; an empty table gives an empty result.
+comments, quotes and references, any depth of nesting) is read as far as it goes, in memory linear in the
+page; copies count as the pages they are; null ids and urls pass through; other columns, whatever their
+names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +42,7 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -41,7 +51,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.store import Tables
 
-SUPPORT, PAGES = 0.5, 3
+SUPPORT, PAGES, MAJOR, MINOR, STEADY = 0.5, 3, 0.75, 0.1, 0.1
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I | re.S)
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -57,6 +67,7 @@ DROPPED_WORDS = set(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies discussion disqus related recommended share sharing social toolbar pagination pager".split()
 )
 WHOLE = {"html", "body", "main", "article"}
+CONTAINERS = {"div", "section", "table", "tr", "td", "th", "fieldset", "details"}
 
 
 def host_of(url: str | None) -> str:
@@ -79,7 +90,9 @@ def _judge(name: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
             elif key in ("class", "id"):
                 marks += " " + value
     words = set(_WORDS.split(marks)) if marks else ()
-    by_mark = bool(words) and not DROPPED_WORDS.isdisjoint(words)
+    told = words - {""} if words else set()
+    # inside an article a name such as related-work or status-notice says little; all of its words must be telling
+    by_mark = bool(told) and (told <= DROPPED_WORDS and name[:1] != "h" if in_article else not DROPPED_WORDS.isdisjoint(told))
     if name in ("html", "body"):
         return name, False, False
     article = name in ("article", "main") or role in ("article", "main")
@@ -91,19 +104,22 @@ def _judge(name: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
     return name + ("." + ".".join(sorted(words - {""})) if words else ""), out, article and not out
 
 
-def events(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
-    """(kind, text or name, path, dropped, in the article) of a page's parts.
+Part = tuple[int, str, int, bool, bool, int]
 
-    Kinds: 0 text, 1 a structural tag opens, 2 one closes, 3 another block boundary, 4 a line break.
+
+def events(page: str) -> Iterator[Part]:
+    """(kind, text or name, path, dropped, in the article, open elements) of a page's parts; paths are hashes of the open elements' names.
+
+    Kinds: 0 text, 1 a structural tag opens, 2 one closes, 3 another block boundary, 4 a line break, 5 a link opens or ('/') closes.
     """
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    at, size = 0, len(page)
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    at, size, open_names = 0, len(page), Counter()
     while at < size:
         m = _MARKUP.search(page, at)
         begin = m.start() if m else size
         _, path, dropped, inside = stack[-1]
         if begin > at:
-            yield 0, page[at:begin], path, dropped, inside
+            yield 0, page[at:begin], path, dropped, inside, len(stack) - 1
         if not m:
             return
         at = m.end()
@@ -112,30 +128,39 @@ def events(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
             continue
         name = name.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1) if name in NESTED else ():
-                if stack[k][0] == name:
-                    own = stack[k]
-                    del stack[k:]
-                    yield 2, name, own[1], own[2], own[3]
-                    break
-            else:
-                if name in BLOCK:
-                    yield 3, name, path, dropped, inside
+            if name in NESTED and open_names[name]:
+                while True:
+                    own = stack.pop()
+                    open_names[own[0]] -= 1
+                    if own[0] == name:
+                        break
+                yield 2, name, own[1], own[2], own[3], len(stack) - 1
+            elif name in BLOCK:
+                yield 3, name, path, dropped, inside, len(stack) - 1
+            elif name == "a":
+                yield 5, "/", path, dropped, inside, len(stack) - 1
         elif name in RAW:
             if not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else size
         elif name in NESTED:
             marked, out, article = _judge(name, attrs, inside)
-            if stack[-1][0][:1] == "h" and stack[-1][0][1:].isdigit() and name[1:].isdigit() and name[0] == "h":
-                stack.pop()  # a heading ends an open one
+            if _heading(stack[-1][0]) and _heading(name):
+                open_names[stack.pop()[0]] -= 1  # a heading ends an open one
                 _, path, dropped, inside = stack[-1]
-            stack.append((name, f"{path}/{marked}", dropped or out, inside or article))
-            yield 1, name, stack[-1][1], stack[-1][2], stack[-1][3]
+            stack.append((name, _hash(f"{path}/{marked}"), dropped or out, inside or article))
+            open_names[name] += 1
+            yield 1, name, stack[-1][1], stack[-1][2], stack[-1][3], len(stack) - 1
         elif name == "br":
-            yield 4, name, path, dropped, inside
+            yield 4, name, path, dropped, inside, len(stack) - 1
         elif name in BLOCK:
-            yield 3, name, path, dropped, inside
+            yield 3, name, path, dropped, inside, len(stack) - 1
+        elif name == "a":
+            yield 5, "", path, dropped, inside, len(stack) - 1
+
+
+def _heading(name: str) -> bool:
+    return name[:1] == "h" and name[1:].isdigit()
 
 
 def _hash(text: str) -> int:
@@ -143,7 +168,7 @@ def _hash(text: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def token_of(kind: int, text: str, path: str) -> int:
+def token_of(kind: int, text: str, path: int) -> int:
     """A token's hash: its kind, its path, and for text the text."""
     return _hash(f"{kind}{path}\0{' '.join(text.split()) if kind == 0 else text}")
 
@@ -153,13 +178,36 @@ def tokens(page: str) -> list[int]:
     return _tokens(events(page))
 
 
-def _tokens(parts: Iterable[tuple[int, str, str, bool, bool]]) -> list[int]:
+def _tokens(parts: Iterable[Part]) -> list[int]:
     return [token_of(k, text, path) for k, text, path, *_ in parts if k in (1, 2) or k == 0 and not text.isspace()]
 
 
+def _roles(parts: list[Part], steady: dict[int, bool]) -> Iterator[list[tuple[int, int]]]:
+    """For each part the (role, kind) of the open elements; steady has the frequent opening tags, true for those with a role for each place.
+
+    Kinds are sums of 1 (opens the article) and 2 (a generic container). Rare elements have the role of what they are in.
+    """
+    stack: list[tuple[int, int]] = []
+    seen: Counter = Counter()
+    was_inside = [False]
+    for kind, name, path, _, inside, depth in parts:
+        del stack[depth - (kind == 1) :], was_inside[depth + (kind != 1) :]
+        if kind == 1:
+            token = token_of(1, name, path)
+            own, above = steady.get(token), stack[-1] if stack else (0, 0)
+            if own is None:
+                stack.append((above[0], 0))
+            else:
+                place = seen[token] if own else 0
+                stack.append((_hash(f"{above[0]}>{token}:{place}"), (inside and not was_inside[-1]) + 2 * (name in CONTAINERS)))
+            seen[token] += 1
+            was_inside.append(inside)
+        yield stack
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and token of some pages: pages, occurrences, sums of vector hashes, least and greatest page."""
-    names = ["host", "token", "pages", "times", "low", "high", "first", "last"]
+    names = ["host", "token", "pages", "times", "low", "high", "first", "last", "squares"]
     for batch in batches:
         held: dict[tuple[str, int], list[int]] = {}
         for url, page in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
@@ -168,30 +216,35 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mixed = xxhash.xxh64_intdigest(own.to_bytes(8, "little", signed=True), n)
                 row = held.get((host, token))
                 if row is None:
-                    held[host, token] = [1, n, mixed & 0xFFFFFFFF, mixed >> 32, own, own]
+                    held[host, token] = [1, n, mixed & 0xFFFFFFFF, mixed >> 32, own, own, n * n]
                 else:
                     row[0] += 1
                     row[1] += n
                     row[2] += mixed & 0xFFFFFFFF
                     row[3] += mixed >> 32
                     row[4], row[5] = min(row[4], own), max(row[5], own)
-        cols = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [()] * 8
+                    row[6] += n * n
+        cols = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [()] * 9
         yield pa.record_batch([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(cols)], names)
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """(host, root, members): of each host the root class's id and an array of (token, class) of its frequent classes.
+    """(host, root, members): of each host the root class's id and an array of (token, class, steady) of its frequent classes.
+
+    A token is steady if it comes about equally often on nearly all pages (variance and missing share up to STEADY).
 
     A host's frequent tokens number at most 1 / SUPPORT times the tokens of its mean page.
     """
-    sums = pages.select("url", "html").mapInArrow(_counts, "host string, token long, pages long, times long, low long, high long, first long, last long")
-    stats = sums.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "low", "high")), F.min("first").alias("first"), F.max("last").alias("last"))
+    sums = pages.select("url", "html").mapInArrow(_counts, "host string, token long, pages long, times long, low long, high long, first long, last long, squares long")
+    stats = sums.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "low", "high", "squares")), F.min("first").alias("first"), F.max("last").alias("last"))
     tables = Tables(pages.sparkSession)
     often = tables.write(stats.where((F.col("pages") >= PAGES) & ((F.col("first") != F.col("last")) | (F.col("token") == 0))), "tokens")
     totals = often.where("token = 0").select("host", F.col("pages").alias("all"))
     frequent = often.where("token <> 0").join(totals, "host").where(F.col("pages") >= SUPPORT * F.col("all")).withColumn("class", F.xxhash64("pages", "times", "low", "high"))
     whole = F.when((F.col("pages") == F.col("all")) & (F.col("times") == F.col("all")), F.col("class"))
-    return frequent.groupBy("host").agg(F.mode(whole, True).alias("root"), F.collect_list(F.struct("token", "class")).alias("members"))
+    mean = F.col("times") / F.col("all")
+    steady = (F.col("squares") / F.col("all") - mean * mean <= STEADY) & (F.col("pages") >= (1 - STEADY) * F.col("all"))
+    return frequent.groupBy("host").agg(F.mode(whole, True).alias("root"), F.collect_list(F.struct("token", "class", steady.alias("steady"))).alias("members"))
 
 
 def _gaps(own_tokens: list[int], root: int | None, of: dict[int, int]) -> tuple[dict[int, list[int]], dict[int, set[int]]]:
@@ -212,23 +265,27 @@ def _gaps(own_tokens: list[int], root: int | None, of: dict[int, int]) -> tuple[
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and class of some pages: hash of its order and its gap, least and greatest; 0 pages out of order count as such.
 
-    Rows with broken = -1 are (host, 0, token, article, ...): the frequent texts in each article content, and token 0 for the article itself.
+    Rows with broken = -1 are (host, 0, token, article, ...): the frequent texts in each article content, and token 0 for
+    the article itself. Rows with broken = -2 are (host, role, role above, kind, text, link text, -2, pages), role 0 the page.
     """
-    names = ["host", "class", "order_low", "order_high", "gap_low", "gap_high", "broken"]
+    names = ["host", "class", "order_low", "order_high", "gap_low", "gap_high", "broken", "pages"]
     for batch in batches:
         held: dict[tuple[str, int], list[int]] = {}
-        known: dict[str, dict[int, int]] = {}
+        slots: dict[tuple[str, int], list[int]] = {}
+        known: dict[str, tuple[dict[int, int], dict[int, bool]]] = {}
         seen: set[tuple[str, int, int]] = set()
         for page, host, root, members in zip(*(batch.column(k) for k in range(4)), strict=True):
             host, root = host.as_py(), root.as_py()
             if host not in known:
-                known[host] = {m["token"]: m["class"] for m in members.as_py()}
+                rows = members.as_py()
+                known[host] = {m["token"]: m["class"] for m in rows}, {m["token"]: m["steady"] for m in rows}
+            of, steady = known[host]
             parts = list(events(page.as_py() or ""))
-            order, gaps = _gaps(_tokens(parts), root, known[host])
-            texts = [(text, path) for k, text, path, dropped, inside in parts if k == 0 and inside and not dropped and not text.isspace()]
+            order, gaps = _gaps(_tokens(parts), root, of)
+            texts = [(text, path) for k, text, path, dropped, inside, _ in parts if k == 0 and inside and not dropped and not text.isspace()]
             if texts:
                 article = _hash("\0".join(" ".join(text.split()) for text, _ in texts))
-                seen.update((host, t, article) for t in (0, *(t for t in (token_of(0, *x) for x in texts) if t in known[host])))
+                seen.update((host, t, article) for t in (0, *(t for t in (token_of(0, *x) for x in texts) if t in of)))
             for own, seq in order.items():
                 once = list(dict.fromkeys(seq))
                 broken = int(seq != once * (len(seq) // len(once)) or len(gaps[own]) > 1)
@@ -238,26 +295,85 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held[host, own] = [sign, sign, gap, gap, broken]
                 else:
                     held[host, own] = [min(row[0], sign), max(row[1], sign), min(row[2], gap), max(row[3], gap), row[4] + broken]
-        out = [(*k, *v) for k, v in held.items()] + [(h, 0, t, article, 0, 0, -1) for h, t, article in seen]
-        cols = list(zip(*out, strict=True)) or [()] * 7
+            for role, (above, kind, text, link) in _mass(parts, steady, of).items():
+                row = slots.setdefault((host, role), [above, kind, 0, 0, 0])
+                row[1] |= kind
+                row[2] += text
+                row[3] += link
+                row[4] += 1
+        out = [(*k, *v, 0) for k, v in held.items()] + [(h, 0, t, article, 0, 0, -1, 0) for h, t, article in seen]
+        out += [(*k, *v[:4], -2, v[4]) for k, v in slots.items()]
+        cols = list(zip(*out, strict=True)) or [()] * 8
         yield pa.record_batch([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(cols)], names)
 
 
+def _mass(parts: list[Part], steady: dict[int, bool], frequent: dict[int, int]) -> dict[int, list[int]]:
+    """Of a page's roles: [role above, kind, characters of text, characters of link text]; frequent texts and marked page parts don't count."""
+    out, linked = {0: [0, 0, 0, 0]}, False
+    for (kind, text, path, dropped, _, _), stack in zip(parts, _roles(parts, steady), strict=True):
+        if kind == 1:
+            above = stack[-2][0] if len(stack) > 1 else 0
+            if stack[-1][0] != above:
+                out.setdefault(stack[-1][0], [above, stack[-1][1], 0, 0])
+        elif kind == 5:
+            linked = text == ""
+        elif kind == 0 and not dropped and not text.isspace() and token_of(0, text, path) not in frequent:
+            for role in {0, *(r for r, _ in stack)}:
+                out[role][2 + linked] += len(text.strip())
+    return out
+
+
+def main_slot(rows: list[dict]) -> tuple[int | None, list[int]]:
+    """(main slot, roles beside its text) of a host, from its roles (role, above, kind, text, link, pages)."""
+    of = {r["role"]: r for r in rows}
+    kids, marked = defaultdict(list), set()
+    for r in rows:
+        if r["role"]:
+            kids[r["above"]].append(r)
+        if r["kind"] & 1:
+            at = r["role"]
+            while at and at not in marked:
+                marked.add(at)
+                at = of[at]["above"] if at in of else 0
+    if not of.get(0, {}).get("text"):
+        return None, []
+    at, all_pages = 0, of[0]["pages"]
+    while not of[at]["kind"] & 1:
+        fit = [k for k in kids[at] if k["text"] >= (0.5 if k["role"] in marked else MAJOR) * of[at]["text"]]
+        if not fit:
+            break
+        at = max(fit, key=lambda k: (k["text"], -k["role"]))["role"]
+    if at in marked:
+        return at, []
+    beside = [k["role"] for k in kids[at] if k["kind"] & 2 and k["role"] not in marked and k["pages"] >= (1 - STEADY) * all_pages and (k["text"] < MINOR * of[at]["text"] or k["link"] > k["text"])]
+    return at, beside
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [main_slot(x) for x in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["host", "slot", "beside"])
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of the host's valid classes, as a written table."""
+    """(host, marks, slot, beside), as a written table: the frequent tokens (token, template, steady), the main slot, and roles beside its text."""
     tables = Tables(pages.sparkSession)
     found = tables.write(classes(pages), "classes")
     hosted = pages.select(host_column("url").alias("host"), "html").join(found, "host")
-    sums = hosted.select("html", "host", "root", "members").mapInArrow(_evidence, "host string, class long, order_low long, order_high long, gap_low long, gap_high long, broken long")
+    sums = hosted.select("html", "host", "root", "members").mapInArrow(_evidence, "host string, class long, order_low long, order_high long, gap_low long, gap_high long, broken long, pages long")
     sums = tables.write(sums, "evidence")
     articles = sums.where("broken = -1").groupBy("host", F.col("order_low").alias("token")).agg(F.count_distinct("order_high").alias("n"))
     totals = articles.where("token = 0").select("host", F.col("n").alias("all"))
     copied = articles.where("token <> 0").join(totals, "host").where(F.col("n") < F.greatest(F.lit(PAGES), SUPPORT * F.col("all"))).groupBy("host").agg(F.collect_list("token").alias("copied"))
     judged = sums.where("broken >= 0").groupBy("host", "class").agg(F.min("order_low").alias("a"), F.max("order_high").alias("b"), F.min("gap_low").alias("c"), F.max("gap_high").alias("d"), F.sum("broken").alias("broken"))
     valid = judged.where("a = b and c = d and broken = 0").groupBy("host").agg(F.collect_set("class").alias("valid"))
-    kept = F.transform(F.filter("members", lambda m: F.array_contains("valid", m.getField("class"))), lambda m: m.getField("token"))
-    left = F.array_except(kept, F.coalesce("copied", F.array().cast("array<bigint>")))
-    return tables.write(found.join(valid, "host").join(copied, "host", "left").select("host", left.alias("template")), "templates")
+    roles = sums.where("broken = -2").groupBy("host", F.col("class").alias("role")).agg(F.min("order_low").alias("above"), F.bit_or("order_high").alias("kind"), F.sum("gap_low").alias("text"), F.sum("gap_high").alias("link"), F.sum("pages").alias("pages"))
+    # of a host there are as many roles as frequent opening tags on a page, at most 1 / SUPPORT times those of its mean page
+    slots = roles.groupBy("host").agg(F.collect_list(F.struct("role", "above", "kind", "text", "link", "pages")).alias("roles")).mapInArrow(_slots, "host string, slot long, beside array<long>")
+    none = F.array().cast("array<bigint>")
+    fixed = lambda m: F.array_contains(F.coalesce("valid", none), m["class"]) & ~F.array_contains(F.coalesce("copied", none), m["token"])
+    marks = F.transform("members", lambda m: F.struct(m["token"].alias("token"), fixed(m).alias("template"), m["steady"].alias("steady")))
+    return tables.write(found.join(valid, "host", "left").join(copied, "host", "left").join(slots, "host", "left").select("host", marks.alias("marks"), "slot", "beside"), "templates")
 
 
 def host_column(url: str) -> F.Column:
@@ -265,16 +381,34 @@ def host_column(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def main_text(page: str, template: frozenset[int] | set[int]) -> str:
+@dataclass(frozen=True)
+class Template:
+    """What is known of a host: its template's tokens, its frequent opening tags, its main slot and roles beside its text."""
+
+    tokens: frozenset[int] = frozenset()
+    steady: dict[int, bool] = field(default_factory=dict)
+    slot: int | None = None
+    beside: frozenset[int] = frozenset()
+
+
+def main_text(page: str, template: Template = Template()) -> str:
     """The main text of a page, given its host's template."""
     parts = list(events(page))
-    marked = any(inside and k == 1 for k, _, _, _, inside in parts)
-    good = [k == 0 and not dropped and not (template and token_of(0, text, path) in template) for k, text, path, dropped, _ in parts]
-    if marked:
-        sizes = [0, 0]
-        for own, (_, text, _, _, inside) in zip(good, parts, strict=True):
-            sizes[inside] += own and len(text.strip())
-        marked = sizes[1] >= sizes[0]
+    good = [k == 0 and not dropped and not (template.tokens and token_of(0, text, path) in template.tokens) for k, text, path, dropped, *_ in parts]
+    if template.slot is not None:
+        of_slot = [own and (not template.slot or any(r == template.slot for r, _ in stack)) and not any(r in template.beside for r, _ in stack) for own, stack in zip(good, _roles(parts, template.steady), strict=True)]
+        if any(own and not part[1].isspace() for own, part in zip(of_slot, parts, strict=True)):
+            return _joined(parts, of_slot)
+    sizes = [0, 0]
+    for own, (_, text, _, _, inside, _) in zip(good, parts, strict=True):
+        sizes[inside] += own and len(text.strip())
+    if sizes[1] >= sizes[0] and any(inside and k == 1 for k, _, _, _, inside, _ in parts):
+        good = [own and inside for own, (_, _, _, _, inside, _) in zip(good, parts, strict=True)]
+    return _joined(parts, good)
+
+
+def _joined(parts: list[Part], good: list[bool]) -> str:
+    """The texts that are good, as blocks."""
     blocks, run = [], []
 
     def flush() -> None:
@@ -283,27 +417,28 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
             blocks.append(text)
         run.clear()
 
-    for own, (kind, text, _, _, inside) in zip(good, parts, strict=True):
+    for own, (kind, text, *_) in zip(good, parts, strict=True):
         if kind == 4:
             run.append(" ")
-        elif kind:
+        elif kind in (1, 2, 3):
             flush()
-        elif own and (inside or not marked):
+        elif own:
             run.append(entities.unescape(text) if "&" in text else text)
     flush()
     return "\n\n".join(blocks)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, frozenset[int]] = {}
+    known: dict[str, Template] = {}
     for batch in batches:
         out = []
-        for page, host, template in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
+        for page, host, marks, slot, beside in zip(*(batch.column(k) for k in range(2, 7)), strict=True):
             name = host.as_py()
             if name not in known:
                 if len(known) >= 1000:
                     known.clear()
-                known[name] = frozenset(template.as_py() or ())
+                rows = marks.as_py() or ()
+                known[name] = Template(frozenset(m["token"] for m in rows if m["template"]), {m["token"]: m["steady"] for m in rows}, slot.as_py(), frozenset(beside.as_py() or ()))
             out.append(main_text(page.as_py() or "", known[name]))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
@@ -311,6 +446,5 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = templates(pages)
-    hosted = pages.withColumn("host", host_column("url")).join(found, "host", "left")
-    return hosted.select("page_id", "url", "html", "host", "template").mapInArrow(_texts, "page_id long, url string, text string")
+    hosted = pages.withColumn("host", host_column("url")).join(templates(pages), "host", "left")
+    return hosted.select("page_id", "url", "html", "host", "marks", "slot", "beside").mapInArrow(_texts, "page_id long, url string, text string")

@@ -1,3 +1,9 @@
+import html as entities
+import random
+import re
+import tracemalloc
+from collections import Counter
+
 from linkloom.llm import html_text
 
 
@@ -15,3 +21,76 @@ def test_the_template_is_dropped_in_articles_too(spark):
 def test_a_teaser_does_not_hide_the_main_text(spark):
     got = _texts(spark, [f"<div><p>Main text number {k} is a good deal longer than the card</p></div><article><p>Card {k}</p></article>" for k in range(5)])
     assert all(f"Main text number {k} is" in got[k] for k in range(5))
+
+
+def test_marks_inside_articles_must_be_clear(spark):
+    body = "<article><section id='discussion-of-results'><p>kept</p></section><h2 id='related'>Related work</h2><div class='status notice'>also kept</div><div class='promotion-history'>too</div><div class='share'>gone</div><section class='comments'>gone</section></article>"
+    assert html_text.main_text(body) == "kept\n\nRelated work\n\nalso kept\n\ntoo"
+
+
+def test_deep_and_long_pages_take_linear_memory(spark):
+    sizes = []
+    for n in (20_000, 40_000):
+        tracemalloc.start()
+        assert html_text.main_text("<div>x" * n + "</section></p>" * n).count("x") == n
+        sizes.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert sizes[1] < 2.5 * sizes[0]
+    rows = [(k, "https://deep.example/", "<div>" * 5000 + f"<p>text {k}" + " word" * 100_000 * (k == 3), "h", "t", 1, 2) for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, marks string, slot int, members int")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got[0] == "text 0" and len(got[3]) == len("text 3") + 500_000
+
+
+def _articles(pages):
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(entities.unescape(re.sub("<br>", " ", x).replace("<b>", "")).split()) for x in re.split("</?(?:p|h1)>", article)]
+        yield r.page_id, "\n\n".join(x for x in blocks if x)
+
+
+def _stripped(html):
+    """Without any mark of the article: no article element, classes, ids or roles."""
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", html).replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def test_articles_come_out_of_slots_without_any_mark(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = dict(_articles(pages))
+    rows = [(r.page_id, r.url, _stripped(r.html)) for r in pages.collect()]
+    bare = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(bare).collect()}
+    differ = [k for k, text in want.items() if got[k] != text]
+    assert len(differ) <= 0.001 * len(want)
+    # without a template the advert stays
+    assert sum(html_text.main_text(html) != want[k] for k, _, html in rows) > 0.9 * len(want)
+
+
+def test_articles_of_large_hosts_with_marks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == dict(_articles(pages))
+
+
+def test_classes_equal_those_of_whole_vectors(spark):
+    dice = random.Random(5)
+    parts = ["<div class=a>Alpha</div>", "<div class=b><ul><h3>x</h3></ul></div>", "<section>Beta</section>", "<table><tr><td>g</td></tr></table>"]
+    bodies = ["<html><body>Top" + "".join(dice.choice(parts) * dice.randrange(3) for _ in range(3)) + f"<p>own {k}</p>Bottom</body></html>" for k in range(40)]
+    pages = spark.createDataFrame([(k, "https://v.example/", x) for k, x in enumerate(bodies)], "page_id long, url string, html string")
+    (row,) = html_text.classes(pages).collect()
+    vectors = {}
+    for k, x in enumerate(bodies):
+        for token, n in Counter(html_text.tokens(x)).items():
+            vectors.setdefault(token, {})[k] = n
+    often = {t: v for t, v in vectors.items() if len(v) >= 20}
+    groups = {}
+    for t, v in often.items():
+        groups.setdefault(tuple(sorted(v.items())), set()).add(t)
+    found = {}
+    for m in row.members:
+        found.setdefault(m["class"], set()).add(m["token"])
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+    root = max((t for v, t in groups.items() if v == tuple((k, 1) for k in range(40))), key=len)
+    assert found[row.root] == root
+    counts = {t: [vectors[t].get(k, 0) for k in range(40)] for t in often}
+    steady = {t for t, c in counts.items() if sum(n * n for n in c) / 40 - (sum(c) / 40) ** 2 <= html_text.STEADY and sum(n > 0 for n in c) >= 36}
+    assert {m["token"] for m in row.members if m["steady"]} == steady

@@ -22,13 +22,13 @@ PAGES = {
 
 @pytest.mark.parametrize("page", PAGES)
 def test_main_text(page):
-    assert html_text.main_text(page, frozenset()) == PAGES[page]
+    assert html_text.main_text(page) == PAGES[page]
 
 
 @settings(deadline=None, max_examples=300)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<nav>", "</nav>", "<article>", "</article>", "<!--", "-->", "<script>", "</script>", "word", " ", "&amp;", "<", ">", '"', "<a href='", "<h1>", "</h1>"]), max_size=25))
 def test_any_markup_is_read(parts):
-    text = html_text.main_text("".join(parts), frozenset())
+    text = html_text.main_text("".join(parts))
     assert text == text.strip() and "  " not in text
 
 
