@@ -10,10 +10,11 @@ repeated words, in thousandths) go into quantile sketches per (lang, source). A
 of counts by bucket; buckets are exact up to 32 and then keep the five leading bits, so a quantile
 is off by 1/32 at most. Such sketches merge by adding counts: tasks pre-aggregate, a hot source
 costs no task more than its distinct buckets, and sketches of a language or of everything are sums
-of the same table. A ratio is an outlier above q75 + ``REACH`` * max(q75 - q50, least spread), or for
-code points also below q25 - ``REACH`` * max(q50 - q25, least spread). Groups of fewer than
-``GROUP`` texts use the language's sketch, then that of all texts. The verdicts come from a join of
-texts with thresholds.
+of the same table. A group's distribution is mixed with its language's, which weighs as much as ``GROUP``
+texts, and the language's in the same way with that of all texts, so that no size switches a rule over.
+Quantiles are those of the mixture. A ratio is an outlier above q75 + ``REACH`` * max(q75 - q50, least spread), or for code points also below q25 -
+``REACH`` * max(q50 - q25, least spread). The verdicts come from a join of texts with thresholds. Where most
+texts have a ratio of zero, its quartiles are zero and the least spread alone sets its threshold.
 
 Defined cases: null and empty texts have zero counts and fail the base rules; null lang or source
 forms a group of its own; repeated rows count each time; long texts are counted whole; an empty
@@ -26,6 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkloom.llm.store import Tables
 
@@ -33,7 +35,7 @@ WORD, LINE, SYMBOL = r"[^\x20\x09-\x0D]+", r"(?md)^[\x20\x09\x0B-\x0D]*+[^\x20\x
 MIN_WORDS, GROUP, REACH = 50, 200, 8
 #: Ratios in thousandths: name, numerator, denominator, least spread, whether small values are outliers too.
 RATIOS = (
-    ("word_chars", "word_chars", "n_words", 400, True),
+    ("word_chars", "word_chars", "n_words", 200, True),
     ("symbols", "n_symbols", "n_words", 25, False),
     ("dup_lines", "n_dup_lines", "n_lines", 65, False),
     ("repeats", "n_repeat_words", "n_words", 40, False),
@@ -124,27 +126,33 @@ def sketches(counted: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", F.col("r.ratio").alias("ratio"), F.col("r.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """By group and ratio: n texts, q25, q50, q75 of a sketch merged over the other columns."""
-    merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    held = merged.groupBy(*by, "ratio").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))
-    zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
+def _mixed(sketch: DataFrame) -> DataFrame:
+    """(lang, source, ratio, q25, q50, q75) of every group, from its sketch mixed with its language's and that of all texts.
 
-    def rank(q: float) -> Column:
-        step = lambda acc, x: F.struct((acc.getField("seen") + x.getField("n")).alias("seen"), F.when((acc.getField("seen") < F.ceil(q * F.col("n"))) & (acc.getField("seen") + x.getField("n") >= F.ceil(q * F.col("n"))), x.getField("bucket")).otherwise(acc.getField("at")).alias("at"))
-        return F.aggregate("b", zero, step, lambda acc: acc.getField("at"))
-
-    return held.select(*by, "ratio", "n", rank(0.25).alias("q25"), rank(0.5).alias("q50"), rank(0.75).alias("q75"))
+    A row is made for each group and bucket in use, some hundred to a ratio.
+    """
+    total = lambda by: Window.partitionBy(*by)
+    until = lambda by: total(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    whole = sketch.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))
+    whole = whole.select("ratio", "bucket", F.sum("n").over(until(["ratio"])).alias("a_c"), F.sum("n").over(total(["ratio"])).alias("a_n"))
+    named = lambda df, by: df.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n")).select(*(F.col(c).alias(f"_{c}") for c in (*by, "ratio", "bucket")), "n")
+    grid = sketch.select("lang", "source", "ratio").distinct().join(whole, "ratio")
+    for by, to in ((["lang", "source"], "g"), (["lang"], "l")):
+        part = named(sketch, by)
+        same = (grid.ratio == part._ratio) & (grid.bucket == part._bucket)
+        for c in by:
+            same &= grid[c].eqNullSafe(part[f"_{c}"])
+        grid = grid.join(part, same, "left").select(*grid.columns, F.coalesce("n", F.lit(0)).alias(f"{to}_x"))
+    key = ["lang", "source", "ratio"]
+    grid = grid.withColumns({f"{to}_{s}": F.sum(f"{to}_x").over(w(key)) for to in ("g", "l") for s, w in (("c", until), ("n", total))})
+    parent = (F.col("l_c") + GROUP * (F.col("a_c") / F.col("a_n"))) / (F.col("l_n") + GROUP)
+    mixed = grid.withColumn("f", (F.col("g_c") + GROUP * parent) / (F.col("g_n") + GROUP))
+    return mixed.groupBy(*key).agg(*(F.min(F.when(F.col("f") >= q, F.col("bucket"))).alias(f"q{round(100 * q)}") for q in (0.25, 0.5, 0.75)))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <ratio>_low, <ratio>_high) for every group, small ones by their language or by all texts."""
-    own, lang, whole = (_quantiles(sketch, by) for by in (["lang", "source"], ["lang"], []))
-    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}{c}" if c not in ("lang", "source", "ratio") else c) for c in df.columns))
-    a, b, c = named(own, "g_"), named(lang, "l_").withColumnsRenamed({"lang": "l_lang", "ratio": "l_ratio"}), named(whole, "a_").withColumnRenamed("ratio", "a_ratio")
-    rows = a.join(b, a.lang.eqNullSafe(b.l_lang) & (a.ratio == b.l_ratio)).join(c, a.ratio == c.a_ratio)
-    pick = {q: F.when(F.col("g_n") >= GROUP, F.col(f"g_{q}")).when(F.col("l_n") >= GROUP, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}")) for q in ("q25", "q50", "q75")}
-    rows = rows.select("lang", "source", "ratio", *(v.alias(k) for k, v in pick.items()))
+    """(lang, source, <ratio>_low, <ratio>_high) for every group."""
+    rows = _mixed(sketch)
     least = reduce(lambda acc, r: acc.when(F.col("ratio") == r[0], r[3]), RATIOS[1:], F.when(F.col("ratio") == RATIOS[0][0], RATIOS[0][3]))
     ends = rows.select("lang", "source", "ratio", (F.col("q25") - REACH * F.greatest(F.col("q50") - F.col("q25"), least)).alias("low"), (F.col("q75") + REACH * F.greatest(F.col("q75") - F.col("q50"), least)).alias("high"))
     return ends.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == name, F.col(end))).alias(f"{name}_{end}") for name, *_ in RATIOS for end in ("low", "high")))
@@ -155,7 +163,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", carry_text: bool = Tr
     tables = Tables(docs.sparkSession)
     few = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = tables.write(with_counts(docs, text_col, carry_text).withColumn("base_failed", few), "counted")
-    ends = tables.write(thresholds(sketches(counted)).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "thresholds")
+    ends = tables.write(thresholds(tables.write(sketches(counted), "sketches")).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "thresholds")
     joined = counted.join(ends, counted.lang.eqNullSafe(ends._lang) & counted.source.eqNullSafe(ends._source), "left")
     out = [F.when((_ratio(top, under) > F.col(f"{name}_high")) | (F.lit(both) & (_ratio(top, under) < F.col(f"{name}_low"))), F.lit(name)) for name, top, under, _, both in RATIOS]
     judged = joined.select(*counted.columns, F.array_compact(F.array(*out)).alias("outliers"))

@@ -118,16 +118,26 @@ WITH d AS (
     {'ratio': 'repeats', 'v': CAST(floor(1000 * n_repeat_words / greatest(n_words, 1)) AS BIGINT)}], recursive := true) FROM b
 ), k AS (
   SELECT lang, source, ratio, (v >> greatest(len(bin(v)) - 5, 0)) << greatest(len(bin(v)) - 5, 0) AS k FROM x WHERE NOT base_failed
-), own AS (
-  SELECT lang, source, ratio, quantile_disc(k, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM k GROUP BY ALL
-), lng AS (
-  SELECT lang, ratio, quantile_disc(k, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM k GROUP BY ALL
+), s AS (
+  SELECT lang, source, ratio, k, count(*) AS n FROM k GROUP BY ALL
 ), whole AS (
-  SELECT ratio, quantile_disc(k, [0.25, 0.5, 0.75]) AS q FROM k GROUP BY ALL
+  SELECT ratio, k, sum(sum(n)) OVER (PARTITION BY ratio ORDER BY k) AS a_c, sum(sum(n)) OVER (PARTITION BY ratio) AS a_n FROM s GROUP BY ratio, k
+), lng AS (
+  SELECT lang, ratio, k, sum(n) AS n FROM s GROUP BY ALL
+), grid AS (
+  SELECT g.lang, g.source, g.ratio, w.k, a_c, a_n, coalesce(s.n, 0) AS g_x, coalesce(lng.n, 0) AS l_x
+  FROM (SELECT DISTINCT lang, source, ratio FROM s) g JOIN whole w ON g.ratio = w.ratio
+  LEFT JOIN s ON s.ratio = g.ratio AND s.k = w.k AND s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN lng ON lng.ratio = g.ratio AND lng.k = w.k AND lng.lang IS NOT DISTINCT FROM g.lang
+), c2 AS (
+  SELECT *, sum(g_x) OVER u AS g_c, sum(l_x) OVER u AS l_c, sum(g_x) OVER t AS g_n, sum(l_x) OVER t AS l_n FROM grid
+  WINDOW t AS (PARTITION BY lang, source, ratio), u AS (PARTITION BY lang, source, ratio ORDER BY k)
+), f AS (
+  SELECT lang, source, ratio, k, (g_c + 200 * ((l_c + 200 * (CAST(a_c AS DOUBLE) / a_n)) / (l_n + 200))) / (g_n + 200) AS f FROM c2
 ), e AS (
-  SELECT own.lang, own.source, own.ratio, CASE WHEN own.n >= 200 THEN own.q WHEN lng.n >= 200 THEN lng.q ELSE whole.q END AS q,
-         CASE own.ratio WHEN 'word_chars' THEN 400 WHEN 'symbols' THEN 25 WHEN 'dup_lines' THEN 65 ELSE 40 END AS least
-  FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.ratio = lng.ratio JOIN whole ON own.ratio = whole.ratio
+  SELECT lang, source, ratio, [min(k) FILTER (f >= 0.25), min(k) FILTER (f >= 0.5), min(k) FILTER (f >= 0.75)] AS q,
+         CASE ratio WHEN 'word_chars' THEN 200 WHEN 'symbols' THEN 25 WHEN 'dup_lines' THEN 65 ELSE 40 END AS least
+  FROM f GROUP BY lang, source, ratio
 ), o AS (
   SELECT DISTINCT rid FROM x JOIN e ON x.lang IS NOT DISTINCT FROM e.lang AND x.source IS NOT DISTINCT FROM e.source AND x.ratio = e.ratio
   WHERE v > q[3] + 8 * greatest(q[3] - q[2], least) OR (x.ratio = 'word_chars' AND v < q[1] - 8 * greatest(q[2] - q[1], least))
