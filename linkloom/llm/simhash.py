@@ -11,7 +11,8 @@ bits agrees under some mask. No pair is missed, whatever the data.
 
 Scale: copies collapse to one row per fingerprint before anything else. A bucket that holds more
 than ``BUCKET`` fingerprints is dealt anew by 15 masks over its free bits (again covering), never
-compared by one task; by construction this ends, as the free bits shrink by about half each time.
+compared by one task; this ends, as the free bits shrink by about half each time and a bucket with
+none left holds one fingerprint.
 A bucket yields a star per group of linked members, not all pairs. Groups are joined by
 alternating large-star and small-star rounds on written edge tables.
 
@@ -127,7 +128,7 @@ def links(tables: Tables, fps: DataFrame) -> DataFrame:
             break
         # at most 15 finer masks for each mask in use; the third time the free bits are 8 or fewer
         deal = [(m, _signed(f)) for m in masks for f in covering_masks(m & (1 << 64) - 1)]
-        rows = rows.join(large, ["mask", "key"], "left_semi").join(F.broadcast(spark.createDataFrame(deal, "mask long, finer long")), "mask").select("fp", F.col("finer").alias("mask"))
+        rows = rows.join(large, ["mask", "key"], "left_semi").join(F.broadcast(spark.createDataFrame(deal, "mask long, finer long")), "mask").select("fp", F.col("finer").alias("mask")).distinct()
         masks = sorted({f for _, f in deal})
     out = found[0]
     for more in found[1:]:
