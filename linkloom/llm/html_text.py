@@ -19,7 +19,7 @@ the child that holds ``MAJOR`` of the text, or half of it and is marked as the a
 ending there. If no tag is marked so, generic containers beside the text of that slot that every page has and that
 hold under ``MINOR`` of it (a block of advertising, say) are no part of it.
 
-Extraction keeps the text in the main slot but for the template's own and that in navigation, headers,
+Extraction keeps the text in the main slot (if that is the marked article, in all articles of a page) but for the template's own and that in navigation, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments, which element, role, class and id
 tell (a class word tells of a container inside the article only if it has no other words). Text in an
 article also counts by distinct article contents: it belongs to the template only if ``PAGES`` and
@@ -323,8 +323,8 @@ def _mass(parts: list[Part], steady: dict[int, bool], frequent: dict[int, int])
     return out
 
 
-def main_slot(rows: list[dict]) -> tuple[int | None, list[int]]:
-    """(main slot, roles beside its text) of a host, from its roles (role, above, kind, text, link, pages)."""
+def main_slot(rows: list[dict]) -> tuple[int | None, bool, list[int]]:
+    """(main slot, whether it is marked as the article, roles beside its text) of a host, from its roles (role, above, kind, text, link, pages)."""
     of = {r["role"]: r for r in rows}
     kids, marked = defaultdict(list), set()
     for r in rows:
@@ -336,7 +336,7 @@ def main_slot(rows: list[dict]) -> tuple[int | None, list[int]]:
                 marked.add(at)
                 at = of[at]["above"] if at in of else 0
     if not of.get(0, {}).get("text"):
-        return None, []
+        return None, False, []
     at, all_pages = 0, of[0]["pages"]
     while not of[at]["kind"] & 1:
         fit = [k for k in kids[at] if k["text"] >= (0.5 if k["role"] in marked else MAJOR) * of[at]["text"]]
@@ -344,19 +344,19 @@ def main_slot(rows: list[dict]) -> tuple[int | None, list[int]]:
             break
         at = max(fit, key=lambda k: (k["text"], -k["role"]))["role"]
     if at in marked:
-        return at, []
+        return at, bool(of[at]["kind"] & 1), []
     beside = [k["role"] for k in kids[at] if k["kind"] & 2 and k["role"] not in marked and k["pages"] >= (1 - STEADY) * all_pages and (k["text"] < MINOR * of[at]["text"] or k["link"] > k["text"])]
-    return at, beside
+    return at, False, beside
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [main_slot(x) for x in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["host", "slot", "beside"])
+        yield pa.record_batch([batch.column(0), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.list_(pa.int64()))))], ["host", "slot", "marked", "beside"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, marks, slot, beside), as a written table: the frequent tokens (token, template, steady), the main slot, and roles beside its text."""
+    """(host, marks, slot, marked, beside), as a written table: the frequent tokens (token, template, steady), the main slot, whether it is marked as the article, and roles beside its text."""
     tables = Tables(pages.sparkSession)
     found = tables.write(classes(pages), "classes")
     hosted = pages.select(host_column("url").alias("host"), "html").join(found, "host")
@@ -369,11 +369,11 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = judged.where("a = b and c = d and broken = 0").groupBy("host").agg(F.collect_set("class").alias("valid"))
     roles = sums.where("broken = -2").groupBy("host", F.col("class").alias("role")).agg(F.min("order_low").alias("above"), F.bit_or("order_high").alias("kind"), F.sum("gap_low").alias("text"), F.sum("gap_high").alias("link"), F.sum("pages").alias("pages"))
     # of a host there are as many roles as frequent opening tags on a page, at most 1 / SUPPORT times those of its mean page
-    slots = roles.groupBy("host").agg(F.collect_list(F.struct("role", "above", "kind", "text", "link", "pages")).alias("roles")).mapInArrow(_slots, "host string, slot long, beside array<long>")
+    slots = roles.groupBy("host").agg(F.collect_list(F.struct("role", "above", "kind", "text", "link", "pages")).alias("roles")).mapInArrow(_slots, "host string, slot long, marked boolean, beside array<long>")
     none = F.array().cast("array<bigint>")
     fixed = lambda m: F.array_contains(F.coalesce("valid", none), m["class"]) & ~F.array_contains(F.coalesce("copied", none), m["token"])
     marks = F.transform("members", lambda m: F.struct(m["token"].alias("token"), fixed(m).alias("template"), m["steady"].alias("steady")))
-    return tables.write(found.join(valid, "host", "left").join(copied, "host", "left").join(slots, "host", "left").select("host", marks.alias("marks"), "slot", "beside"), "templates")
+    return tables.write(found.join(valid, "host", "left").join(copied, "host", "left").join(slots, "host", "left").select("host", marks.alias("marks"), "slot", "marked", "beside"), "templates")
 
 
 def host_column(url: str) -> F.Column:
@@ -388,6 +388,7 @@ class Template:
     tokens: frozenset[int] = frozenset()
     steady: dict[int, bool] = field(default_factory=dict)
     slot: int | None = None
+    marked: bool = False
     beside: frozenset[int] = frozenset()
 
 
@@ -396,7 +397,10 @@ def main_text(page: str, template: Template = Template()) -> str:
     parts = list(events(page))
     good = [k == 0 and not dropped and not (template.tokens and token_of(0, text, path) in template.tokens) for k, text, path, dropped, *_ in parts]
     if template.slot is not None:
-        of_slot = [own and (not template.slot or any(r == template.slot for r, _ in stack)) and not any(r in template.beside for r, _ in stack) for own, stack in zip(good, _roles(parts, template.steady), strict=True)]
+        slot, beside = template.slot, template.beside
+        # where the slot is the marked article, so is what other articles of a page hold
+        held = lambda part, stack: template.marked and part[4] or (not slot or any(r == slot for r, _ in stack)) and not any(r in beside for r, _ in stack)
+        of_slot = [own and held(part, stack) for own, part, stack in zip(good, parts, _roles(parts, template.steady), strict=True)]
         if any(own and not part[1].isspace() for own, part in zip(of_slot, parts, strict=True)):
             return _joined(parts, of_slot)
     sizes = [0, 0]
@@ -432,13 +436,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, Template] = {}
     for batch in batches:
         out = []
-        for page, host, marks, slot, beside in zip(*(batch.column(k) for k in range(2, 7)), strict=True):
+        for page, host, marks, slot, marked, beside in zip(*(batch.column(k) for k in range(2, 8)), strict=True):
             name = host.as_py()
             if name not in known:
                 if len(known) >= 1000:
                     known.clear()
                 rows = marks.as_py() or ()
-                known[name] = Template(frozenset(m["token"] for m in rows if m["template"]), {m["token"]: m["steady"] for m in rows}, slot.as_py(), frozenset(beside.as_py() or ()))
+                known[name] = Template(frozenset(m["token"] for m in rows if m["template"]), {m["token"]: m["steady"] for m in rows}, slot.as_py(), bool(marked.as_py()), frozenset(beside.as_py() or ()))
             out.append(main_text(page.as_py() or "", known[name]))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
@@ -447,4 +451,4 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     hosted = pages.withColumn("host", host_column("url")).join(templates(pages), "host", "left")
-    return hosted.select("page_id", "url", "html", "host", "marks", "slot", "beside").mapInArrow(_texts, "page_id long, url string, text string")
+    return hosted.select("page_id", "url", "html", "host", "marks", "slot", "marked", "beside").mapInArrow(_texts, "page_id long, url string, text string")

@@ -23,6 +23,12 @@ def test_a_teaser_does_not_hide_the_main_text(spark):
     assert all(f"Main text number {k} is" in got[k] for k in range(5))
 
 
+def test_a_second_article_on_few_pages_stays(spark):
+    bodies = [f"<nav>menu</nav><article><p>story {k} of {k * k}</p></article>" + f"<article><p>second {k}</p></article>" * (k == 7) for k in range(40)]
+    got = _texts(spark, bodies)
+    assert got[7] == "story 7 of 49\n\nsecond 7" and got[8] == "story 8 of 64"
+
+
 def test_marks_inside_articles_must_be_clear(spark):
     body = "<article><section id='discussion-of-results'><p>kept</p></section><h2 id='related'>Related work</h2><div class='status notice'>also kept</div><div class='promotion-history'>too</div><div class='share'>gone</div><section class='comments'>gone</section></article>"
     assert html_text.main_text(body) == "kept\n\nRelated work\n\nalso kept\n\ntoo"
