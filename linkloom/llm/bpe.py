@@ -12,7 +12,7 @@ end, and in long ones after ``AHEAD`` bytes up to the place that all live positi
 
 States and transitions are made when first met. When ``STATES`` are held, all are let go and made
 anew; so are remembered pieces beyond ``PIECES`` and tested pairs beyond ``PAIRS``. Each step is the
-same whatever is held. All of it takes about 300 MB in a worker.
+same whatever is held. All of it takes about 150 MB in a worker. Ranks are below 2**20 - 1.
 
 A piece that is itself a token is that token, as in the rank library. Null texts encode to no ids
 like empty ones; repeated rows and null ids pass through; other columns, whatever their names, are
@@ -25,6 +25,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -36,7 +38,9 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import worker
 
-STATES, PIECES, PAIRS, SMALL, AHEAD = 200_000, 600_000, 250_000, 32, 4096
+STATES, PIECES, PAIRS, SMALL, AHEAD = 100_000, 250_000, 100_000, 32, 4096
+_BITS = 20
+_MASK = (1 << _BITS) - 1
 _CHUNK, _LONG = 1 << 16, 1 << 20
 
 
@@ -75,28 +79,28 @@ class Transducer:
                 node = nxt
             ends[node] = rank
         self.ends = [ends.get(node, -1) for node in range(nodes)]
-        self.kids: list[list[int]] = [[] for _ in range(nodes)]
+        self.kids: dict[int, list[int]] = {}
         self.depth = [0] * nodes
         for key, node in self.child.items():  # parents come before their children
-            self.kids[key >> 8].append(node)
+            self.kids.setdefault(key >> 8, []).append(node)
             self.depth[node] = self.depth[key >> 8] + 1
         self.under = [0] * nodes  # tokens strictly below a node
         for node in range(nodes - 1, -1, -1):
-            self.under[node] = sum(self.under[k] + (self.ends[k] >= 0) for k in self.kids[node])
+            self.under[node] = sum(self.under[k] + (self.ends[k] >= 0) for k in self.kids.get(node, ()))
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.spines: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
-        self.met: dict[tuple[int, int], tuple[int, int] | None] = {}
-        self.first: dict[tuple, int] = {}
-        self._state(_FRESH)
-
-    def _state(self, state: tuple) -> int:
+        self.ids: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.moves: dict[int, int] = {}
+        self.met: dict[int, int] = {}
+        self.first: dict[int, int] = {}
+        self._state((_position(0, -1),))
+
+    def _state(self, state: tuple[int, ...]) -> int:
         at = self.ids.get(state)
         if at is None:
             at = self.ids[state] = len(self.states)
@@ -149,39 +153,42 @@ class Transducer:
                 j += 1
 
     def _below(self, node: int) -> Iterator[int]:
-        for kid in self.kids[node]:
+        for kid in self.kids.get(node, ()):
             if self.ends[kid] >= 0:
                 yield self.ends[kid]
             yield from self._below(kid)
 
-    def _meet(self, node: int, left: int) -> tuple[int, int] | None:
-        """The position that stands for all with this node after which the same tokens fit; None if none does."""
-        fit = tuple([t for t in self._below(node) if self.fits(left, t)])
-        return (node, self.first.setdefault((node, fit), left)) if fit else None
+    def _meet(self, node: int, left: int) -> int:
+        """The position that stands for all with this node after which the same tokens fit; -1 if none does."""
+        fit = 0
+        for k, token in enumerate(self._below(node)):
+            fit |= self.fits(left, token) << k
+        return self.first.setdefault(node << SMALL | fit, _position(node, left)) if fit else -1
 
-    def _move(self, at: int, byte: int) -> tuple[int, int]:
-        """(next state, token that ends here) after a byte."""
+    def _move(self, at: int, byte: int) -> int:
+        """The next state and the token that ends here, after a byte, as one integer."""
         if len(self.states) >= STATES or len(self.met) >= 4 * STATES:
             live = self.states[at]
             self._clear()
             at = self._state(live)
         here, after = -1, []
         for position in self.states[at]:
-            node = self.child.get(position[0] << 8 | byte)
+            node, left = self.child.get((position >> _BITS) << 8 | byte), (position & _MASK) - 1
             if node is None:
                 continue
             token = self.ends[node]
-            if here < 0 <= token and self.fits(position[1], token):
+            if here < 0 <= token and self.fits(left, token):
                 here = token
             if self.under[node]:
-                now = node, position[1]
+                now = _position(node, left)
                 if self.under[node] <= SMALL:
-                    if now not in self.met:
-                        self.met[now] = self._meet(*now)
-                    now = self.met[now]
-                if now is not None:
+                    met = self.met.get(now)
+                    if met is None:
+                        met = self.met[now] = self._meet(node, left)
+                    now = met
+                if now >= 0:
                     after.append(now)
-        move = self.moves[at << 8 | byte] = self._state((*after, (0, here))), here
+        move = self.moves[at << 8 | byte] = self._state((*after, _position(0, here))) << _BITS | here
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -195,10 +202,10 @@ class Transducer:
             if move is None:
                 move = self._move(at, byte)
                 known = self.moves.get
-            at, token = move
-            last.append(token)
+            at = move >> _BITS
+            last.append(move & _MASK)
             if len(last) == look:
-                last = last[self._emit(last, {len(last) - self.depth[node] for node, _ in self.states[at]}, out) :]
+                last = last[self._emit(last, {len(last) - self.depth[p >> _BITS] for p in self.states[at]}, out) :]
                 look = len(last) + AHEAD
         self._emit(last, {len(last)}, out)
         return out
@@ -219,7 +226,9 @@ class Transducer:
         return shared
 
 
-_FRESH = ((0, -1),)
+def _position(node: int, left: int) -> int:
+    """A trie node and the token before it (-1: none) as one integer."""
+    return node << _BITS | left + 1
 
 
 class Encoder(dict):
@@ -229,10 +238,12 @@ class Encoder(dict):
         super().__init__()
         self.machine, self.split = Transducer(ranks), regex.compile(pattern)
         self.tokens = self.machine.tokens
-        self.packed = {token: token.to_bytes(4, "little") for token in self.tokens}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = b"".join(map(self.packed.__getitem__, self.machine.encode(piece.encode())))
+        ids = array("I", self.machine.encode(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        packed = ids.tobytes()
         if len(self) >= PIECES:
             self.clear()
         self[piece] = packed
