@@ -15,8 +15,8 @@ from linkloom.llm import bpe, queries, soft_mixing
 from linkloom.llm import compression_quality as cq
 from linkloom.llm import quality_rules as qr
 from tests.llm.test_mixing_and_pipeline import plain_rates
+from tests.llm.test_near_copies import grouped, plain_set
 from tests.llm.test_quality import plain_counts
-from tests.llm.test_simhash import groups, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,13 +34,21 @@ def plain_rules(docs):
                     held[key, name].append(x >> drop << drop)
 
     def kept(d, bad, r):
+        if bad:
+            return False
         for name, _, _, least, both in qr.RATIOS:
-            keys = [k for k in ((d.lang, d.source), (d.lang,)) if len(held[k, name]) >= qr.GROUP]
-            values = sorted(held[(keys or [()])[0], name])
-            q25, q50, q75 = (values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.5, 0.75))
+            sets = [held[key, name] for key in ((d.lang, d.source), (d.lang,), ())]
+
+            def share(k, sets=sets):
+                own, lang, whole = (sum(v <= k for v in values) for values in sets)
+                parent = (lang + qr.GROUP * (whole / len(sets[2]))) / (len(sets[1]) + qr.GROUP)
+                return (own + qr.GROUP * parent) / (len(sets[0]) + qr.GROUP)
+
+            shares = [(k, share(k)) for k in sorted(set(sets[2]))]
+            q25, q50, q75 = (min(k for k, f in shares if f >= q) for q in (0.25, 0.5, 0.75))
             if r[name] > q75 + qr.REACH * max(q75 - q50, least) or both and r[name] < q25 - qr.REACH * max(q50 - q25, least):
                 return False
-        return not bad
+        return True
 
     return [d for d, bad, r in zip(docs, failed, ratios, strict=True) if kept(d, bad, r)]
 
@@ -51,11 +59,9 @@ def test_pipeline_equals_the_plain_one(spark):
     packers = model.packers()
     docs = [d for d in table.collect() if model.score(np.array([cq.features(d.text.encode(), packers)]))[0] >= 0.5]
     docs = plain_rules(docs)
-    prints = [(d.doc_id, plain_fingerprint(d.text)) for d in docs]
-    least = groups(prints)
-    docs = [d for d, (i, f) in zip(docs, prints, strict=True) if least[f] == i]
+    docs = [d for d, (i, least) in zip(docs, grouped([(d.doc_id, plain_set(d.text)) for d in docs]), strict=True) if least == i]
     domains = list(queries.TARGETS)
-    classifier = soft_mixing.fit_classifier(spark.createDataFrame(docs, table.schema), domains, domain_col="lang")
+    classifier = soft_mixing.fit_classifier(queries.labelled_domains(spark.createDataFrame(docs, table.schema)), domains)
     p = np.array([classifier.posterior(d.text.encode()) for d in docs])
     n = np.array([float(len(d.text.encode().split())) for d in docs])
     rates = plain_rates(p, n, np.array(list(queries.TARGETS.values())) * n.sum())
