@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import urls
+from linkloom.operators.ranks import ranked
 
 
 def link_class(host: Column, path: Column, start_host: Column, prefix: str = "", include_subdomains: bool = False) -> Column:
@@ -111,18 +112,14 @@ def by_depth(pages: DataFrame) -> DataFrame:
 
 
 def by_parent(sections: DataFrame, parent: str = "parent", index: str = "index") -> DataFrame:
-    """Sections with the largest parents first, then parent by code unit, then their first order."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(parent))
-    return sections.withColumn("parent_size", n).orderBy(F.desc("parent_size"), parent, index)
+    """Sections with the largest parents first, then parent by code unit, then their first order.
+
+    Sizes are partial counts joined to the sections, so that a parent's sections never meet in one task.
+    """
+    sizes = sections.groupBy(F.col(parent).alias("_parent")).agg(F.count(F.lit(1)).alias("parent_size"))
+    return sections.join(sizes, F.col(parent).eqNullSafe(F.col("_parent"))).drop("_parent").orderBy(F.desc("parent_size"), parent, index)
 
 
 def page_numbers(rows: DataFrame, order: list[str], size: int = 1000, by: list[str] | None = None) -> DataFrame:
-    """Rows with their page number. Without ``by`` the ranks come from a range sort and offsets per partition, so no task holds all rows."""
-    if by:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return rows.withColumn("page", F.ceil(rank / size).cast("long"))
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
-    bases = sizes.withColumn("_base", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_base")
-    return local.join(bases, "_part").withColumn("page", F.ceil((F.col("_at") + F.col("_base")) / size).cast("long")).drop("_part", "_at", "_base")
+    """Rows with their page number, per group of ``by`` if given; a group of any size is dealt over many tasks."""
+    return ranked(rows, order, "_rank", by).withColumn("page", F.ceil(F.col("_rank") / size).cast("long")).drop("_rank")

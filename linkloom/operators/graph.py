@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import http, urls
 from linkloom.operators import classify, extract
+from linkloom.operators.ranks import ranked
 from linkloom.plans.config import CrawlConfig
 from linkloom.sources import live
 from linkloom.sources.control import Control
@@ -25,16 +26,6 @@ from linkloom.sources.shared import Tables
 START = "(start)"
 
 
-def ranked(rows: DataFrame, order: list[str], column: str = "rank") -> DataFrame:
-    """rows with a dense global rank by order; sorted by ranges and offset by each partition's count, so no task holds all rows."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = spread.select("*", F.spark_partition_id().alias("_part"))
-    local = numbered.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
-    bases = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    return local.join(bases, "_part").withColumn(column, F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
-
-
 def bfs(
     edges: DataFrame, starts: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, keys: list[str] | None = None, keep_going: Callable[[int], bool] = lambda depth: True, ordered: bool = True
 ) -> DataFrame:

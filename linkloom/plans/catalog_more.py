@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import http, schemas, text, urls
 from linkloom.operators import allowlist, classify, extract, graph, journal, outcomes, triage
+from linkloom.operators.ranks import ranked
 from linkloom.plans import bindings as b
 from linkloom.plans.catalog import _EV, _FL, _LK, _REFS, _URL, PATTERNS, _active, _edges, _judged, _out, _pairs, _PAIRS, query
 from linkloom.plans.config import CrawlConfig
@@ -344,7 +345,7 @@ def sections_by_parent(spark, d):
 def _placed(spark, ordered):
     """Rows of a sorted table with their places, by a written order key."""
     kept = Tables(spark).write(ordered.withColumn("_order", F.monotonically_increasing_id()), "sorted")
-    return graph.ranked(kept, ["_order"], "place").withColumn("place", F.col("place").cast("long")).drop("_order")
+    return ranked(kept, ["_order"], "place").withColumn("place", F.col("place").cast("long")).drop("_order")
 
 
 # later verdicts and triage
