@@ -58,8 +58,9 @@ def test_buckets(spark):
 def test_sketches_merge(spark, documents):
     counted = qr.with_counts(documents).withColumn("base_failed", F.lit(False))
     halves = qr.sketches(counted.where("doc_id % 2 = 0")).unionByName(qr.sketches(counted.where("doc_id % 2 = 1")))
-    both = qr._quantiles(halves.groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n")), ["lang"])
-    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, qr._quantiles(qr.sketches(counted), ["lang"]).collect()))
+    both = halves.groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, qr._mixed(both).collect())) == sorted(map(tuple, qr._mixed(qr.sketches(counted)).collect()))
+    assert sorted(map(str, qr.thresholds(both).collect())) == sorted(map(str, qr.thresholds(qr.sketches(counted)).collect()))
 
 
 def test_rules_on_odd_rows(odd, none):
