@@ -1,4 +1,4 @@
-"""Files that tasks write and read by URI, on whatever store the shared folder is."""
+"""Files that tasks write and read by URI, on whatever store the shared folder is, and batches cut by bytes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 
 
@@ -61,3 +63,14 @@ def range_of(file: pa.NativeFile, begin: int, size: int) -> pa.Buffer:
     """Bytes of a file; no copy where it is mapped."""
     file.seek(begin)
     return file.read_buffer(size)
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a column has about so many bytes in each; a value alone may have more."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, compression_quality, html_text, piece_counts, simhash, soft_mixing, token_files, warc
+from linkloom.llm import bpe, chat_format, compression_quality, fill_middle, html_text, periodic_runs, piece_counts, simhash, soft_mixing, token_files, warc
 from linkloom.llm import quality_rules as rules
 from linkloom.llm import top_k as search
 
@@ -78,6 +78,38 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.piece_counts(_read(spark, sf_dir, "documents"), PIECES).withColumnRenamed("id", "doc_id")
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts, in every tenth of which by CRC-32 the words from some place on repeat with some period."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(rules.WORD), F.lit(0))
+    marked = docs.select("doc_id", "text", F.floor(h / 10).alias("_g"), F.when(h % 10 == 0, words).alias("_w")).withColumn("_n", F.size("_w"))
+    placed = marked.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n"))).withColumn("_p", F.lit(1) + F.floor((F.col("_n") - F.col("_a")) / (F.lit(3) + F.col("_g") % 8)))
+    changed = F.transform("_w", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get(F.col("_w"), (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("_n") > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_planted(_read(spark, sf_dir, "documents")), texts=False).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    tricky = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    return chat_format.read_back(chat_format.format_chats(rows))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return fill_middle.restored(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_simhash": op2_simhash,
@@ -89,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_piece_counts": op10_piece_counts,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_chat_format": op12_chat_format,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 _OP3_SQL = r"""
@@ -168,5 +203,38 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND p
 FROM f
 """
 
+_ESCAPED = r"replace(replace(replace(replace(replace({x}, '\', '\\'), '### ', '#\## '), ': ', ':\ '), '<next/>', '<\next/>'), '</turn>', '<\/turn>')".replace("\\\\", "\\\\")
+_OP12_SQL = f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, {_ESCAPED.format(x="role")} AS er, {_ESCAPED.format(x="text")} AS et FROM r
+), p AS (
+  SELECT *, lag(er) OVER (PARTITION BY conv_id ORDER BY turn, er, et) AS before FROM e
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, er, et)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, er, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(et) + CASE WHEN before = er THEN 7 ELSE 6 + length(er) END) + 8 + 8 * count(*) FILTER (before <> er) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), s AS (
+  SELECT *, coalesce(array_to_string(l[1:a], ''), '') AS p, coalesce(array_to_string(l[a + 1:b], ''), '') AS m, coalesce(array_to_string(l[b + 1:n], ''), '') AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s
+"""
+
 #: The others are tested against brute force, libraries or held-out labels in tests/llm.
-ORACLES: dict[str, str] = {"op3_quality_rules": _OP3_SQL, "op8_top_k": _OP8_SQL, "op9_warc": _OP9_SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": _OP3_SQL, "op8_top_k": _OP8_SQL, "op9_warc": _OP9_SQL, "op12_chat_format": _OP12_SQL, "op13_fill_middle": _OP13_SQL}
