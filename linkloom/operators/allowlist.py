@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
+from linkloom.sources.shared import Tables
 
 
 def to_regex(pattern: str) -> str:
@@ -32,31 +33,63 @@ def split_active(flagged: DataFrame, patterns: list[str]) -> DataFrame:
     return flagged.withColumn("suppressed", F.coalesce(matches(F.col("url"), patterns), F.lit(False)))
 
 
+#: Regexes that one row of a lookup holds.
+_TOGETHER = 64
+
+
+def _keys(url: Column, lengths: Column) -> Column:
+    """The heads, tails and substrings of a url of the given lengths, as (where, part)."""
+    cut = lambda x: F.when(x["where"] == "head", F.array(F.left(url, x["n"]))).when(x["where"] == "tail", F.array(F.right(url, x["n"]))).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(url) - x["n"] + 1), lambda at: F.substring(url, at, x["n"])))
+    )
+    fitting = F.filter(lengths, lambda x: x["n"] <= F.length(url))
+    return F.flatten(F.transform(fitting, lambda x: F.transform(cut(x), lambda y: F.struct(x["where"].alias("where"), y.alias("part")))))
+
+
+def _literals(patterns: DataFrame, column: str) -> DataFrame:
+    """(regex, where, part): every literal part of the patterns with a wildcard, as head, tail or inner part; a pattern of wildcards alone has the empty inner part."""
+    parts, last = F.split(column, r"\*"), F.size(F.split(column, r"\*")) - 1
+    placed = F.transform(parts, lambda x, i: F.struct(F.when(i == 0, "head").when(i == last, "tail").otherwise("inner").alias("where"), x.alias("part")))
+    named = F.filter(placed, lambda x: x["part"] != "")
+    none = F.array(F.struct(F.lit("inner").alias("where"), F.lit("").alias("part")))
+    return patterns.where(F.col(column).contains("*")).select(regex_column(F.col(column)).alias("regex"), F.explode(F.when(F.size(named) > 0, named).otherwise(none)).alias("x")).select("regex", "x.*").distinct()
+
+
+def _looked_up(urls: DataFrame, literals: DataFrame) -> DataFrame:
+    """(url, where, part): where each url is looked up. The lengths are one row, of lengths that urls have, some hundreds at most."""
+    lengths = literals.select("where", F.length("part").alias("n")).distinct().groupBy().agg(F.collect_list(F.struct("where", "n")).alias("_lengths"))
+    return urls.crossJoin(lengths).select("url", F.explode(_keys(F.col("url"), F.col("_lengths"))).alias("x")).select("url", "x.*")
+
+
+def rarest_literals(urls: DataFrame, literals: DataFrame) -> DataFrame:
+    """(regex, where, part, urls): of each pattern's literal parts the one that the fewest urls have. A part that no url has rules its pattern out."""
+    counts = _looked_up(urls, literals).join(literals.select("where", "part").distinct(), ["where", "part"], "left_semi").groupBy("where", "part").agg(F.count(F.lit(1)).alias("urls"))
+    counted = literals.join(counts, ["where", "part"], "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
+    first = F.min(F.struct("urls", (-F.length("part")).alias("_n"), "where", "part"))
+    return counted.groupBy("regex").agg(first.alias("x")).select("regex", "x.where", "x.part", "x.urls").where(F.col("urls") > 0)
+
+
 def split_by_table(flagged: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
     """As split_active, for a table of patterns of any size.
 
-    Exact patterns join by equality. A wildcard pattern joins by a literal part that a matching url must hold:
-    its head, else its tail, else its longest inner part. Urls are looked up by their heads, tails or substrings of
-    the lengths that such parts have, so a pair of url and pattern is made only where the part is there.
+    Exact patterns join by equality. A wildcard pattern joins by that of its literal parts which
+    the fewest urls have: of 10,000 patterns ``https://*/x`` each meets the urls that end in its x, not all.
+    Patterns that share their rarest part are matched by lists of regexes, of which the first hit counts.
     """
+    tables = Tables(flagged.sparkSession)
     exact = patterns.where(~F.col(column).contains("*")).select(F.col(column).alias("url")).distinct()
-    wild = patterns.where(F.col(column).contains("*")).select(F.split(column, r"\*").alias("_parts"), regex_column(F.col(column)).alias("_regex")).distinct()
-    size = lambda k: F.length(F.element_at("_parts", k))
-    inner = F.element_at(F.array_sort(F.transform("_parts", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1)["x"]
-    where = F.when(size(1) > 0, "head").when(size(-1) > 0, "tail").otherwise("inner")
-    part = F.when(size(1) > 0, F.element_at("_parts", 1)).when(size(-1) > 0, F.element_at("_parts", -1)).otherwise(inner)
-    keyed = wild.select(where.alias("_where"), part.alias("_part"), "_regex")
-    # one row: where parts are looked for and their lengths, which are lengths of urls, some hundreds at most
-    lengths = keyed.select("_where", F.length("_part").alias("_n")).distinct().groupBy().agg(F.collect_list(F.struct("_where", "_n")).alias("_lengths"))
-    cut = lambda x: F.when(x["_where"] == "head", F.array(F.left(F.col("url"), x["_n"]))).when(x["_where"] == "tail", F.array(F.right(F.col("url"), x["_n"]))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("url") - x["_n"] + 1), lambda at: F.substring(F.col("url"), at, x["_n"])))
-    )
-    fitting = F.filter("_lengths", lambda x: x["_n"] <= F.length("url"))
-    urls = flagged.select("url").where(F.col("url").isNotNull()).distinct().crossJoin(lengths)
-    looked = urls.select("url", F.explode(F.flatten(F.transform(fitting, lambda x: F.transform(cut(x), lambda y: F.struct(x["_where"].alias("_where"), y.alias("_part")))))).alias("x")).select("url", "x.*")
-    hits = looked.join(keyed, ["_where", "_part"]).where(F.expr("url rlike _regex")).select("url").distinct()
-    marked = flagged.join(exact.withColumn("_exact", F.lit(True)), "url", "left").join(hits.withColumn("_wild", F.lit(True)), "url", "left")
-    return marked.withColumn("suppressed", F.col("_exact").isNotNull() | F.col("_wild").isNotNull()).drop("_exact", "_wild")
+    literals = tables.write(_literals(patterns, column), "literals")
+    urls = tables.write(flagged.select("url").where(F.col("url").isNotNull()).distinct(), "urls")
+    marked = flagged.join(exact.withColumn("_exact", F.lit(True)), "url", "left").withColumn("suppressed", F.col("_exact").isNotNull()).drop("_exact")
+    if literals.isEmpty():
+        return marked
+    rarest = tables.write(rarest_literals(urls, literals), "rarest")
+    sizes = rarest.groupBy("where", "part").agg(F.ceil(F.count(F.lit(1)) / _TOGETHER).alias("_lists"))
+    listed = rarest.join(sizes, ["where", "part"]).groupBy("where", "part", F.pmod(F.xxhash64("regex"), "_lists").alias("_list"))
+    lists = listed.agg(F.collect_list("regex").alias("_regexes"))
+    hit = F.exists("_regexes", lambda r: F.rlike(F.col("url"), r))
+    hits = _looked_up(urls, rarest).join(lists, ["where", "part"]).where(hit).select("url").distinct()
+    return marked.join(hits.withColumn("_wild", F.lit(True)), "url", "left").withColumn("suppressed", F.col("suppressed") | F.col("_wild").isNotNull()).drop("_wild")
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:

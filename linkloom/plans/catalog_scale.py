@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from linkloom.operators import classify
+from pyspark.sql import functions as F
+
+from linkloom.operators import allowlist, classify
 from linkloom.operators.ranks import ranked
 from linkloom.plans import bindings as b
-from linkloom.plans.catalog import query
+from linkloom.plans.catalog import _URL, query
 
 # ranks and pages
 
@@ -27,3 +29,15 @@ def pages_by_group(spark, d):
     """Page numbers that restart per group, one of which has a third of all rows."""
     rows = b.table(spark, d, "lineitem").selectExpr("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "CASE WHEN l_suppkey % 3 = 0 THEN 0L ELSE l_suppkey END AS grp")
     return classify.page_numbers(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 100, ["grp"]).drop("grp")
+
+
+# pattern lists
+
+
+@query(f"SELECT {_URL.format(k='p_partkey')} AS url, p_partkey % 4 = 1 OR (p_partkey % 3 <> 0 AND p_partkey % 11 = 4 AND right(CAST(p_partkey AS VARCHAR), 1) = '6') AS suppressed FROM part")
+def allowlist_wild_heads(spark, d):
+    """A pattern for every fourth part, all of one head: ``https://*/p1``; each joins by its tail."""
+    parts = b.table(spark, d, "part")
+    patterns = parts.where("p_partkey % 4 = 1").select(F.format_string("https://*/p%d", "p_partkey").alias("pattern"))
+    patterns = patterns.unionByName(spark.createDataFrame([("https://*/d4/*6",), ("https://*/nowhere/*",)], "pattern string"))
+    return allowlist.split_by_table(parts.select(b.url(F.col("p_partkey")).alias("url")), patterns).select("url", "suppressed")

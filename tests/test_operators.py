@@ -127,6 +127,17 @@ def test_allowlist(spark):
         assert sorted(map(repr, allowlist.split_by_table(links, table).collect())) == sorted(map(repr, allowlist.split_active(links, patterns).collect()))
 
 
+def test_wild_heads_join_by_the_rarest_part(spark):
+    urls = spark.range(5000).select(F.format_string("https://h%d.example/x%d", F.col("id") % 50, "id").alias("url"))
+    patterns = spark.range(10_000).select(F.format_string("https://*/x%d", F.col("id") + 2000).alias("pattern"))
+    literals = allowlist._literals(patterns, "pattern")
+    rarest = allowlist.rarest_literals(urls, literals)
+    pairs, kinds = rarest.agg(F.sum("urls")).first()[0], {r[0] for r in rarest.select("where").distinct().collect()}
+    got = allowlist.split_by_table(urls, patterns)
+    assert got.where("suppressed").count() == 3000 and pairs == 3000 and kinds == {"tail"}
+    assert got.where("suppressed <> (cast(regexp_extract(url, 'x(\\\\d+)$', 1) AS int) >= 2000)").count() == 0
+
+
 def _flagged(spark):
     return spark.createDataFrame([("u1", "HTTP 404", "s", "internal", "broken"), ("u2", "HTTP 404", "", "external", "broken"), ("u3", "HTTP 403", "s", None, "blocked"), ("u2", "HTTP 403", "s", "external", "blocked")], "url string, reason string, source string, kind string, disposition string")
 
