@@ -86,17 +86,20 @@ def is_web(href: Column | str) -> Column:
     return protocol(href).isin("http:", "https:")
 
 
-def same_domain(host: Column | str, start_host: Column | str, include_subdomains: bool) -> Column:
-    """Equal hosts, or with subdomains either a dot-suffix of the other."""
+def same_domain(host: Column | str, start_host: Column | str, include_subdomains: bool | Column) -> Column:
+    """Equal hosts, or with subdomains either a dot-suffix of the other. A column says so for each row."""
     host, start = _col(host), _col(start_host)
-    if not include_subdomains:
+    if include_subdomains is False:
         return host == start
-    return (host == start) | host.endswith(F.concat(F.lit("."), start)) | start.endswith(F.concat(F.lit("."), host))
+    below = host.endswith(F.concat(F.lit("."), start)) | start.endswith(F.concat(F.lit("."), host))
+    return (host == start) | (below if include_subdomains is True else include_subdomains & below)
 
 
-def in_scope(path: Column | str, prefix: str) -> Column:
-    """Whether a path is the prefix or below it; an empty prefix holds all."""
+def in_scope(path: Column | str, prefix: str | Column) -> Column:
+    """Whether a path is the prefix or below it; an empty prefix holds all. A column gives each row's prefix."""
     path = _col(path)
+    if isinstance(prefix, Column):
+        return (prefix == "") | (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
     return F.lit(True) if not prefix else (path == prefix) | path.startswith(prefix + "/")
 
 

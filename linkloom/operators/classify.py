@@ -10,28 +10,28 @@ from linkloom.functions import urls
 from linkloom.operators.ranks import ranked
 
 
-def link_class(host: Column, path: Column, start_host: Column, prefix: str = "", include_subdomains: bool = False) -> Column:
+def link_class(host: Column, path: Column, start_host: Column, prefix: str | Column = "", include_subdomains: bool | Column = False) -> Column:
     """internal, out_of_scope (same domain, outside the prefix) or external."""
     return F.when(~urls.same_domain(host, start_host, include_subdomains), "external").when(urls.in_scope(path, prefix), "internal").otherwise("out_of_scope")
 
 
-def classify(links: DataFrame, start_host: Column, prefix: str = "", include_subdomains: bool = False) -> DataFrame:
+def classify(links: DataFrame, start_host: Column, prefix: str | Column = "", include_subdomains: bool | Column = False) -> DataFrame:
     """http(s) links with link_class and target: normalized for internal links, else the href with its fragment."""
     kind = link_class(F.col("host"), F.col("path"), start_host, prefix, include_subdomains)
     typed = links.where(F.col("protocol").isin("http:", "https:")).withColumn("link_class", kind)
     return typed.withColumn("target", F.when(F.col("link_class") == "internal", urls.normalize("href")).otherwise(F.col("href")))
 
 
-def page_counts(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Pages with internal and external occurrence counts; out-of-scope links count in neither, pages without links have 0."""
-    n = links.groupBy(F.col("page_url").alias("url")).agg(*(F.count_if(F.col("link_class") == c).alias(c) for c in ("internal", "external")))
-    return pages.join(n, "url", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("internal", "external")})
+def page_counts(pages: DataFrame, links: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Pages with internal and external occurrence counts; out-of-scope links count in neither, pages without links have 0. Pages are told apart by the columns of ``by`` too."""
+    n = links.groupBy(*(by or []), F.col("page_url").alias("url")).agg(*(F.count_if(F.col("link_class") == c).alias(c) for c in ("internal", "external")))
+    return pages.join(n, [*(by or []), "url"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("internal", "external")})
 
 
-def referrers(links: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """(target, referrer, first_seen): distinct edges; first_seen orders referrers by the page's rank, then position."""
+def referrers(links: DataFrame, order: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by..., target, referrer, first_seen): distinct edges; first_seen orders referrers by the page's rank, then position."""
     rank = F.struct(*(order or ["page_url", "pos"]))
-    return links.groupBy("target", F.col("page_url").alias("referrer")).agg(F.min(rank).alias("first_seen"))
+    return links.groupBy(*(by or []), "target", F.col("page_url").alias("referrer")).agg(F.min(rank).alias("first_seen"))
 
 
 def capped_referrers(edges: DataFrame, most: int = 0) -> DataFrame:
@@ -80,14 +80,14 @@ def first_referrer(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target").agg(F.min_by("referrer", F.struct("first_seen", "referrer")).alias("source"))
 
 
-def external_destinations(links: DataFrame) -> DataFrame:
-    """(url, host): distinct external hrefs; the host is a function of the url."""
-    return links.where(F.col("link_class") == "external").groupBy(F.col("target").alias("url")).agg(F.min("host").alias("host"))
+def external_destinations(links: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., url, host): distinct external hrefs; the host is a function of the url."""
+    return links.where(F.col("link_class") == "external").groupBy(*(by or []), F.col("target").alias("url")).agg(F.min("host").alias("host"))
 
 
-def out_of_scope_destinations(links: DataFrame) -> DataFrame:
-    """(url): distinct out-of-scope hrefs."""
-    return links.where(F.col("link_class") == "out_of_scope").select(F.col("target").alias("url")).distinct()
+def out_of_scope_destinations(links: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., url): distinct out-of-scope hrefs."""
+    return links.where(F.col("link_class") == "out_of_scope").select(*(by or []), F.col("target").alias("url")).distinct()
 
 
 def first_wins(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

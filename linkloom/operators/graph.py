@@ -1,6 +1,6 @@
 """Breadth-first crawl over recorded responses or over an edge table, one level at a time.
 
-Each level is a join, a deduplication and an anti-join; what is seen is a table partitioned by key,
+Each level is a join, a deduplication and an anti-join; what is seen is a store bucketed by key (``seen``),
 never held on the driver. Each level is a written table in the cluster's shared folder, which cuts its
 lineage. Order within a level is (parent's rank, position), the order of a crawl with one worker, so
 first discoverers and caps are well defined.
@@ -13,53 +13,81 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from linkloom.functions import http, urls
 from linkloom.operators import classify, extract
 from linkloom.operators.ranks import ranked
+from linkloom.operators.seen import Seen
 from linkloom.plans.config import CrawlConfig
 from linkloom.sources import live
 from linkloom.sources.control import Control
-from linkloom.sources.shared import Tables
+from linkloom.sources.shared import Tables, new_path
 
 START = "(start)"
 
 
 def bfs(
-    edges: DataFrame, starts: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, keys: list[str] | None = None, keep_going: Callable[[int], bool] = lambda depth: True, ordered: bool = True
-) -> DataFrame:
+    edges: DataFrame | Callable[[DataFrame], DataFrame], starts: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, keys: list[str] | None = None,
+    keep_going: Callable[[int], bool] = lambda depth: True, ordered: bool = True, limits: DataFrame | None = None,
+) -> DataFrame:
     """(keys..., node, depth, parent, rank) of nodes reached over edges (keys..., src, dst[, pos]).
 
-    keys (such as a site) make independent traversals in one plan. The rank is the order of discovery,
+    keys (such as a site) make independent traversals in one plan: ranks start anew for each, caps hold for
+    each, a busy one is dealt over many tasks and small ones share them. The rank is the order of discovery,
     parent the first discoverer. Without ``ordered`` there are no ranks (a sort per level less), the parent
-    is the least one of the level before. max_nodes cuts by rank over the whole table and needs the order;
-    keep_going is asked before each level, for stop and retune files.
+    is the least one of the level before. max_nodes cuts by rank and needs the order; limits (keys...,
+    max_depth, max_nodes; null: none) sets both for each key. edges may be a function of a level (keys..., src, _rank) that
+    gives its edges (keys..., src, dst, pos, _rank). keep_going is asked before each level, for stop and retune files.
     """
-    keys, tables = keys or [], Tables(edges.sparkSession)
-    ordered = ordered or max_nodes is not None
-    edges = edges if "pos" in edges.columns or not ordered else edges.withColumn("pos", F.xxhash64("dst"))
-    key = [*keys, "node"]
-    rank = F.row_number().over(Window.orderBy(*key)).cast("long") if ordered else F.lit(None).cast("long")
-    seen = tables.write(starts.select(*key).distinct().withColumns({"depth": F.lit(0), "parent": F.lit(START), "rank": rank}), "start")
-    level, depth, total = seen, 0, seen.count()
-    while (max_depth is None or depth < max_depth) and (max_nodes is None or total < max_nodes) and keep_going(depth):
-        out = edges.join(level.select(*keys, F.col("node").alias("src"), F.col("rank").alias("_rank")), [*keys, "src"])
-        first = F.min(F.struct("_rank", "pos", "src") if ordered else F.struct("src"))
-        new = out.groupBy(*keys, F.col("dst").alias("node")).agg(first.alias("_first"))
-        fresh = new.join(seen.select(*key), key, "left_anti")
-        own = [F.col("_first._rank").alias("_r"), F.col("_first.pos").alias("_p")] if ordered else []
-        fresh = fresh.select(*key, F.lit(depth + 1).alias("depth"), F.col("_first.src").cast("string").alias("parent"), *own)
-        if ordered:
-            fresh = ranked(tables.write(fresh, "fresh"), ["_r", "_p", *key]).withColumn("rank", (F.col("rank") + total).cast("long"))
-        if max_nodes is not None:
-            fresh = fresh.where(F.col("rank") <= max_nodes)
-        level = tables.write(fresh.select(*key, "depth", "parent", F.col("rank") if ordered else F.lit(None).cast("long").alias("rank")), "level")
+    keys, spark = keys or [], starts.sparkSession
+    key, tables, root = [*keys, "node"], Tables(spark), new_path(spark, "levels")
+    capped = max_nodes is not None or limits is not None
+    ordered = ordered or capped
+    if not callable(edges):
+        listed = edges if "pos" in edges.columns or not ordered else edges.withColumn("pos", F.xxhash64("dst"))
+        expand = lambda level: listed.join(level, [*keys, "src"])
+    else:
+        expand = edges
+    first = starts.select(*key).distinct().withColumn("parent", F.lit(START))
+    rows = ranked(first, ["node"], by=keys) if ordered else first.withColumn("rank", F.lit(None).cast("long"))
+    kinds, seen, depth, total = rows.select(*key, "parent", "rank").schema, Seen(spark, key), 0, 0
+    while True:
+        rows.select(*key, "parent", "rank").write.parquet(f"{root}/depth={depth}")
+        level = spark.read.schema(kinds).parquet(f"{root}/depth={depth}")
         n = level.count()
-        if n == 0:
+        total += n
+        stop = n == 0 or (max_depth is not None and depth >= max_depth) or (not keys and max_nodes is not None and total >= max_nodes)
+        if stop or not keep_going(depth):
             break
-        seen, depth, total = seen.unionByName(level), depth + 1, total + n
-    return seen
+        seen.add(level, n)
+        alive = tables.write(_alive(level, keys, depth, max_nodes, limits), "alive") if keys and ordered else None
+        going = level if alive is None else level.join(alive, keys, "left_semi")
+        out = expand(going.select(*keys, F.col("node").alias("src"), F.col("rank").alias("_rank")))
+        discoverer = F.min(F.struct("_rank", "pos", "src") if ordered else F.struct("src"))
+        new = out.groupBy(*keys, F.col("dst").alias("node")).agg(discoverer.alias("_first"))
+        own = [F.col("_first._rank").alias("_r"), F.col("_first.pos").alias("_p")] if ordered else []
+        fresh = seen.fresh(new).select(*key, F.col("_first.src").cast("string").alias("parent"), *own)
+        if not ordered:
+            rows = fresh.withColumn("rank", F.lit(None).cast("long"))
+        else:
+            placed = ranked(tables.write(fresh, "fresh"), ["_r", "_p", "node"], by=keys)
+            placed = placed.join(alive, keys) if keys else placed.withColumns({"_base": F.lit(total), "_most": F.lit(max_nodes).cast("long")})
+            rows = placed.withColumn("rank", F.col("rank") + F.col("_base")).where(F.col("_most").isNull() | (F.col("rank") <= F.col("_most")))
+        depth += 1
+    seen.close()
+    return spark.read.schema(StructType([*kinds, StructField("depth", IntegerType())])).parquet(root).select(*key, "depth", "parent", "rank")
+
+
+def _alive(level: DataFrame, keys: list[str], depth: int, max_nodes: int | None, limits: DataFrame | None) -> DataFrame:
+    """(keys..., _base, _most) of the keys whose next level is wanted: the ranks given so far, which the last level ends with, and the cap."""
+    at = level.groupBy(*keys).agg(F.max("rank").alias("_base"))
+    if limits is None:
+        at = at.withColumns({"_deep": F.lit(None).cast("int"), "_most": F.lit(max_nodes).cast("long")})
+    else:
+        own = limits.select(*keys, F.col("max_depth").cast("int").alias("_deep"), F.least(F.col("max_nodes").cast("long"), F.lit(max_nodes).cast("long")).alias("_most"))
+        at = at.join(own, keys, "left")
+    return at.where((F.col("_deep").isNull() | (F.col("_deep") > depth)) & (F.col("_most").isNull() | (F.col("_most") > F.col("_base")))).select(*keys, "_base", "_most")
 
 
 class Crawl:
@@ -75,21 +103,21 @@ def crawl(spark: SparkSession, responses: DataFrame, config: CrawlConfig) -> Cra
     A url without a response is an error 'not in corpus'; throttled answers (429, 503) are errors after
     the retries a corpus can't give. Links beyond the depth or the caps still count as referrers.
     """
-    return _crawl(spark, *_extracted(responses, config.scan_docs), config)
+    done = crawl_sites(spark, responses, [config])
+    return Crawl(**{name: table.drop("site") for name, table in vars(done).items()})
 
 
-def _extracted(responses: DataFrame, scan_docs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Responses by normalized key with their gates, all their links, and the links of documents."""
+def _extracted(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Responses by normalized key, all their links (in_doc: of a document), and the links of documents."""
     normal = responses.withColumn("key", urls.normalize(urls.canonical(F.col("url"))))
     served = classify.first_wins(normal, ["key"], ["url"])
-    gate = http.content_gate(F.col("content_type"), urls.pathname("url"), scan_docs)
     kind = F.coalesce(F.col("doc_type"), http.document_type(F.col("content_type"), urls.pathname("url")))
-    served = served.withColumns({"gate": gate, "kind": kind, "too_large": extract.body_verdict(F.col("html"), F.col("doc"))})
+    served = served.withColumns({"kind": kind, "too_large": extract.body_verdict(F.col("html"), F.col("doc"))})
     usable = _usable()
     # links go out as the page's normalized key; relative hrefs are resolved on it, as on the requested url
-    web = extract.links(served.where(usable & F.col("html").isNotNull()), "key", "html")
+    web = extract.links(served.where(usable & F.col("html").isNotNull()), "key", "html").withColumn("in_doc", F.lit(False))
     in_docs = extract.document_links(served.where(usable & F.col("html").isNull() & F.col("doc").isNotNull()), "key", "doc", "kind")
-    of_docs = in_docs.where(F.col("href").isNotNull()).select("page_url", "pos", F.col("href").alias("raw_href"), "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"))
+    of_docs = in_docs.where(F.col("href").isNotNull()).select("page_url", "pos", F.col("href").alias("raw_href"), "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"), F.lit(True).alias("in_doc"))
     return served, web.unionByName(of_docs), in_docs
 
 
@@ -97,34 +125,60 @@ def _usable() -> Column:
     return (F.coalesce("error", F.lit("")) == "") & (F.col("status") < 400) & F.col("too_large").isNull()
 
 
-def _crawl(spark: SparkSession, served: DataFrame, web: DataFrame, in_docs: DataFrame, config: CrawlConfig) -> Crawl:
-    start, usable = config.start_url, _usable()
-    start_host = F.lit(urls_host(start))
-    links = Tables(spark).write(classify.classify(web, start_host, config.prefix(), config.include_subdomains), "links")
-    edges = links.where(F.col("link_class") == "internal").select(F.col("page_url").alias("src"), F.col("target").alias("dst"), F.col("pos").cast("long").alias("pos"))
-    first = spark.createDataFrame([(start,)], "url string").select(urls.normalize(urls.canonical(F.col("url"))).alias("node"))
-    reached = bfs(edges, first, config.max_depth, config.url_cap())
-    order = reached.where(F.col("rank") <= config.max_pages) if config.max_pages is not None else reached
+_SITE = "site int, start string, start_host string, prefix string, subdomains boolean, scan_docs boolean, max_retries int, max_depth int, max_pages long, max_nodes long"
+
+
+def crawl_sites(spark: SparkSession, responses: DataFrame, configs: list[CrawlConfig]) -> Crawl:
+    """Independent crawls of several start urls over the same responses in one plan, with the depth, caps, scope and patience of each.
+
+    All tables have the site, its number among the configs. Links are extracted and written once; a level of all
+    sites is one join, and a link is classed for the sites that reach its page only.
+    """
+    served, web, in_docs = _extracted(responses)
+    tables = Tables(spark)
+    web = tables.write(web, "web")
+    listed = [(k, c.start_url, urls_host(c.start_url), c.prefix(), c.include_subdomains, c.scan_docs, c.max_retries, c.max_depth, c.max_pages, c.url_cap()) for k, c in enumerate(configs)]
+    sites = tables.write(spark.createDataFrame(listed, _SITE).coalesce(1), "sites")  # of known size, so that joins with few sites need no shuffle
+    scope = sites.select("site", "start_host", "prefix", "subdomains", "scan_docs")
+
+    def classed(links: DataFrame) -> DataFrame:
+        """Links (site, ...) with their class at their site."""
+        own = links.join(scope, "site").where(~F.col("in_doc") | F.col("scan_docs"))
+        return classify.classify(own, F.col("start_host"), F.col("prefix"), F.col("subdomains")).drop("start_host", "prefix", "subdomains", "scan_docs", "in_doc")
+
+    def expand(level: DataFrame) -> DataFrame:
+        inner = classed(web.join(level.withColumnRenamed("src", "page_url"), "page_url")).where(F.col("link_class") == "internal")
+        return inner.select("site", F.col("page_url").alias("src"), F.col("target").alias("dst"), F.col("pos").cast("long").alias("pos"), "_rank")
+
+    first = sites.select("site", urls.normalize(urls.canonical(F.col("start"))).alias("node"))
+    reached = bfs(expand, first, keys=["site"], limits=sites.select("site", "max_depth", "max_nodes"))
+    bounds = sites.select("site", "max_pages", "max_retries", "scan_docs")
+    order = reached.join(bounds, "site").where(F.col("max_pages").isNull() | (F.col("rank") <= F.col("max_pages"))).drop("max_pages")
     visited = order.join(served, order.node == served.key, "left")
-    state = F.when(F.col("key").isNull(), "broken").when(F.coalesce("error", F.lit("")) != "", http.disposition(F.lit(0), F.col("error"))).when(F.col("too_large").isNotNull(), "broken").when(F.col("status").isin(429, 503), "broken").otherwise(http.disposition(F.col("status"), F.lit(None)))
-    reason = F.when(F.col("key").isNull(), "not in corpus").when(F.coalesce("error", F.lit("")) != "", F.col("error")).when(F.col("too_large").isNotNull(), F.col("too_large")).when(F.col("status").isin(429, 503), F.format_string("rate limited (HTTP %d, gave up after %d retries)", "status", F.lit(config.max_retries))).otherwise(F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-    judged = visited.withColumns({"disposition": F.when((F.col("status") < 400) & usable & F.col("key").isNotNull(), "ok").otherwise(state), "reason": reason})
-    ok = judged.where(F.col("disposition") == "ok")
+    said = F.coalesce("error", F.lit(""))
+    throttled = F.col("status").isin(429, 503)
+    state = F.when(F.col("key").isNull(), "broken").when(said != "", http.disposition(F.lit(0), F.col("error"))).when(F.col("too_large").isNotNull(), "broken").when(throttled, "broken").otherwise(http.disposition(F.col("status"), F.lit(None)))
+    gave_up = F.format_string("rate limited (HTTP %d, gave up after %d retries)", "status", "max_retries")
+    reason = F.when(F.col("key").isNull(), "not in corpus").when(said != "", F.col("error")).when(F.col("too_large").isNotNull(), F.col("too_large")).when(throttled, gave_up).otherwise(F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    judged = visited.withColumns({"disposition": F.when((F.col("status") < 400) & _usable() & F.col("key").isNotNull(), "ok").otherwise(state), "reason": reason})
     doc_n = in_docs.groupBy("page_url").agg(F.first("doc_type").alias("_kind"), F.first("n").alias("_n"))
     skipped = F.concat(F.lit("(non-HTML: "), F.coalesce(F.nullif("content_type", F.lit("")), F.lit("?")), F.lit(")"))
-    titled = ok.join(doc_n, ok.key == doc_n.page_url, "left").select(
-        F.col("node").alias("url"), F.when(F.col("html").isNotNull(), extract.title(F.col("html"))).when(F.col("doc").isNotNull(), extract.document_title(F.col("_kind"), F.col("_n"))).otherwise(skipped).alias("title"), "status", "depth"
-    )
-    done = ok.select(F.col("node").alias("page_url"), F.col("rank").alias("page_rank"))
-    seen_links = links.join(done, "page_url")
+    title = F.when(F.col("html").isNotNull(), extract.title(F.col("html"))).when(F.col("doc").isNotNull() & F.col("scan_docs"), extract.document_title(F.col("_kind"), F.col("_n"))).otherwise(skipped)
+    named = judged.join(doc_n, judged.key == doc_n.page_url, "left").select("site", F.col("node").alias("url"), "depth", "parent", "rank", "status", "disposition", "reason", F.when(F.col("disposition") == "ok", title).alias("title"))
+    named = tables.write(named, "judged")  # without the bodies, which are read once for links and once here
+    ok = named.where(F.col("disposition") == "ok")
+    titled = ok.select("site", "url", "title", "status", "depth")
+    done = ok.select("site", F.col("url").alias("page_url"), F.col("rank").alias("page_rank"))
+    seen_links = tables.write(classed(web.join(done, "page_url")), "links")
+    by = ["site"]
     return Crawl(
-        pages=classify.page_counts(titled, seen_links),
+        pages=classify.page_counts(titled, seen_links, by),
         links=seen_links,
-        refs=classify.referrers(seen_links, ["page_rank", "pos"]),
-        external=classify.external_destinations(seen_links).withColumn("status", F.lit(None).cast("string")),
-        out_of_scope=classify.out_of_scope_destinations(seen_links),
-        flagged=judged.where(F.col("disposition") != "ok").select(F.col("node").alias("url"), "reason", F.col("parent").alias("source"), F.lit("internal").alias("kind"), "disposition"),
-        frontier=reached.join(order.select("node"), "node", "left_anti"),
+        refs=classify.referrers(seen_links, ["page_rank", "pos"], by),
+        external=classify.external_destinations(seen_links, by).withColumn("status", F.lit(None).cast("string")),
+        out_of_scope=classify.out_of_scope_destinations(seen_links, by),
+        flagged=named.where(F.col("disposition") != "ok").select("site", "url", "reason", F.col("parent").alias("source"), F.lit("internal").alias("kind"), "disposition"),
+        frontier=reached.join(order.select("site", "node"), ["site", "node"], "left_anti"),
     )
 
 
@@ -169,12 +223,3 @@ def crawl_live(spark: SparkSession, config: CrawlConfig, control: Control | None
             break
     return crawl(spark, got if got is not None else live.fetch_table(ask.where("false"), config), config)
 
-
-def crawl_sites(spark: SparkSession, responses: DataFrame, configs: list[CrawlConfig]) -> list[Crawl]:
-    """One independent crawl per start url, all over the same responses, whose links are extracted and written once."""
-    parts = {}
-    for scan in {c.scan_docs for c in configs}:
-        served, web, in_docs = _extracted(responses, scan)
-        tables = Tables(spark)
-        parts[scan] = served, tables.write(web, "all-links"), tables.write(in_docs, "document-links")
-    return [_crawl(spark, *parts[c.scan_docs], c) for c in configs]

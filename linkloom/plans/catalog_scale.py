@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.operators import allowlist, classify
+from linkloom.operators import allowlist, classify, graph
 from linkloom.operators.ranks import ranked
 from linkloom.plans import bindings as b
 from linkloom.plans.catalog import _URL, query
+from linkloom.plans.catalog_more import _ANCHORS, _responses
+from linkloom.plans.config import CrawlConfig
+from linkloom.sources.shared import Tables
 
 # ranks and pages
 
@@ -41,3 +44,27 @@ def allowlist_wild_heads(spark, d):
     patterns = parts.where("p_partkey % 4 = 1").select(F.format_string("https://*/p%d", "p_partkey").alias("pattern"))
     patterns = patterns.unionByName(spark.createDataFrame([("https://*/d4/*6",), ("https://*/nowhere/*",)], "pattern string"))
     return allowlist.split_by_table(parts.select(b.url(F.col("p_partkey")).alias("url")), patterns).select("url", "suppressed")
+
+
+# several sites
+
+
+_SITES = (CrawlConfig(start_url="https://s0.example/p1", max_pages=40, max_depth=2, max_urls=0), CrawlConfig(start_url="https://s1.example/p2", max_pages=9, max_depth=1, max_urls=0), CrawlConfig(start_url="https://s2.example/p5", max_pages=None, max_depth=1), CrawlConfig(start_url="https://s0.example/p5", max_pages=3, max_depth=2))
+_OF_SITES = (
+    f"{_ANCHORS}, ok AS (SELECT src, count(*) AS internal FROM e WHERE CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT) % 10 NOT IN (3, 4, 7) OR src = 'p7' GROUP BY 1), "
+    "st AS (SELECT unnest([0, 1, 2, 3]) AS site, unnest(['p1', 'p2', 'p5', 'p5']) AS start, unnest([2, 1, 1, 2]) AS deep, unnest([40, 9, 1000000, 3]) AS most, unnest(['s0', 's1', 's2', 's0']) AS host), "
+    "l0 AS (SELECT site, start AS node, 0 AS depth, CAST(1 AS BIGINT) AS rank, deep, most, host FROM st), "
+    "f1 AS (SELECT site, dst AS node, min((rank, pos)) AS o, deep, most, host FROM e JOIN l0 ON src = node WHERE src IN (SELECT src FROM ok) AND dst <> node GROUP BY ALL), "
+    "l1 AS (SELECT site, node, 1 AS depth, 1 + row_number() OVER (PARTITION BY site ORDER BY o, node) AS rank, deep, most, host FROM f1), s1 AS (FROM l0 UNION ALL FROM l1), n1 AS (SELECT site, count(*) AS n FROM s1 GROUP BY 1), "
+    "f2 AS (SELECT site, dst AS node, min((rank, pos)) AS o, deep, most, host FROM e JOIN l1 ON src = node WHERE deep > 1 AND src IN (SELECT src FROM ok) AND (site, dst) NOT IN (SELECT (site, node) FROM s1) GROUP BY ALL), "
+    "l2 AS (SELECT f2.site, node, 2 AS depth, n + row_number() OVER (PARTITION BY f2.site ORDER BY o, node) AS rank, deep, most, host FROM f2 JOIN n1 ON f2.site = n1.site), q AS (SELECT * FROM (FROM s1 UNION ALL FROM l2) WHERE rank <= most)"
+)
+
+
+@query(f"WITH {_OF_SITES} SELECT site, 'https://' || host || '.example/' || node AS url, CAST(depth AS INTEGER) AS depth, internal FROM q JOIN ok ON node = src")
+def crawl_sites_pages(spark, d):
+    """Pages of four sites, two of them on one host, each with its own depth and cap of pages; the caps are the feature."""
+    pages = Tables(spark).write(_responses(spark, d), "responses")
+    hosts = spark.createDataFrame([("s0",), ("s1",), ("s2",)], "host string")
+    responses = pages.join(hosts).withColumn("url", F.concat(F.lit("https://"), F.col("host"), F.lit(".example/"), F.substring_index("url", "/", -1))).drop("host")
+    return graph.crawl_sites(spark, responses, list(_SITES)).pages.select("site", "url", "depth", "internal")
