@@ -57,7 +57,8 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\
 _WORDS = re.compile(r"[^a-z0-9]+")
 
 #: Elements of HTML by what they do to text.
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "annotation", "annotation-xml", "textarea", "title", "select", "canvas", "audio", "video"}
+SELF_CLOSING = {"svg", "annotation", "annotation-xml"}
 BLOCK = set("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()) - {"br"}
 NESTED = set("html head body div section article main nav aside header footer form ul ol dl table tr td th blockquote figure dialog menu search fieldset details address h1 h2 h3 h4 h5 h6 button".split())
 DROPPED = {"head", "nav", "aside", "footer", "form", "menu", "search", "dialog", "button"}
@@ -140,7 +141,7 @@ def events(page: str) -> Iterator[Part]:
             elif name == "a":
                 yield 5, "/", path, dropped, inside, len(stack) - 1
         elif name in RAW:
-            if not attrs.endswith("/"):
+            if name not in SELF_CLOSING or not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else size
         elif name in NESTED:
@@ -362,9 +363,11 @@ def templates(pages: DataFrame) -> DataFrame:
     hosted = pages.select(host_column("url").alias("host"), "html").join(found, "host")
     sums = hosted.select("html", "host", "root", "members").mapInArrow(_evidence, "host string, class long, order_low long, order_high long, gap_low long, gap_high long, broken long, pages long")
     sums = tables.write(sums, "evidence")
-    articles = sums.where("broken = -1").groupBy("host", F.col("order_low").alias("token")).agg(F.count_distinct("order_high").alias("n"))
+    articles = tables.write(sums.where("broken = -1").groupBy("host", F.col("order_low").alias("token")).agg(F.count_distinct("order_high").alias("n")), "article-texts")
     totals = articles.where("token = 0").select("host", F.col("n").alias("all"))
-    copied = articles.where("token <> 0").join(totals, "host").where(F.col("n") < F.greatest(F.lit(PAGES), SUPPORT * F.col("all"))).groupBy("host").agg(F.collect_list("token").alias("copied"))
+    least = F.greatest(F.lit(PAGES), SUPPORT * F.col("all"))
+    of_articles = lambda fit, name: F.collect_list(F.when(fit, F.col("token"))).alias(name)
+    copied = articles.where("token <> 0").join(totals, "host").groupBy("host").agg(of_articles(F.col("n") < least, "copied"), of_articles(F.col("n") < F.greatest(F.lit(PAGES), MAJOR * F.col("all")), "uncommon"))
     judged = sums.where("broken >= 0").groupBy("host", "class").agg(F.min("order_low").alias("a"), F.max("order_high").alias("b"), F.min("gap_low").alias("c"), F.max("gap_high").alias("d"), F.sum("broken").alias("broken"))
     valid = judged.where("a = b and c = d and broken = 0").groupBy("host").agg(F.collect_set("class").alias("valid"))
     roles = sums.where("broken = -2").groupBy("host", F.col("class").alias("role")).agg(F.min("order_low").alias("above"), F.bit_or("order_high").alias("kind"), F.sum("gap_low").alias("text"), F.sum("gap_high").alias("link"), F.sum("pages").alias("pages"))
@@ -372,7 +375,8 @@ def templates(pages: DataFrame) -> DataFrame:
     slots = roles.groupBy("host").agg(F.collect_list(F.struct("role", "above", "kind", "text", "link", "pages")).alias("roles")).mapInArrow(_slots, "host string, slot long, marked boolean, beside array<long>")
     none = F.array().cast("array<bigint>")
     fixed = lambda m: F.array_contains(F.coalesce("valid", none), m["class"]) & ~F.array_contains(F.coalesce("copied", none), m["token"])
-    marks = F.transform("members", lambda m: F.struct(m["token"].alias("token"), fixed(m).alias("template"), m["steady"].alias("steady")))
+    common = lambda m: ~F.array_contains(F.coalesce("uncommon", none), m["token"])
+    marks = F.transform("members", lambda m: F.struct(m["token"].alias("token"), fixed(m).alias("template"), m["steady"].alias("steady"), (fixed(m) & common(m)).alias("common")))
     return tables.write(found.join(valid, "host", "left").join(copied, "host", "left").join(slots, "host", "left").select("host", marks.alias("marks"), "slot", "marked", "beside"), "templates")
 
 
@@ -383,34 +387,98 @@ def host_column(url: str) -> F.Column:
 
 @dataclass(frozen=True)
 class Template:
-    """What is known of a host: its template's tokens, its frequent opening tags, its main slot and roles beside its text."""
+    """What is known of a host: its template's tokens, those that most of its articles have, its frequent opening tags, its main slot and roles beside its text."""
 
     tokens: frozenset[int] = frozenset()
+    common: frozenset[int] = frozenset()
     steady: dict[int, bool] = field(default_factory=dict)
     slot: int | None = None
     marked: bool = False
     beside: frozenset[int] = frozenset()
 
 
+def _article_texts(parts: list[Part], held: list[bool], template: Template) -> list[bool]:
+    """Which texts of the article (held) go out: all but page parts.
+
+    A text of the template stands in an article like any other, as headings and phrases that a host repeats do. It is a page part
+    in a block, or an element, that has nothing but such texts and is mostly links; and before the first or after
+    the last block of the article's own, if most articles have it there, but for a heading of what follows.
+    """
+    elements: list[list] = []  # parent, characters, linked characters, whether any is the article's own
+    blocks: list[list] = []  # texts, element, characters, linked characters, own, whether all are common, heading
+    stack: list[tuple[int, str]] = []
+    run: list | None = None
+    linked = False
+    for i, (kind, text, path, dropped, _, depth) in enumerate(parts):
+        del stack[max(0, depth - (kind == 1)) :]
+        if kind in (1, 2, 3):
+            run = None
+        if kind == 1:
+            elements.append([stack[-1][0] if stack else -1, 0, 0, False])
+            stack.append((len(elements) - 1, text))
+        elif kind == 5:
+            linked = text == ""
+        elif kind == 0 and held[i] and not dropped and not text.isspace():
+            token, n = token_of(0, text, path), len(text.strip())
+            own = token not in template.tokens
+            if run is None:
+                run = [[], stack[-1][0] if stack else -1, 0, 0, False, True, any(_heading(name) for _, name in stack[-1:])]
+                blocks.append(run)
+            run[0].append(i)
+            run[2] += n
+            run[3] += n * linked
+            run[4] |= own
+            run[5] &= token in template.common
+    for _, at, n, link, own, *_ in blocks:
+        if at >= 0:
+            e = elements[at]
+            e[1], e[2], e[3] = e[1] + n, e[2] + link, e[3] or own
+    for parent, n, link, own in reversed(elements):
+        if parent >= 0:
+            e = elements[parent]
+            e[1], e[2], e[3] = e[1] + n, e[2] + link, e[3] or own
+    gone: list[bool] = []
+    for parent, n, link, own in elements:
+        gone.append(parent >= 0 and gone[parent] or bool(n) and not own and 2 * link > n)
+    owns = [k for k, x in enumerate(blocks) if x[4]]
+    out = [False] * len(parts)
+    for k, (texts, at, n, link, own, common, heading) in enumerate(blocks):
+        links = not own and 2 * link > n or at >= 0 and gone[at]
+        outside = owns and not own and common and not owns[0] < k < owns[-1] and not (heading and k + 1 < len(blocks) and blocks[k + 1][4])
+        for i in texts:
+            out[i] = not (links or outside)
+    return out
+
+
 def main_text(page: str, template: Template = Template()) -> str:
     """The main text of a page, given its host's template."""
     parts = list(events(page))
-    good = [k == 0 and not dropped and not (template.tokens and token_of(0, text, path) in template.tokens) for k, text, path, dropped, *_ in parts]
     if template.slot is not None:
         slot, beside = template.slot, template.beside
         # where the slot is the marked article, so is what other articles of a page hold
         held = lambda part, stack: template.marked and part[4] or (not slot or any(r == slot for r, _ in stack)) and not any(r in beside for r, _ in stack)
-        of_slot = [own and held(part, stack) for own, part, stack in zip(good, parts, _roles(parts, template.steady), strict=True)]
-        if any(own and not part[1].isspace() for own, part in zip(of_slot, parts, strict=True)):
-            return _joined(parts, of_slot)
+        inside = [part[0] == 0 and held(part, stack) for part, stack in zip(parts, _roles(parts, template.steady), strict=True)]
+        if slot:
+            good = _article_texts(parts, inside, template)
+        else:  # the slot is the whole page, where the template is what is around the article
+            good = [own and not part[3] and token_of(0, part[1], part[2]) not in template.tokens for own, part in zip(inside, parts, strict=True)]
+        if any(own and token_of(0, part[1], part[2]) not in template.tokens for own, part in zip(good, parts, strict=True) if own and not part[1].isspace()):
+            return _joined(parts, _spaces(parts, inside, good))
+    good = [k == 0 and not dropped and not (template.tokens and token_of(0, text, path) in template.tokens) for k, text, path, dropped, *_ in parts]
     sizes = [0, 0]
-    for own, (_, text, _, _, inside, _) in zip(good, parts, strict=True):
-        sizes[inside] += own and len(text.strip())
-    if sizes[1] >= sizes[0] and any(inside and k == 1 for k, _, _, _, inside, _ in parts):
-        good = [own and inside for own, (_, _, _, _, inside, _) in zip(good, parts, strict=True)]
+    for own, (_, text, _, _, inside_it, _) in zip(good, parts, strict=True):
+        sizes[inside_it] += own and len(text.strip())
+    if sizes[1] >= sizes[0] and any(inside_it and k == 1 for k, _, _, _, inside_it, _ in parts):
+        inside = [part[0] == 0 and part[4] for part in parts]
+        good = _spaces(parts, inside, _article_texts(parts, inside, template))
     return _joined(parts, good)
 
 
+def _spaces(parts: list[Part], held: list[bool], good: list[bool]) -> list[bool]:
+    """good, with the white space between texts."""
+    return [own or inside and not part[3] and part[1].isspace() for own, inside, part in zip(good, held, parts, strict=True)]
+
+
 def _joined(parts: list[Part], good: list[bool]) -> str:
     """The texts that are good, as blocks."""
     blocks, run = [], []
@@ -442,7 +510,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(known) >= 1000:
                     known.clear()
                 rows = marks.as_py() or ()
-                known[name] = Template(frozenset(m["token"] for m in rows if m["template"]), {m["token"]: m["steady"] for m in rows}, slot.as_py(), bool(marked.as_py()), frozenset(beside.as_py() or ()))
+                known[name] = Template(frozenset(m["token"] for m in rows if m["template"]), frozenset(m["token"] for m in rows if m["common"]), {m["token"]: m["steady"] for m in rows}, slot.as_py(), bool(marked.as_py()), frozenset(beside.as_py() or ()))
             out.append(main_text(page.as_py() or "", known[name]))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 

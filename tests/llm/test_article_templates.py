@@ -29,6 +29,26 @@ def test_a_second_article_on_few_pages_stays(spark):
     assert got[7] == "story 7 of 49\n\nsecond 7" and got[8] == "story 8 of 64"
 
 
+def test_headings_and_phrases_that_articles_repeat_stay(spark):
+    recipe = lambda k: f"<nav>menu</nav><article><h2>Ingredients</h2><p>{k} eggs of {k * k}</p><h2>Method</h2><p>Stir <b>well</b> for {k} minutes</p>" + "<p>Serve warm, with bread.</p>" * (k % 2) + f"<p>Enjoy {k}</p></article><footer>foot</footer>"
+    got = _texts(spark, [recipe(k) for k in range(12)])
+    for k in range(12):
+        assert got[k] == "\n\n".join(["Ingredients", f"{k} eggs of {k * k}", "Method", f"Stir well for {k} minutes", *["Serve warm, with bread."] * (k % 2), f"Enjoy {k}"])
+    half = _texts(spark, [f"<article><p>story {k} of {k * k}</p>" + "<p>A last word that six share.</p>" * (k % 2) + "</article>" for k in range(12)])
+    assert all(half[k].endswith("six share.") == bool(k % 2) for k in range(12))
+
+
+def test_page_parts_inside_articles_go(spark):
+    body = lambda k: f"<article><h1>Title {k}</h1><p>story {k} of {k * k}</p><div><a href=/x>Share on X</a> <a href=/y>Mail it</a></div><p>more of {k}</p><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul><p>end of {k}</p><p>Filed by the desk</p></article>"
+    got = _texts(spark, [body(k) for k in range(8)])
+    assert got[3] == "Title 3\n\nstory 3 of 9\n\nmore of 3\n\nend of 3"
+
+
+def test_scripts_close_by_their_end_tags_only():
+    assert html_text.main_text("<article><p>a<script src=https://x.example/>var q=1;</script>b</p><style/>p{}</style><p>c<svg/>d</p></article>") == "ab\n\ncd"
+    assert html_text.main_text("<article>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</article>") == "let x=2 be"
+
+
 def test_marks_inside_articles_must_be_clear(spark):
     body = "<article><section id='discussion-of-results'><p>kept</p></section><h2 id='related'>Related work</h2><div class='status notice'>also kept</div><div class='promotion-history'>too</div><div class='share'>gone</div><section class='comments'>gone</section></article>"
     assert html_text.main_text(body) == "kept\n\nRelated work\n\nalso kept\n\ntoo"
