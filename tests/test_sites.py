@@ -53,12 +53,12 @@ def test_seen_store_gives_the_same_walk(spark, monkeypatch, least):
 
 def test_the_store_is_not_shuffled(spark):
     store = Seen(spark, ["site", "node"], least=100)
-    level = spark.range(400).select(F.lit("s").alias("site"), F.col("id").cast("string").alias("node"))
+    level = spark.range(400).select(F.concat(F.lit("s"), F.col("id") % 3).alias("site"), F.col("id").cast("string").alias("node"))
     store.add(level, 400)
-    store.add(spark.range(400, 500).select(F.lit("s").alias("site"), F.col("id").cast("string").alias("node")), 100)
+    store.add(spark.range(400, 500).select(F.concat(F.lit("s"), F.col("id") % 3).alias("site"), F.col("id").cast("string").alias("node")), 100)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        left = store.fresh(spark.range(450, 550).select(F.lit("s").alias("site"), F.col("id").cast("string").alias("node")))
+        left = store.fresh(spark.range(450, 550).select(F.concat(F.lit("s"), F.col("id") % 3).alias("site"), F.col("id").cast("string").alias("node")))
         plan = left._jdf.queryExecution().executedPlan().toString()
         assert left.count() == 50 and store.stored == 500 and not store.waiting
         assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
