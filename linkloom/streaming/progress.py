@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from linkloom.sources.shared import Tables
+from linkloom.sources.tail import TailSource
 
 #: Fixed patterns of the line grammar.
 RESULT = r"^\S+\s+(OK|ERR|SKIP|BLOCKED)\s+(.*)$"
@@ -24,6 +25,13 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder)
 
 
+def tail(spark: SparkSession, folder: str, glob: str = "*", max_lines: int = 0, positions: str | None = None) -> DataFrame:
+    """A stream (file, start, value) of the lines of files that grow, so that a run is watched while it writes."""
+    spark.dataSource.register(TailSource)
+    given = {"glob": glob, "max_lines": str(max_lines)} | ({"positions": positions} if positions else {})
+    return spark.readStream.format(TailSource.name()).options(**given).load(folder)
+
+
 def parse(rows: DataFrame, column: str = "value") -> DataFrame:
     """rows with tag and numbers of each line: OK, ERR, SKIP, BLOCKED, stats, recheck, extcheck, backoff, site, done; null for other lines."""
     v = F.regexp_replace(column, "\r$", "")
