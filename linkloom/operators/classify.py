@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import urls
 from linkloom.operators.ranks import ranked
+from linkloom.sources.shared import Tables
 
 
 def link_class(host: Column, path: Column, start_host: Column, prefix: str | Column = "", include_subdomains: bool | Column = False) -> Column:
@@ -45,12 +46,22 @@ def capped_referrers(edges: DataFrame, most: int = 0) -> DataFrame:
 def referrer_lists(edges: DataFrame) -> DataFrame:
     """(target, found_on): all referrers in order of first sight, as report files hold them.
 
-    A list is as long as its target has referrers. For display take ``previews``, for work the edges.
+    A list is as long as its target has referrers: for display take ``previews``, for files of any size
+    ``referrer_chunks``, for work the edges.
     """
     sorted_ = F.sort_array(F.collect_list(F.struct("first_seen", "referrer")))
     return edges.groupBy("target").agg(F.transform(sorted_, lambda x: x["referrer"]).alias("found_on"))
 
 
+def referrer_chunks(edges: DataFrame, size: int = 1000) -> DataFrame:
+    """(target, chunk, chunks, found_on): the referrers in order of first sight, so many to a chunk. A famous target's are dealt over many tasks, and no aggregate holds more than a chunk."""
+    chunk = F.floor((F.col("_rank") - 1) / size).cast("long").alias("chunk")
+    placed = Tables(edges.sparkSession).write(ranked(edges, ["first_seen", "referrer"], "_rank", ["target"]).select("target", "referrer", "_rank", chunk), "placed-referrers")
+    ordered = F.sort_array(F.collect_list(F.struct("_rank", "referrer")))
+    lists = placed.groupBy("target", "chunk").agg(F.transform(ordered, lambda x: x["referrer"]).alias("found_on"))
+    return lists.join(placed.groupBy("target").agg((F.max("chunk") + 1).alias("chunks")), "target").select("target", "chunk", "chunks", "found_on")
+
+
 def referrer_counts(edges: DataFrame) -> DataFrame:
     """(target, n): how many referrers a target has, by partial counts; for everything that needs no lists."""
     return edges.groupBy("target").agg(F.count_distinct("referrer").alias("n"))
@@ -101,6 +112,15 @@ def grouped(rows: DataFrame, key: Column, item: str = "url") -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("items"))
 
 
+def group_chunks(rows: DataFrame, key: Column, item: str = "url", size: int = 1000) -> DataFrame:
+    """(key, n, chunk, items): as ``grouped``, with the items in order in chunks, so that no aggregate holds a whole host."""
+    keyed = rows.select(key.alias("key"), F.col(item).alias("item"))
+    placed = Tables(rows.sparkSession).write(ranked(keyed, ["item"], "_rank", ["key"]).withColumn("chunk", F.floor((F.col("_rank") - 1) / size).cast("long")), "placed-items")
+    n = placed.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    lists = placed.groupBy("key", "chunk").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return lists.join(n, F.col("key").eqNullSafe(F.col("_key"))).select("key", "n", "chunk", "items")
+
+
 def by_size(groups: DataFrame) -> DataFrame:
     """Larger groups first, then by key in locale order."""
     return groups.orderBy(F.desc("n"), F.collate("key", "UNICODE"))

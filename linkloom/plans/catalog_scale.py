@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linkloom.operators import allowlist, classify, graph
 from linkloom.operators.ranks import ranked
 from linkloom.plans import bindings as b
-from linkloom.plans.catalog import _URL, query
+from linkloom.plans.catalog import _LK, _REFS, _URL, query
 from linkloom.plans.catalog_more import _ANCHORS, _responses
 from linkloom.plans.config import CrawlConfig
 from linkloom.sources.shared import Tables
@@ -46,6 +46,27 @@ def allowlist_wild_heads(spark, d):
     return allowlist.split_by_table(parts.select(b.url(F.col("p_partkey")).alias("url")), patterns).select("url", "suppressed")
 
 
+# long lists in chunks
+
+
+@query(
+    f"WITH {_LK}, {_REFS}, r AS (SELECT CASE WHEN target LIKE '%/d4/%' THEN 'https://site.example/hot' ELSE target END AS target, referrer, min(seen) AS seen FROM refs GROUP BY 1, 2), "
+    "p AS (SELECT *, (row_number() OVER (PARTITION BY target ORDER BY seen, referrer) - 1) // 50 AS chunk FROM r) SELECT target, CAST(chunk AS BIGINT) AS chunk, max(max(chunk)) OVER (PARTITION BY target) + 1 AS chunks, string_agg(referrer, ' ' ORDER BY seen, referrer) AS found_on FROM p GROUP BY target, chunk"
+)
+def referrer_chunks(spark, d):
+    """The referrers of each target in chunks of 50, one target having many."""
+    edges = b.refs(spark, d).withColumn("target", F.when(F.col("target").like("%/d4/%"), "https://site.example/hot").otherwise(F.col("target")))
+    edges = edges.groupBy("target", "referrer").agg(F.min("first_seen").alias("first_seen"))
+    return classify.referrer_chunks(edges, 50).withColumn("found_on", F.array_join("found_on", " "))
+
+
+@query(f"WITH g AS (SELECT regexp_extract(url, 'https?://[^/]+/(d?)', 0) AS key, url FROM (SELECT {_URL.format(k='p_partkey')} AS url FROM part)), p AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, (row_number() OVER (PARTITION BY key ORDER BY url) - 1) // 40 AS chunk FROM g) SELECT key, n, CAST(chunk AS BIGINT) AS chunk, string_agg(url, ' ' ORDER BY url) AS items FROM p GROUP BY ALL")
+def group_chunks(spark, d):
+    """Urls by host in chunks of 40; one host has two thirds of them."""
+    urls = b.table(spark, d, "part").select(b.url(F.col("p_partkey")).alias("url"))
+    return classify.group_chunks(urls, F.regexp_extract("url", "https?://[^/]+/(d?)", 0), size=40).withColumn("items", F.array_join("items", " "))
+
+
 # several sites
 
 

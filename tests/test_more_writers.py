@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import urls
 from linkloom.operators import triage
-from linkloom.sources import shared, writers
+from linkloom.plans.config import CrawlConfig
+from linkloom.sources import report_parts, shared, writers
 from linkloom.streaming import journal, progress
 from tests.conftest import rows
 
@@ -80,3 +81,26 @@ def test_scratch_tables_are_deleted_and_clusters_must_name_a_folder(spark, monke
 
     with pytest.raises(ValueError, match="share"):
         shared.shared_dir(Cluster)
+
+
+def test_report_parts_read_one_after_another_are_the_report(spark, tmp_path):
+    some = lambda k: f'https://s.example/"p{k}"'
+    tables = {
+        "pages": spark.createDataFrame([(some(k), None if k % 5 == 0 else f"T\n{k}", 200, k % 3, k, 1) for k in range(40)], "url string, title string, status int, depth int, internal long, external long"),
+        "external": spark.createDataFrame([(f"https://o{k}.example/", f"o{k}.example", None) for k in range(9)], "url string, host string, status string"),
+        "out_of_scope": spark.createDataFrame([], "url string"),
+        "flagged": spark.createDataFrame([(some(k), "gone", "" if k % 4 else some(99), None if k % 2 else "external", "blocked" if k % 5 == 0 else "broken", k % 3 == 0) for k in range(20)], "url string, reason string, source string, kind string, disposition string, suppressed boolean"),
+        "refs": spark.createDataFrame([(f"https://o{k % 7}.example/", some(k), k) for k in range(30)] + [(some(3), f"r{k}", k) for k in range(25)], "target string, referrer string, first_seen int"),
+    }
+    config = CrawlConfig(start_url="https://s.example/", max_pages=None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        names = report_parts.write_report(tables, config, "2024-01-01T00:00:00Z", str(tmp_path / "parts"), size=4).orderBy("part").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [(tmp_path / "parts" / r["name"]).read_text() for r in names]
+    want = writers.report_json(tables, config, "2024-01-01T00:00:00Z").first().value
+    assert json.loads("".join(parts)) == json.loads(want) and len(parts) > 1
+    assert list(json.loads("".join(parts))) == list(json.loads(want)) and sum(r["bytes"] for r in names) == sum(len(p.encode()) for p in parts)
+    plan = report_parts.report_pieces(tables, config, "now", size=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Cartesian" not in plan  # chunks of bounded length are written before
