@@ -1,6 +1,6 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Components become integers floor(256 * x). A shard of at most ``SHARD`` rows has one posting list per
+Components become integers floor(256 * x). A shard of at most ``SHARD`` rows and ``CELLS`` components has one posting list per
 component, of impacts: the values in at most ``LEVELS`` steps of equal width, so that a list's largest
 impact bounds all of its postings. A query takes the lists in descending order of its weight times
 that largest impact, a segment of ``SEGMENT`` lists at a time, and adds weight times impact to the
@@ -14,7 +14,7 @@ left, or no segment, does processing stop, and these possible members are scored
 sums and squared norms are whole numbers below 2**53 in double precision, so only square roots are
 rounded, for which the bound leaves room. So results are exact.
 
-Queries are written in blocks of at most ``BLOCK`` rows to files in the shared folder. Each task
+Queries are written in blocks of as many components and ``BLOCK`` rows at most to files in the shared folder. Each task
 builds its shards' indexes and streams the blocks; nothing is broadcast and no cross join is made. A
 task returns at most k rows per query and shard, and a window limited before the shuffle keeps the k
 best. Bounds come from the shard's own rows, so queries need not be rows of the vectors.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +41,7 @@ from pyspark.sql.window import Window
 from linkloom.llm import files
 from linkloom.llm.store import Tables, new_path
 
-SHARD, BLOCK, LEVELS, SEGMENT = 1 << 16, 1 << 11, 256, 8
+SHARD, BLOCK, CELLS, LEVELS, SEGMENT = 1 << 16, 1 << 11, 1 << 23, 256, 8
 _SAFE, _FEW, _LOWEST = 1 << 22, 64, -(1 << 63)
 
 
@@ -128,20 +129,28 @@ class Shard:
 
 
 def _take(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrices of at most ``size`` rows."""
-    held, n = [], 0
+    """Ids and matrices of at most ``size`` rows and ``CELLS`` components; one row may have more."""
+    held, n, width = [], 0, 1
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = integers(batch.slice(at, size))
-            if n + len(part[0]) > size:
+        at = 0
+        while at < batch.num_rows:
+            here = batch.slice(at, max(1, min(size, CELLS // max(1, _widest(batch.slice(at, size))))))
+            part, at = integers(here), at + here.num_rows
+            wider = max(width, part[1].shape[1])
+            if held and (n + len(part[0]) > size or (n + len(part[0])) * wider > CELLS):
                 yield _joined(held)
-                held, n = [], 0
+                held, n, wider = [], 0, max(1, part[1].shape[1])
             held.append(part)
-            n += len(part[0])
+            n, width = n + len(part[0]), wider
     if held:
         yield _joined(held)
 
 
+def _widest(batch: pa.RecordBatch) -> int:
+    """The components of a batch's longest vector."""
+    return pc.max(pc.list_value_length(batch.column(1))).as_py() or 0
+
+
 def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     width = max(m.shape[1] for _, m in parts)
     return np.concatenate([i for i, _ in parts]), np.concatenate([_wider(m, width) for _, m in parts])

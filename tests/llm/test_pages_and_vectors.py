@@ -3,6 +3,7 @@ import io
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -212,3 +213,15 @@ def test_top_k_of_outside_queries_and_clashing_columns(spark):
         got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
     a, b = (np.floor(256 * m).astype(np.int64) for m in (x, y))
     assert got == {10_000 + i: sorted((-int(s), k) for k, s in enumerate(a @ q))[:5] for i, q in enumerate(b)}
+
+
+def test_shards_are_bounded_by_components(monkeypatch):
+    monkeypatch.setattr(top_k, "CELLS", 64)
+    dice = np.random.default_rng(3)
+    rows = [(k, dice.normal(size=dice.integers(0, 20)).tolist()) for k in range(200)] + [(900, [0.5] * 100), (901, [])]
+    batches = [pa.record_batch([pa.array([i for i, _ in part], pa.int64()), pa.array([v for _, v in part], pa.list_(pa.float64()))], ["id", "v"]) for part in (rows[:77], rows[77:])]
+    taken = list(top_k._take(iter(batches), 10))
+    assert [i for ids, _ in taken for i in ids.tolist()] == [i for i, _ in rows]
+    assert all(len(ids) <= 10 and (m.size <= 64 or len(ids) == 1) for ids, m in taken)
+    vectors = dict(rows)
+    assert all(m[k, : len(vectors[i])].tolist() == np.floor(256 * np.array(vectors[i])).tolist() for ids, m in taken for k, i in enumerate(ids.tolist()))
