@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkloom.functions import schemas
 from linkloom.operators import allowlist, classify, graph
 from linkloom.operators.ranks import ranked
 from linkloom.plans import bindings as b
 from linkloom.plans.catalog import _LK, _REFS, _URL, query
 from linkloom.plans.catalog_more import _ANCHORS, _responses
 from linkloom.plans.config import CrawlConfig
-from linkloom.sources.shared import Tables
+from linkloom.sources import readers, writers
+from linkloom.sources.shared import Tables, new_path
 
 # ranks and pages
 
@@ -89,3 +91,53 @@ def crawl_sites_pages(spark, d):
     hosts = spark.createDataFrame([("s0",), ("s1",), ("s2",)], "host string")
     responses = pages.join(hosts).withColumn("url", F.concat(F.lit("https://"), F.col("host"), F.lit(".example/"), F.substring_index("url", "/", -1))).drop("host")
     return graph.crawl_sites(spark, responses, list(_SITES)).pages.select("site", "url", "depth", "internal")
+
+
+# files read back
+
+
+@query(
+    "WITH s AS (SELECT user_id % 4 AS pos, CASE WHEN event_id % 9 = 0 THEN 'other:' ELSE 'cwfix:h0:' END || (event_id % 300) AS key, max(event_id) AS value FROM events GROUP BY 1, 2) "
+    "SELECT CAST(pos AS INTEGER) AS pos, 'crawl-state-' || pos || '.json' AS file, 'linkloom-fixes' AS app, 'h' || (pos % 2) AS host, count(*) AS keys, CAST(sum(value) AS BIGINT) AS total FROM s GROUP BY pos"
+)
+def state_files(spark, d):
+    """Four state files of all events, written and read back in the order of their paths."""
+    key = F.format_string("%s%d", F.when(F.col("event_id") % 9 == 0, "other:").otherwise("cwfix:h0:"), F.col("event_id") % 300)
+    last = b.table(spark, d, "events").groupBy((F.col("user_id") % 4).alias("pos"), key.alias("key")).agg(F.max("event_id").cast("string").alias("value"))
+    last, folder = Tables(spark).write(last, "states"), new_path(spark, "state-files")
+    paths = [f"{folder}/crawl-state-{k}.json" for k in range(4)]
+    for k, path in enumerate(paths):
+        writers.write_file(writers.state_json(last.where(F.col("pos") == k), f"h{k % 2}", "linkloom-fixes"), path)
+    total = F.aggregate(F.map_values("v"), F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long"))
+    return readers.states(spark, paths).select("pos", "file", "app", "host", F.size("v").cast("long").alias("keys"), total.alias("total"))
+
+
+@query("SELECT CAST(event_id % 4 AS INTEGER) + 1 AS part, CAST(row_number() OVER (ORDER BY event_id % 4, event_id) AS BIGINT) AS place, 'event ' || event_id || ' ' || event_type AS value FROM events")
+def log_parts_read(spark, d):
+    """A log's parts with their heads, written and merged again in the order of their numbers."""
+    rows = Tables(spark).write(b.table(spark, d, "events").select("event_id", (F.col("event_id") % 4 + 1).alias("part"), F.format_string("event %d %s", "event_id", "event_type").alias("value")), "log-lines")
+    folder = new_path(spark, "log")
+    for k in range(1, 5):
+        head = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(k).cast("long").alias("part"), F.lit('#META {"part":%d}' % k).alias("value"))  # noqa: UP031
+        writers.write_file(rows.where(F.col("part") == k).unionByName(head), f"{folder}/crawl-progress.part{k:03d}.log", ["event_id"])
+    return ranked(readers.log_parts(spark, folder), ["part", "line"], "place").select("part", "place", "value")
+
+
+@query(
+    f"WITH f AS (SELECT p_partkey % 5 AS site, {_URL.format(k='p_partkey')} AS url FROM part WHERE p_partkey % 5 < 3), n AS (SELECT unnest([0, 1, 2, 3, 4]) AS site) "
+    "SELECT 'site-' || n.site || '.json' AS \"jsonFile\", n.site >= 3 AS missing, CAST(count(url) AS BIGINT) AS errors, string_agg(url, ' ' ORDER BY url) AS urls FROM n LEFT JOIN f ON n.site = f.site GROUP BY n.site"
+)
+def site_reports(spark, d):
+    """The reports that a combined report names, of which two are missing."""
+    folder, none = new_path(spark, "sites"), F.array().cast("array<struct<url:string,reason:string,kind:string,foundOn:array<string>>>")
+    site = F.col("id").cast("int")
+    name = F.format_string("site-%d.json", "id")
+    index = spark.range(5).select(site.alias("index"), F.format_string("https://s%d.example/", "id").alias("url"), F.format_string("s%d.example", "id").alias("host"), F.lit("done").alias("status"), F.lit("").alias("reportFile"), name.alias("jsonFile"), F.lit(None).cast(schemas.SUMMARY).alias("summary"), none.alias("errors"), none.alias("blocked"))
+    writers.write_file(writers.combined_json(index, "2024-01-01T00:00:00Z"), f"{folder}/index.json")
+    parts = b.table(spark, d, "part").select((F.col("p_partkey") % 5).alias("site"), b.url(F.col("p_partkey")).alias("url"))
+    for k in range(3):
+        errors = F.sort_array(F.collect_list(F.struct("url", F.lit("HTTP 404").alias("reason"), F.lit("internal").alias("kind"), F.array().cast("array<string>").alias("foundOn")))).alias("errors")
+        writers.write_file(parts.where(F.col("site") == k).agg(errors).select(F.to_json(F.struct(F.lit("2024-01-01T00:00:00Z").alias("crawledAt"), "errors")).alias("value")), f"{folder}/site-{k}.json")
+    found, missing = readers.site_reports(spark, f"{folder}/index.json")
+    there = found.select("jsonFile", F.lit(False).alias("missing"), F.size("errors").cast("long").alias("errors"), F.array_join("errors.url", " ").alias("urls"))
+    return there.unionByName(missing.select("jsonFile", F.lit(True).alias("missing"), F.lit(0).cast("long").alias("errors"), F.lit(None).cast("string").alias("urls")))
