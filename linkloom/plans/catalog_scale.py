@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.functions import schemas
+from linkloom.functions import http, schemas, text
 from linkloom.operators import allowlist, classify, graph
 from linkloom.operators.ranks import ranked
 from linkloom.plans import bindings as b
@@ -141,3 +141,33 @@ def site_reports(spark, d):
     found, missing = readers.site_reports(spark, f"{folder}/index.json")
     there = found.select("jsonFile", F.lit(False).alias("missing"), F.size("errors").cast("long").alias("errors"), F.array_join("errors.url", " ").alias("urls"))
     return there.unionByName(missing.select("jsonFile", F.lit(True).alias("missing"), F.lit(0).cast("long").alias("errors"), F.lit(None).cast("string").alias("urls")))
+
+
+# texts of the tables
+
+
+@query("SELECT p_partkey, '<' || p_name || ' & ' || chr(CAST(160 + p_partkey % 8000 AS INTEGER)) || chr(CAST(160 + p_partkey % 999 AS INTEGER)) || '>' AS text FROM part")
+def references_decoded(spark, d):
+    """Named, decimal and hexadecimal references around each part's name."""
+    n = F.col("p_partkey")
+    raw = F.concat(F.lit("&lt;"), F.col("p_name"), F.lit(" &amp; &#"), (160 + n % 8000).cast("string"), F.lit(";&#x"), F.hex(160 + n % 999), F.lit(";&gt;"))
+    return b.table(spark, d, "part").select("p_partkey", text.decode_entities(raw).alias("text"))
+
+
+@query(f"WITH u AS (SELECT p_brand, min({_URL.format(k='p_partkey')}) AS first FROM part GROUP BY 1) SELECT regexp_extract(first, '^https?://([^/]+)', 1) AS host, count(*) AS reports FROM u GROUP BY 1")
+def report_hosts(spark, d):
+    """The start hosts of a saved report per brand, whose pages are the brand's parts in order."""
+    page = F.struct(b.url(F.col("p_partkey")).alias("url"))
+    saved = b.table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(page)).alias("internalPages")).withColumn("errors", F.col("internalPages"))
+    return readers.start_host(saved).groupBy("host").agg(F.count(F.lit(1)).alias("reports"))
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '%PDF-1.' || p_size WHEN 1 THEN 'PK' || chr(3) || chr(4) || p_name WHEN 2 THEN '<html>' || p_name WHEN 3 THEN p_name WHEN 4 THEN '%PDX' || p_name ELSE '' END AS head, "
+    "CASE p_partkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'ooxml' END AS kind FROM part"
+)
+def magic_of_parts(spark, d):
+    """The types that the first bytes of each part's text tell."""
+    n = F.col("p_partkey") % 6
+    head = F.when(n == 0, F.concat(F.lit("%PDF-1."), F.col("p_size").cast("string"))).when(n == 1, F.concat(F.lit("PK\x03\x04"), "p_name")).when(n == 2, F.concat(F.lit("<html>"), "p_name")).when(n == 3, F.col("p_name")).when(n == 4, F.concat(F.lit("%PDX"), "p_name")).otherwise("")
+    return b.table(spark, d, "part").select("p_partkey", head.alias("head"), http.sniff(head.cast("binary")).alias("kind"))
