@@ -2,6 +2,8 @@
 
 ``spark.read.format("linkloom_fetch")`` has the options: urls (separated by blanks), method, user_agent, browser, timeout (ms), redirects, partitions.
 Rows are (url, status, content_type, retry_after, body, error); a failed request has status 0 and an error.
+As a stream it has the option frontier instead of urls, a folder of levels (``write_level``): each level is fetched once, file by file, so
+that a lost executor repeats the urls of its files only, and a restarted stream goes on with the next level.
 """
 
 from __future__ import annotations
@@ -11,18 +13,20 @@ import random
 import re
 import socket
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from email.utils import parsedate_to_datetime
 from urllib.parse import urlsplit
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from linkloom.functions import whatwg
 from linkloom.functions.http import BACKOFF_MS, HEAD_DOUBTFUL, MAX_DOC, NUMBER, content_gate, document_type, request_gap_ms, request_headers, sniff
 from linkloom.plans.config import CrawlConfig
+from linkloom.sources.tail import at_store
 
 MOVED, REDIRECTS = (301, 302, 303, 307, 308), 5
 SCHEMA = "url string, status int, content_type string, retry_after string, body binary, error string"
@@ -65,10 +69,46 @@ class _Reader(DataSourceReader):
         return [InputPartition(urls[k::n]) for k in range(min(n, max(1, len(urls))))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        browser = self.options.get("browser", "false") == "true"
-        headers = request_headers(self.options.get("user_agent", "linkloom/1.0"), browser)
-        for url in partition.value:
-            yield fetch(url, self.options.get("method", "GET"), headers, float(self.options.get("timeout", "20000")) / 1000, int(self.options.get("redirects", str(REDIRECTS))))
+        return _fetched(self.options, partition.value)
+
+
+def _fetched(options: dict[str, str], urls: Iterable[str]) -> Iterator[tuple]:
+    headers = request_headers(options.get("user_agent", "linkloom/1.0"), options.get("browser", "false") == "true")
+    for url in urls:
+        yield fetch(url, options.get("method", "GET"), headers, float(options.get("timeout", "20000")) / 1000, int(options.get("redirects", str(REDIRECTS))))
+
+
+class _Frontier(DataSourceStreamReader):
+    """Levels of a frontier: an offset is the number of levels that are there whole, a partition one file of a level."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"level": 0}
+
+    def latestOffset(self) -> dict:
+        store, folder = at_store(self.options["frontier"])
+        n = 0
+        while store.get_file_info(f"{folder}/level={n}/_SUCCESS").type == fs.FileType.File:
+            n += 1
+        return {"level": n}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        store, folder = at_store(self.options["frontier"])
+        found = [f for level in range(start["level"], end["level"]) for f in store.get_file_info(fs.FileSelector(f"{folder}/level={level}"))]
+        names = sorted(f"{self.options['frontier'].rstrip('/')}/{'/'.join(f.path.split('/')[-2:])}" for f in found if f.size and not f.base_name.startswith(("_", ".")))
+        return [InputPartition(name) for name in names]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        store, path = at_store(partition.value)
+        with store.open_input_stream(path, compression=None) as f:
+            return _fetched(self.options, f.read().decode().split())
+
+
+def write_level(urls: DataFrame, frontier: str, level: int, size: int = 1000) -> None:
+    """A level of a frontier: files of at most so many urls (url), each the work of one task."""
+    urls.select("url").write.mode("overwrite").option("maxRecordsPerFile", size).text(f"{frontier.rstrip('/')}/level={level}")
 
 
 class FetchSource(DataSource):
@@ -84,6 +124,9 @@ class FetchSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Frontier(self.options)
+
 
 def retry_seconds(value: str | None, now: float) -> float:
     """Seconds of a Retry-After header: a finite number or an HTTP date, else 0."""

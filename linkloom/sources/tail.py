@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 BLOCK, TASK = 1 << 16, 1 << 25
 
 
-def _at(uri: str) -> tuple[fs.FileSystem, str]:
+def at_store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
@@ -31,13 +31,13 @@ class _Tail(DataSourceStreamReader):
         return {}
 
     def _sizes(self) -> dict[str, int]:
-        store, folder = _at(self.folder)
+        store, folder = at_store(self.folder)
         found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
         return {f.base_name: f.size for f in sorted(found, key=lambda f: f.base_name) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")) and fnmatch(f.base_name, self.pattern)}
 
     def _remembered(self) -> dict[str, int] | None:
         if self.given is None and self.memory:
-            store, path = _at(self.memory)
+            store, path = at_store(self.memory)
             if store.get_file_info(path).type == fs.FileType.File:
                 with store.open_input_file(path) as f:
                     self.given = json.loads(f.read())
@@ -45,7 +45,7 @@ class _Tail(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """Past the last whole line of each file, at most max_lines lines on. The rest of a file that a later one follows is a line, too."""
-        store, folder = _at(self.folder)
+        store, folder = at_store(self.folder)
         sizes, before, end = self._sizes(), self._remembered(), {}
         left = self.most
         for name, size in sizes.items():
@@ -62,7 +62,7 @@ class _Tail(DataSourceStreamReader):
             end[name] = stop
         self.given = end
         if self.memory:
-            store, path = _at(self.memory)
+            store, path = at_store(self.memory)
             with store.open_output_stream(path + ".new", compression=None) as f:
                 f.write(json.dumps(end).encode())
             store.move(path + ".new", path)
@@ -70,7 +70,7 @@ class _Tail(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.given = end
-        store, folder = _at(self.folder)
+        store, folder = at_store(self.folder)
         out = []
         for name, stop in end.items():
             at = start.get(name, 0)
@@ -87,7 +87,7 @@ class _Tail(DataSourceStreamReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         folder, name, at, stop = partition.value
-        store, path = _at(folder)
+        store, path = at_store(folder)
         with store.open_input_file(posixpath.join(path, name)) as f:
             f.seek(at)
             data = f.read(stop - at)

@@ -41,3 +41,25 @@ def test_patience(monkeypatch):
     patience = live.Patience(config, slept.append, lambda: 1445412480.0, lambda: 0.5)
     assert patience.fetch("a")[1] == 200 and slept == [2.0, 30.0]
     assert patience.fetch("b")[1] == 429 and slept[2:] == [10.0, 20.0] and patience.streak == 4
+
+
+def test_levels_are_fetched_once_over_a_restart(spark, tmp_path):
+    server, asked = HTTPServer(("127.0.0.1", 0), _Site), []
+    server.RequestHandlerClass = type("_Counted", (_Site,), {"do_GET": lambda self: (asked.append(self.path), _Site.do_GET(self))})
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(live.FetchSource)
+    try:
+        at, frontier = f"http://127.0.0.1:{server.server_port}", f"file://{tmp_path}/frontier"
+        for level, paths in enumerate((["/"], ["/a", "/b", "/none"], [])):
+            urls = spark.createDataFrame([(at + p,) for p in paths], "url string")
+            live.write_level(urls.coalesce(1), frontier, level, size=2)
+            query = spark.readStream.format("linkloom_fetch").option("frontier", frontier).load().writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").start(f"{tmp_path}/out")
+            query.processAllAvailable()
+            query.stop()
+        got = {(r.url.removeprefix(at), r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        assert got == {("/", 200), ("/a", 200), ("/b", 200), ("/none", 404)}
+        assert sorted(asked) == ["/", "/a", "/b", "/none"]
+        parts = live._Frontier({"frontier": frontier}).partitions({"level": 1}, {"level": 2})
+        assert len(parts) == 2
+    finally:
+        server.shutdown()
