@@ -8,7 +8,7 @@ greedy matching would have taken of its path, a number known beforehand, and fai
 what is left. So a word costs time in its length, and no piece is built.
 
 Null and empty texts have 0 words and 0 pieces; repeated rows and null ids pass through; other
-columns are ignored; texts are whole whatever their length. Counts of words met before are kept,
+columns are ignored; an empty table gives an empty result; texts are whole whatever their length. Counts of words met before are kept,
 up to ``WORDS`` of them.
 """
 

@@ -4,7 +4,7 @@ import re
 import tracemalloc
 from collections import Counter
 
-from linkloom.llm import html_text
+from linkloom.llm import html_text, warc
 
 
 def _texts(spark, bodies):
@@ -120,3 +120,55 @@ def test_classes_equal_those_of_whole_vectors(spark):
     counts = {t: [vectors[t].get(k, 0) for k in range(40)] for t in often}
     steady = {t for t, c in counts.items() if sum(n * n for n in c) / 40 - (sum(c) / 40) ** 2 <= html_text.STEADY and sum(n > 0 for n in c) >= 36}
     assert {m["token"] for m in row.members if m["steady"]} == steady
+
+
+def plain_slot(rows):
+    """The main slot by a walk over the tree of roles: go down while one child has most of the text, or half of it and the article."""
+    of = {r["role"]: r for r in rows}
+    if not of[0]["text"]:
+        return None, False, []
+    kids = lambda role: [r for r in rows if r["role"] and r["above"] == role]
+    holds = lambda role: bool(of[role]["kind"] & 1) or any(holds(k["role"]) for k in kids(role))
+    at = 0
+    while not of[at]["kind"] & 1:
+        best = None
+        for k in kids(at):
+            share = 0.5 if holds(k["role"]) else 0.75
+            if k["text"] >= share * of[at]["text"] and (best is None or (k["text"], -k["role"]) > (best["text"], -best["role"])):
+                best = k
+        if best is None:
+            break
+        at = best["role"]
+    if at and holds(at):
+        return at, bool(of[at]["kind"] & 1), []
+    beside = [k["role"] for k in kids(at) if k["kind"] & 2 and not holds(k["role"]) and k["pages"] >= 0.9 * of[0]["pages"] and (k["text"] < 0.1 * of[at]["text"] or k["link"] > k["text"])]
+    return at, False, beside
+
+
+def test_main_slot_equals_a_plain_walk():
+    dice = random.Random(8)
+    seen = set()
+    for _ in range(3000):
+        rows = [{"role": 0, "above": 0, "kind": 0, "text": dice.choice([0, 40, 1000, 1000, 1000]), "link": 0, "pages": 20}]
+        for role in range(1, dice.randrange(1, 9)):
+            above = dice.choice(rows)
+            text = int(above["text"] * dice.choice([0, 0.05, 0.5, 0.5, 0.75, 0.9, 1]))
+            rows.append({"role": role, "above": above["role"], "kind": dice.choice([0, 0, 2, 2, 1, 3]), "text": text, "link": dice.choice([0, 5, 2000]), "pages": dice.choice([1, 18, 20])})
+        dice.shuffle(rows)
+        got, want = html_text.main_slot(rows), plain_slot(rows)
+        assert (got[0], got[1], sorted(got[2])) == (want[0], want[1], sorted(want[2])), rows
+        seen.add((got[0] is None, bool(got[0]), got[1], bool(got[2])))
+    assert len(seen) >= 5
+
+
+def test_slots_of_equal_mass_keep_both(spark):
+    got = _texts(spark, [f"<div><p>left story {k:03d} is here</p></div><div><p>other story {k:03d} is here</p></div>" for k in range(9)])
+    assert got[4] == "left story 004 is here\n\nother story 004 is here"
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(k, "https://c.example/", f"<nav>menu</nav><article><p>story {k} of {k * k}</p></article>") for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = pages.selectExpr("*", *(f"'x' AS {c}" for c in ("host", "root", "members", "marks", "slot", "marked", "beside", "token", "first", "revisit", "digest")))
+    assert sorted(map(tuple, html_text.extract(clash).collect())) == sorted(map(tuple, html_text.extract(pages).collect()))
+    assert sorted(map(tuple, warc.archive_digests(clash).collect())) == sorted(map(tuple, warc.archive_digests(pages).collect()))
