@@ -47,12 +47,12 @@ def _keys(url: Column, lengths: Column) -> Column:
 
 
 def _literals(patterns: DataFrame, column: str) -> DataFrame:
-    """(regex, where, part): every literal part of the patterns with a wildcard, as head, tail or inner part; a pattern of wildcards alone has the empty inner part."""
+    """(regex, where, part, of): every literal part of the patterns with a wildcard, as head, tail or inner part, and how many its pattern has; a pattern of wildcards alone has the empty inner part."""
     parts, last = F.split(column, r"\*"), F.size(F.split(column, r"\*")) - 1
     placed = F.transform(parts, lambda x, i: F.struct(F.when(i == 0, "head").when(i == last, "tail").otherwise("inner").alias("where"), x.alias("part")))
     named = F.filter(placed, lambda x: x["part"] != "")
     none = F.array(F.struct(F.lit("inner").alias("where"), F.lit("").alias("part")))
-    return patterns.where(F.col(column).contains("*")).select(regex_column(F.col(column)).alias("regex"), F.explode(F.when(F.size(named) > 0, named).otherwise(none)).alias("x")).select("regex", "x.*").distinct()
+    return patterns.where(F.col(column).contains("*")).select(regex_column(F.col(column)).alias("regex"), F.size(named).alias("of"), F.explode(F.when(F.size(named) > 0, named).otherwise(none)).alias("x")).select("regex", "x.*", "of").distinct()
 
 
 def _looked_up(urls: DataFrame, literals: DataFrame) -> DataFrame:
@@ -62,11 +62,13 @@ def _looked_up(urls: DataFrame, literals: DataFrame) -> DataFrame:
 
 
 def rarest_literals(urls: DataFrame, literals: DataFrame) -> DataFrame:
-    """(regex, where, part, urls): of each pattern's literal parts the one that the fewest urls have. A part that no url has rules its pattern out."""
-    counts = _looked_up(urls, literals).join(literals.select("where", "part").distinct(), ["where", "part"], "left_semi").groupBy("where", "part").agg(F.count(F.lit(1)).alias("urls"))
-    counted = literals.join(counts, ["where", "part"], "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
+    """(regex, where, part, urls): of each pattern's literal parts the one that the fewest urls have, all urls counted. A part that no url has rules its pattern out. Patterns of one part have no choice, and null urls."""
+    some, one = literals.where("of > 1"), literals.where("of <= 1")
+    counts = _looked_up(urls, some).join(some.select("where", "part").distinct(), ["where", "part"], "left_semi").groupBy("where", "part").agg(F.count(F.lit(1)).alias("urls"))
+    counted = some.join(counts, ["where", "part"], "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
     first = F.min(F.struct("urls", (-F.length("part")).alias("_n"), "where", "part"))
-    return counted.groupBy("regex").agg(first.alias("x")).select("regex", "x.where", "x.part", "x.urls").where(F.col("urls") > 0)
+    chosen = counted.groupBy("regex").agg(first.alias("x")).select("regex", "x.where", "x.part", "x.urls").where(F.col("urls") > 0)
+    return chosen.unionByName(one.select("regex", "where", "part", F.lit(None).cast("long").alias("urls")))
 
 
 def split_by_table(flagged: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
