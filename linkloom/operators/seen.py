@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.sources.shared import new_path
+from linkloom.sources.shared import Tables, new_path
 
-#: Keys that are kept beside the store before there is one, and the share of the store's rows that may wait beside it.
-LEAST, SHARE = 1 << 20, 4
+#: Keys that are kept beside the store before there is one, the share of the store's rows that may wait beside it, and tables that wait at once.
+LEAST, SHARE, FEW = 1 << 20, 4, 16
 
 
 class Seen:
@@ -29,29 +30,27 @@ class Seen:
         """The rows whose keys have not been met; one row of a key at most is given and comes back."""
         if self.name:
             rows = rows.join(self.spark.table(self.name), self.key, "left_anti")
-        beside = [level for level, _ in self.waiting]
-        for level in beside[:1]:
-            for other in beside[1:]:
-                level = level.unionByName(other)
-            rows = rows.join(level, self.key, "left_anti")
-        return rows
+        return rows.join(self._beside(), self.key, "left_anti") if self.waiting else rows
+
+    def _beside(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (level for level, _ in self.waiting))
 
     def add(self, level: DataFrame, n: int) -> None:
-        """Note the keys of a written level of n rows."""
+        """Note the keys of a written level of n rows. Many small levels become one table, so that plans stay short however deep a walk goes."""
         self.waiting.append((level.select(*self.key), n))
-        if sum(n for _, n in self.waiting) >= max(self.least, self.stored // SHARE):
-            self._store()
+        total = sum(n for _, n in self.waiting)
+        if total >= max(self.least, self.stored // SHARE):
+            self._store(total)
+        elif len(self.waiting) > FEW:
+            self.waiting = [(Tables(self.spark).write(self._beside(), "seen-beside"), total)]
 
-    def _store(self) -> None:
-        all_ = self.waiting[0][0]
-        for other, _ in self.waiting[1:]:
-            all_ = all_.unionByName(other)
+    def _store(self, total: int) -> None:
         name = self.name or f"seen_{uuid.uuid4().hex}"
-        writer = all_.repartition(self.n, *self.key).write.mode("append" if self.name else "errorifexists").format("parquet").bucketBy(self.n, *self.key)
+        writer = self._beside().repartition(self.n, *self.key).write.mode("append" if self.name else "errorifexists").format("parquet").bucketBy(self.n, *self.key)
         if not self.name:
             writer = writer.option("path", new_path(self.spark, "seen"))
         writer.saveAsTable(name)
-        self.name, self.stored, self.waiting = name, self.stored + sum(n for _, n in self.waiting), []
+        self.name, self.stored, self.waiting = name, self.stored + total, []
 
     def close(self) -> None:
         """Forget the store's name; its files go with the session's other tables."""

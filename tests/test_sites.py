@@ -42,8 +42,9 @@ def test_limits_hold_for_each_key(spark):
     assert rows(got.where("site = 'u'"), "node", "rank") == [("1", 1)]
 
 
-@pytest.mark.parametrize("least", [1, 4])
-def test_seen_store_gives_the_same_walk(spark, monkeypatch, least):
+@pytest.mark.parametrize(("least", "few"), [(1, 16), (4, 16), (1 << 20, 1)])
+def test_seen_store_gives_the_same_walk(spark, monkeypatch, least, few):
+    monkeypatch.setattr(seen, "FEW", few)
     edges = spark.createDataFrame([(str(a), str((a * 7 + b * b) % 97), b) for a in range(97) for b in range(3)], "src string, dst string, pos long")
     start = spark.createDataFrame([("1",)], "node string")
     want = rows(graph.bfs(edges, start))
