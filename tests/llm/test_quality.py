@@ -87,7 +87,7 @@ def test_native_plan(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found, expected = queries.QUERIES[name](spark, SF), db.sql(queries.ORACLES[name])
     columns = sorted(found.columns)
