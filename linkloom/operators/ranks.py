@@ -24,7 +24,7 @@ def ranked(rows: DataFrame, order: list[str], column: str = "rank", by: list[str
     """
     by = by or []
     kinds = dict(rows.dtypes)
-    hashed = [c for c in rows.columns if not kinds[c].startswith("map") and c not in order]
+    hashed = [c for c in rows.columns if "map<" not in kinds[c] and "variant" not in kinds[c] and c not in order]
     tied = rows.withColumn("_tie", F.xxhash64(*hashed) if hashed else F.lit(0))
     keys = [*by, *order, "_tie"]
     dealt = tied.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()).drop("_tie")

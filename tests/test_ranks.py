@@ -58,3 +58,8 @@ def test_ties_nulls_and_nothing(spark):
     got = sorted((r.rank, r.k) for r in ranked(rows, ["k"]).collect())
     assert got == [(1, None), (2, 0), (3, 1), (4, 1), (5, 1)]
     assert ranked(rows.where("false"), ["k"]).columns == ["k", "v", "rank"] and ranked(rows.where("false"), ["k"]).count() == 0
+
+
+def test_columns_that_have_no_hash(spark):
+    rows = spark.createDataFrame([(k, {"a": k}, [{"b": k}]) for k in (3, 1, 2)], "k int, m map<string,int>, s array<map<string,int>>")
+    assert [(r.rank, r.k, r.m["a"]) for r in ranked(rows, ["k"]).orderBy("rank").collect()] == [(1, 1, 1), (2, 2, 2), (3, 3, 3)]
