@@ -54,12 +54,20 @@ def referrer_lists(edges: DataFrame) -> DataFrame:
 
 
 def referrer_chunks(edges: DataFrame, size: int = 1000) -> DataFrame:
-    """(target, chunk, chunks, found_on): the referrers in order of first sight, so many to a chunk. A famous target's are dealt over many tasks, and no aggregate holds more than a chunk."""
+    """(target, chunk, chunks, found_on): the referrers in order of first sight, so many to a chunk. A famous target's are ranked and dealt over many tasks, and no aggregate holds more than a chunk; lists of one chunk need no ranks."""
+    tables = Tables(edges.sparkSession)
+    counts = tables.write(edges.groupBy("target").agg(F.count(F.lit(1)).alias("_of")).where(F.col("_of") > size).select("target"), "famous")
+    sorted_ = lambda order: F.transform(F.sort_array(F.collect_list(F.struct(*order, "referrer"))), lambda x: x["referrer"]).alias("found_on")
+    zero, one = F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("chunks")
+    few = edges.join(counts, edges.target.eqNullSafe(counts.target), "left_anti").groupBy("target").agg(sorted_(["first_seen"])).select("target", zero, one, "found_on")
+    if counts.isEmpty():
+        return few
     chunk = F.floor((F.col("_rank") - 1) / size).cast("long").alias("chunk")
-    placed = Tables(edges.sparkSession).write(ranked(edges, ["first_seen", "referrer"], "_rank", ["target"]).select("target", "referrer", "_rank", chunk), "placed-referrers")
-    ordered = F.sort_array(F.collect_list(F.struct("_rank", "referrer")))
-    lists = placed.groupBy("target", "chunk").agg(F.transform(ordered, lambda x: x["referrer"]).alias("found_on"))
-    return lists.join(placed.groupBy("target").agg((F.max("chunk") + 1).alias("chunks")), "target").select("target", "chunk", "chunks", "found_on")
+    famous = edges.join(counts, edges.target.eqNullSafe(counts.target), "left_semi")
+    placed = tables.write(ranked(famous, ["first_seen", "referrer"], "_rank", ["target"]).select("target", "referrer", "_rank", chunk), "placed-referrers")
+    lists = placed.groupBy("target", "chunk").agg(sorted_(["_rank"]))
+    many = lists.join(placed.groupBy("target").agg((F.max("chunk") + 1).alias("chunks")), "target").select("target", "chunk", "chunks", "found_on")
+    return few.unionByName(many)
 
 
 def referrer_counts(edges: DataFrame) -> DataFrame:

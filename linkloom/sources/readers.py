@@ -63,7 +63,7 @@ def entities(saved: DataFrame) -> dict[str, DataFrame]:
 def start_host(saved: DataFrame) -> DataFrame:
     """(host): of the first page, else of the first error."""
     first = F.coalesce(F.get("internalPages.url", F.lit(0)), F.get("errors.url", F.lit(0)))
-    return saved.select(F.lower(F.regexp_extract(first, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"))
+    return saved.select(F.lower(F.regexp_extract(first, schemas.HOST, 1)).alias("host"))
 
 
 def site_reports(spark: SparkSession, index_path: str) -> tuple[DataFrame, DataFrame]:

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
-from linkloom.operators import triage
+from linkloom.operators import classify, triage
 from linkloom.plans.config import CrawlConfig
-from linkloom.sources import report_parts, shared, writers
+from linkloom.sources import readers, report_parts, shared, writers
 from linkloom.streaming import journal, progress
 from tests.conftest import rows
 
@@ -104,3 +104,43 @@ def test_report_parts_read_one_after_another_are_the_report(spark, tmp_path):
     assert list(json.loads("".join(parts))) == list(json.loads(want)) and sum(r["bytes"] for r in names) == sum(len(p.encode()) for p in parts)
     plan = report_parts.report_pieces(tables, config, "now", size=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Cartesian" not in plan  # chunks of bounded length are written before
+
+
+@pytest.mark.parametrize("size", [4, 1000])
+def test_report_parts_are_read_back_by_lines(spark, tmp_path, size):
+    """The tables of the parts equal those of the document read as one, with lists of referrers over several lines and texts like those between the lines."""
+    some = lambda k: f'https://s.example/"p{k}]}}"'
+    tables = {
+        "pages": spark.createDataFrame([(some(k), None if k % 5 == 0 else f"T\n{{{k}", 200, k % 3, k, 1) for k in range(40)], "url string, title string, status int, depth int, internal long, external long"),
+        "external": spark.createDataFrame([(f"https://o{k}.example/", f"o{k}.example", None) for k in range(9)], "url string, host string, status string"),
+        "out_of_scope": spark.createDataFrame([("https://s.example/out",)], "url string"),
+        "flagged": spark.createDataFrame([(some(k), "gone", "" if k % 4 else some(99), None if k % 2 else "external", "blocked" if k % 5 == 0 else "broken", k % 3 == 0) for k in range(20)], "url string, reason string, source string, kind string, disposition string, suppressed boolean"),
+        "refs": spark.createDataFrame([(f"https://o{k % 7}.example/", some(k), k) for k in range(30)] + [(some(3), f'r{k}{{"]}}', k) for k in range(25)] + [(some(6), ',"errors":[', 1)], "target string, referrer string, first_seen int"),
+    }
+    config = CrawlConfig(start_url="https://s.example/", max_pages=None)
+    folder = str(tmp_path / "parts")
+    report_parts.write_report(tables, config, "2024-01-01T00:00:00Z", folder, size=size)
+    got = report_parts.read_report(spark, folder)
+    writers.write_file(writers.report_json(tables, config, "2024-01-01T00:00:00Z"), str(tmp_path / "one.json"))
+    one = readers.report(spark, str(tmp_path / "one.json"))
+    want = readers.entities(one)
+    for name in ("pages", "external", "out_of_scope", "flagged"):
+        assert rows(got[name]) == rows(want[name]), name
+    assert rows(got["refs"], "target", "referrer") == rows(want["refs"], "target", "referrer")
+    assert rows(got["start_host"]) == rows(readers.start_host(one)) == [("s.example",)]
+    order = lambda refs: [r.referrer for r in refs.where(F.col("target") == some(3)).orderBy("first_seen").collect()]
+    assert order(got["refs"]) == order(want["refs"]) == [f'r{k}{{"]}}' for k in range(25)]
+
+
+def test_parts_of_the_smaller_document(spark, tmp_path):
+    pages = spark.createDataFrame([(f"u{k}", None if k == 2 else "t", 200, 0, 1, 0) for k in range(5)], "url string, title string, status int, depth int, internal long, external long")
+    external = spark.createDataFrame([(f"e{k}", "h") for k in range(4)], "url string, host string")
+    errors = spark.createDataFrame([("x", "r", "s"), ("y", None, "s")], "url string, reason string, source string")
+    refs = spark.createDataFrame([(f"e{k % 3}", f"u{k}", k) for k in range(30) if k % 3 or k < 4], "target string, referrer string, first_seen int")
+    folder = tmp_path / "browser"
+    report_parts.write_browser(pages, external, errors, refs, str(folder), size=4)
+    whole = json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+    assert whole == json.loads(writers.browser_json(pages, external, errors, classify.referrer_lists(refs)).first().value)
+    got = report_parts.read_browser(spark, str(folder))
+    assert rows(got["externals"]) == [("e0", "h", 2), ("e1", "h", 10), ("e2", "h", 10), ("e3", "h", 0)]
+    assert rows(got["pages"]) == rows(pages) and rows(got["errors"]) == rows(errors) and rows(got["refs"]) == rows(refs, "target", "referrer")
