@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import urls
 from linkloom.operators import allowlist, classify, measures
-from linkloom.operators.running import running_sum
+from linkloom.operators.running import next_value, running_sum
 from linkloom.plans.config import CrawlConfig, effective
 from linkloom.sources.shared import Tables
 
@@ -159,10 +159,10 @@ def _first_beyond(sized: DataFrame, width: int) -> DataFrame:
     bounds = sized.select(F.col("full").alias("at"), F.lit(1).alias("kind"), "line")
     both = ends.union(bounds).withColumn("bucket", F.floor(F.col("at") / width))
     end_line = F.when(F.col("kind") == 0, F.col("line"))
-    behind = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("to", F.first(end_line, ignorenulls=True).over(behind)).where("kind = 1")
+    behind = Window.partitionBy("bucket").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)  # from the end: a frame of following rows is gone through anew for each row
+    found = both.withColumn("to", F.last(end_line, ignorenulls=True).over(behind)).where("kind = 1")
     firsts = both.groupBy("bucket").agg(F.min(end_line).alias("first"))  # one row per bucket, of which a part has about one
-    after = firsts.select("bucket", F.first("first", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    after = next_value(firsts, "first", "after", "bucket").select("bucket", "after")
     return found.join(after, "bucket").select("line", F.coalesce("to", "after").alias("to")).where("to is not null")
 
 

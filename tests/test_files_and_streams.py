@@ -282,3 +282,24 @@ def test_live_crawl_and_controls(spark, tmp_path):
     assert control.tuned(CrawlConfig()).rps == 2
     (tmp_path / "pause").write_text("")
     assert control.wait() and control.exit_code() == 0
+
+
+def test_next_values_and_log_parts_over_spans(spark):
+    """The next value of a later place, within a span and beyond empty ones, and a log of lines longer than its parts against a loop."""
+    from linkloom.operators.running import next_value
+
+    table = spark.createDataFrame([(k, None if k % 7 else k * 10) for k in range(0, 200, 3)], "at long, v long")
+    want = [(k, next((j * 10 for j in range(0, 200, 3) if j > k and j % 7 == 0), None)) for k in range(0, 200, 3)]
+    assert rows(next_value(table, "v", "next", "at", 10), "at", "next") == sorted(want, key=repr)
+    lengths = [(k * 37) % 23 if k % 11 else 150 for k in range(400)]
+    part, size, expected = 1, 4, []
+    for k, n in enumerate(lengths):
+        if size + n + 1 > 40 and size > 4:
+            part, size = part + 1, 4
+        size += n + 1
+        expected.append((part, k))
+    lines = spark.createDataFrame([(k, "x" * n) for k, n in enumerate(lengths)], "line long, value string")
+    split = writers.split_log(lines, 40, 4)
+    assert sorted(tuple(r) for r in split.select("part", "line").collect()) == expected
+    framed = writers._first_beyond(lines.withColumns({"end": F.col("line"), "full": F.col("line")}), 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in framed.lower()  # a frame that Spark goes through anew for each row
