@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,18 +108,61 @@ def crawl(spark: SparkSession, responses: DataFrame, config: CrawlConfig) -> Cra
     return Crawl(**{name: table.drop("site") for name, table in vars(done).items()})
 
 
-def _extracted(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Responses by normalized key, all their links (in_doc: of a document), and the links of documents."""
+def _served(responses: DataFrame) -> DataFrame:
+    """Responses by normalized key, the first url's of each."""
     normal = responses.withColumn("key", urls.normalize(urls.canonical(F.col("url"))))
     served = classify.first_wins(normal, ["key"], ["url"])
     kind = F.coalesce(F.col("doc_type"), http.document_type(F.col("content_type"), urls.pathname("url")))
-    served = served.withColumns({"kind": kind, "too_large": extract.body_verdict(F.col("html"), F.col("doc"))})
-    usable = _usable()
+    return served.withColumns({"kind": kind, "too_large": extract.body_verdict(F.col("html"), F.col("doc"))})
+
+
+def _in_docs(served: DataFrame) -> DataFrame:
+    """The links of served documents."""
+    return extract.document_links(served.where(_usable() & F.col("html").isNull() & F.col("doc").isNotNull()), "key", "doc", "kind")
+
+
+def _links(served: DataFrame) -> DataFrame:
+    """All links of served pages and documents (in_doc: of a document)."""
     # links go out as the page's normalized key; relative hrefs are resolved on it, as on the requested url
-    web = extract.links(served.where(usable & F.col("html").isNotNull()), "key", "html").withColumn("in_doc", F.lit(False))
-    in_docs = extract.document_links(served.where(usable & F.col("html").isNull() & F.col("doc").isNotNull()), "key", "doc", "kind")
-    of_docs = in_docs.where(F.col("href").isNotNull()).select("page_url", "pos", F.col("href").alias("raw_href"), "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"), F.lit(True).alias("in_doc"))
-    return served, web.unionByName(of_docs), in_docs
+    web = extract.links(served.where(_usable() & F.col("html").isNotNull()), "key", "html").withColumn("in_doc", F.lit(False))
+    of_docs = _in_docs(served).where(F.col("href").isNotNull()).select("page_url", "pos", F.col("href").alias("raw_href"), "href", urls.protocol("href").alias("protocol"), urls.hostname("href").alias("host"), urls.pathname("href").alias("path"), F.lit(True).alias("in_doc"))
+    return web.unionByName(of_docs)
+
+
+#: Levels whose pages are looked up among all responses, and pages of a level that are; beyond either all pages' links are taken at once.
+LOOKUPS, LOOKED_UP = 4, 1 << 16
+
+
+class _Web:
+    """Links of the pages that a crawl reaches, each page's taken once, in written tables.
+
+    Few pages are looked up by a scan without a shuffle of bodies. A walk of more levels than ``LOOKUPS``, or with a level of more than
+    ``LOOKED_UP`` pages, takes the links of all pages left in one scan, so that scans stay few however deep or broad it is.
+    """
+
+    def __init__(self, tables: Tables, served: DataFrame):
+        self.tables, self.served = tables, served
+        self.asked: list[DataFrame] = []
+        self.found: list[DataFrame] = []
+        self.whole = False
+
+    def of(self, pages: DataFrame) -> DataFrame:
+        """The links of (page_url) pages, and of all before."""
+        if not self.whole:
+            known = reduce(DataFrame.unionByName, self.asked) if self.asked else None
+            asked = pages.select("page_url").distinct()
+            asked = self.tables.write(asked if known is None else asked.join(known, "page_url", "left_anti"), "asked")
+            n = asked.count()
+            if n == 0 and self.found:
+                return reduce(DataFrame.unionByName, self.found)
+            if len(self.asked) < LOOKUPS and n <= LOOKED_UP:
+                rest = self.served.join(F.broadcast(asked), F.col("key") == F.col("page_url"), "left_semi")
+                self.asked.append(asked)
+            else:
+                rest = self.served if known is None else self.served.join(known, F.col("key") == F.col("page_url"), "left_anti")
+                self.whole = True
+            self.found.append(self.tables.write(_links(rest), "web"))
+        return reduce(DataFrame.unionByName, self.found)
 
 
 def _usable() -> Column:
@@ -131,12 +175,12 @@ _SITE = "site int, start string, start_host string, prefix string, subdomains bo
 def crawl_sites(spark: SparkSession, responses: DataFrame, configs: list[CrawlConfig]) -> Crawl:
     """Independent crawls of several start urls over the same responses in one plan, with the depth, caps, scope and patience of each.
 
-    All tables have the site, its number among the configs. Links are extracted and written once; a level of all
-    sites is one join, and a link is classed for the sites that reach its page only.
+    All tables have the site, its number among the configs. Links are extracted and written once, of pages that are
+    reached (see _Web); a level of all sites is one join, and a link is classed for the sites that reach its page only.
     """
-    served, web, in_docs = _extracted(responses)
     tables = Tables(spark)
-    web = tables.write(web, "web")
+    served = tables.write(_served(responses), "served")
+    web, in_docs = _Web(tables, served), _in_docs(served)
     listed = [(k, c.start_url, urls_host(c.start_url), c.prefix(), c.include_subdomains, c.scan_docs, c.max_retries, c.max_depth, c.max_pages, c.url_cap()) for k, c in enumerate(configs)]
     sites = tables.write(spark.createDataFrame(listed, _SITE).coalesce(1), "sites")  # of known size, so that joins with few sites need no shuffle
     scope = sites.select("site", "start_host", "prefix", "subdomains", "scan_docs")
@@ -147,14 +191,17 @@ def crawl_sites(spark: SparkSession, responses: DataFrame, configs: list[CrawlCo
         return classify.classify(own, F.col("start_host"), F.col("prefix"), F.col("subdomains")).drop("start_host", "prefix", "subdomains", "scan_docs", "in_doc")
 
     def expand(level: DataFrame) -> DataFrame:
-        inner = classed(web.join(level.withColumnRenamed("src", "page_url"), "page_url")).where(F.col("link_class") == "internal")
+        going = tables.write(level.withColumnRenamed("src", "page_url"), "going")
+        inner = classed(web.of(going).join(going, "page_url")).where(F.col("link_class") == "internal")
         return inner.select("site", F.col("page_url").alias("src"), F.col("target").alias("dst"), F.col("pos").cast("long").alias("pos"), "_rank")
 
     first = sites.select("site", urls.normalize(urls.canonical(F.col("start"))).alias("node"))
     reached = bfs(expand, first, keys=["site"], limits=sites.select("site", "max_depth", "max_nodes"))
     bounds = sites.select("site", "max_pages", "max_retries", "scan_docs")
     order = reached.join(bounds, "site").where(F.col("max_pages").isNull() | (F.col("rank") <= F.col("max_pages"))).drop("max_pages")
-    visited = order.join(served, order.node == served.key, "left")
+    order = tables.write(order, "order")
+    met = served.join(order.select(F.col("node").alias("key")).distinct(), "key", "left_semi")  # a small order drops the other bodies before they are shuffled
+    visited = order.join(met, order.node == met.key, "left")
     said = F.coalesce("error", F.lit(""))
     throttled = F.col("status").isin(429, 503)
     state = F.when(F.col("key").isNull(), "broken").when(said != "", http.disposition(F.lit(0), F.col("error"))).when(F.col("too_large").isNotNull(), "broken").when(throttled, "broken").otherwise(http.disposition(F.col("status"), F.lit(None)))
@@ -169,7 +216,7 @@ def crawl_sites(spark: SparkSession, responses: DataFrame, configs: list[CrawlCo
     ok = named.where(F.col("disposition") == "ok")
     titled = ok.select("site", "url", "title", "status", "depth")
     done = ok.select("site", F.col("url").alias("page_url"), F.col("rank").alias("page_rank"))
-    seen_links = tables.write(classed(web.join(done, "page_url")), "links")
+    seen_links = tables.write(classed(web.of(done).join(done, "page_url")), "links")
     by = ["site"]
     return Crawl(
         pages=classify.page_counts(titled, seen_links, by),

@@ -66,3 +66,23 @@ def test_the_store_is_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         store.close()
+
+
+@pytest.mark.parametrize(("lookups", "most"), [(4, 1 << 16), (1, 1 << 16), (4, 2), (0, 0)])
+def test_links_are_taken_of_reached_pages_once(spark, monkeypatch, lookups, most):
+    """However pages are looked up, a deep walk gives the same, and few lookups read the pages that are reached only."""
+    monkeypatch.setattr(graph, "LOOKUPS", lookups)
+    monkeypatch.setattr(graph, "LOOKED_UP", most)
+    taken, links = [], graph._links
+    monkeypatch.setattr(graph, "_links", lambda served: taken.append(served.select("key")) or links(served))
+    page = lambda k, *to: (f"https://s.example/{k}", "".join(f'<a href="/{x}">x</a>' for x in to))
+    pages = [page("a", "c1", "c2"), page("c1", "c3", "a"), page("c2", "c3"), page("c3", "c4"), page("c4", "c5", "x"), page("c5", "c6"), page("c6", "c7"), page("c7", "none"), page("x"), *(page(f"apart{k}", "a") for k in range(20))]
+    done = graph.crawl_sites(spark, readers.corpus(spark.createDataFrame(pages, "url string, html string")), [CrawlConfig(start_url="https://s.example/a", max_pages=None, max_depth=None), CrawlConfig(start_url="https://s.example/c2", max_pages=3, max_depth=2)])
+    got = {(r.site, r.url.rsplit("/", 1)[1]): (r.depth, r.internal) for r in done.pages.collect()}
+    assert got == {(0, "a"): (0, 2), (0, "c1"): (1, 2), (0, "c2"): (1, 1), (0, "c3"): (2, 1), (0, "c4"): (3, 2), (0, "c5"): (4, 1), (0, "x"): (4, 0), (0, "c6"): (5, 1), (0, "c7"): (6, 1), (1, "c2"): (0, 1), (1, "c3"): (1, 1), (1, "c4"): (2, 2)}
+    assert rows(done.flagged.select("site", "url")) == [(0, "https://s.example/none")]
+    assert done.links.count() == 15
+    read = [r.key for keys in taken for r in keys.collect()]
+    assert len(read) == len(set(read))
+    if lookups == 4 and most > 2:
+        assert {r.key for keys in taken[:4] for r in keys.collect()} == {f"https://s.example/{k}" for k in ("a", "c1", "c2", "c3", "c4", "c5", "x")}
