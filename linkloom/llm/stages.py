@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, compression_quality, near_copies, soft_mixing
+from linkloom.llm import bpe, compression_quality, near_copies, simhash, soft_mixing
 from linkloom.llm import quality_rules as rules
+from linkloom.llm.components import connected_components
 from linkloom.llm.queries import BYTE_RANKS, TARGETS, labelled_domains
 from linkloom.llm.store import Tables
 
@@ -39,10 +40,23 @@ def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return rules.quality_rules(docs.withColumnsRenamed(safe)).where("kept").withColumnsRenamed({v: k for k, v in safe.items()}).select(*docs.columns)
 
 
+def _groups(spark: SparkSession, docs: DataFrame, tables: Tables) -> DataFrame:
+    """(id, component_id) of every row: what SimHash (3 bits or fewer) or near copies (Jaccard 0.8 or more), or both in turns, connect.
+
+    Both name a group by its least id, so pairs of names that a document has join their groups. Rows without an id join none.
+    """
+    prints = tables.write(simhash.near_duplicates(spark, docs).select("id", F.col("component_id").alias("print_group")), "print-groups")
+    near = tables.write(near_copies.near_copies(spark, docs), "near-groups")
+    both = near.join(prints, "id").where(F.col("component_id") != F.col("print_group"))
+    edges = tables.write(both.select(F.greatest("component_id", "print_group").alias("a"), F.least("component_id", "print_group").alias("b")).distinct(), "joined-groups")
+    roots = connected_components(tables, edges)
+    return near.join(roots, near.component_id == roots.node, "left").select("id", F.coalesce("root", "component_id").alias("component_id"))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document of least id, once."""
+    """Of each group that fingerprints of 3 differing bits at most or near copies (5-word shingles, Jaccard 0.8 or more) connect, the document of least id, once."""
     tables = Tables(spark)
-    groups = tables.write(near_copies.near_copies(spark, docs), "groups")
+    groups = tables.write(_groups(spark, docs, tables), "groups")
     copies = tables.write(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "copies")
     repeated = tables.write(groups.where("id = component_id").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id"), "repeated")
     kept = docs.join(copies, "doc_id", "left_anti")

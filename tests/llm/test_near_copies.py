@@ -79,3 +79,13 @@ def test_the_stage_drops_near_copies_of_the_test_documents(spark):
     least = dict(plain_groups([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]))
     kept = {r.doc_id for r in stages.keep_one_of_each_group(spark, docs, SF).select("doc_id").collect()}
     assert kept == {i for i, g in least.items() if i == g}
+
+
+def test_the_stage_joins_groups_of_fingerprints_and_of_near_copies(spark, monkeypatch):
+    """Documents that only SimHash links, and those that it connects with near copies, are one group."""
+    text = varied(1, 90, 1, 0)[0]
+    other, apart = varied(2, 90, 1, 0)[0], varied(3, 90, 1, 0)[0]
+    docs = spark.createDataFrame([(5, text), (7, other), (9, other + " x"), (11, apart), (2, "yet another text of its own kind")], "doc_id long, text string")
+    linked = {5: 5, 7: 5, 9: 9, 11: 9, 2: 2}
+    monkeypatch.setattr(stages.simhash, "near_duplicates", lambda spark, docs: spark.createDataFrame([(i, 0, g) for i, g in linked.items()], "id long, fp long, component_id long"))
+    assert sorted(r.doc_id for r in stages.keep_one_of_each_group(spark, docs, SF).collect()) == [2, 5]
