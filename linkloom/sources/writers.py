@@ -17,6 +17,7 @@ from linkloom.functions import urls
 from linkloom.operators import allowlist, classify, measures
 from linkloom.operators.running import next_value, running_sum
 from linkloom.plans.config import CrawlConfig, effective
+from linkloom.sources import exports
 from linkloom.sources.shared import Tables
 
 
@@ -201,9 +202,13 @@ def sidecar(path: str) -> str:
     return f"{stem}.recheck.{ext}" if dot and "/" not in ext else f"{path}.recheck"
 
 
-def bulk_export(data: DataFrame, groups: DataFrame, folder: str) -> None:
-    """One folder of JSON per export group: data (group, ...) joined with groups (group, file), partitioned by file."""
-    data.join(groups.select("group", "file"), "group").write.mode("overwrite").partitionBy("file").json(folder)
+def bulk_export(data: DataFrame, groups: DataFrame, folder: str, packed: bool = False) -> None:
+    """One folder of JSON per export group: data (group, ...) joined with groups (group, file), a folder for each file.
+
+    With many groups the folders are better packed into zip archives (of 10,000 files at most), which ``exports.read_archives`` reads.
+    """
+    rows = data.join(groups.select("group", "file"), "group")
+    exports.write_groups(rows.select("file", F.to_json(F.struct(*(c for c in rows.columns if c != "file"))).alias("value")), folder, packed)
 
 
 def site_names(sites: DataFrame, stem: str, ext: str) -> DataFrame:
