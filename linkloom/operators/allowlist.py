@@ -35,6 +35,10 @@ def split_active(flagged: DataFrame, patterns: list[str]) -> DataFrame:
 
 #: Regexes that one row of a lookup holds.
 _TOGETHER = 64
+#: Rows of pattern parts up to which each task gets all of them.
+_FEW = 10_000
+#: Tasks among which the urls of a part that most of them have are dealt for counting.
+_DEALT = 16
 
 
 def _keys(url: Column, lengths: Column) -> Column:
@@ -61,10 +65,20 @@ def _looked_up(urls: DataFrame, literals: DataFrame) -> DataFrame:
     return urls.crossJoin(lengths).select("url", F.explode(_keys(F.col("url"), F.col("_lengths"))).alias("x")).select("url", "x.*")
 
 
+def _to_build(parts: DataFrame, few: bool) -> DataFrame:
+    """The side of pattern parts in a join with places of urls, as a hash table: the places are some dozens for each url, and a sort of them takes memory for all of a task's, of one part for all urls."""
+    return F.broadcast(parts) if few else parts.hint("shuffle_hash")
+
+
 def rarest_literals(urls: DataFrame, literals: DataFrame) -> DataFrame:
     """(regex, where, part, urls): of each pattern's literal parts the one that the fewest urls have, all urls counted. A part that no url has rules its pattern out. Patterns of one part have no choice, and null urls."""
     some, one = literals.where("of > 1"), literals.where("of <= 1")
-    counts = _looked_up(urls, some).join(some.select("where", "part").distinct(), ["where", "part"], "left_semi").groupBy("where", "part").agg(F.count(F.lit(1)).alias("urls"))
+    parts, few = some.select("where", "part").distinct(), some.limit(_FEW + 1).count() <= _FEW
+    looked_up, keys = _looked_up(urls, some), ["where", "part"]
+    if not few:
+        looked_up, keys = looked_up.withColumn("_deal", F.pmod(F.xxhash64("url"), F.lit(_DEALT))), [*keys, "_deal"]
+        parts = parts.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_DEALT - 1).cast("long"))))
+    counts = looked_up.join(_to_build(parts, few), keys, "left_semi").groupBy("where", "part").agg(F.count(F.lit(1)).alias("urls"))
     counted = some.join(counts, ["where", "part"], "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
     first = F.min(F.struct("urls", (-F.length("part")).alias("_n"), "where", "part"))
     chosen = counted.groupBy("regex").agg(first.alias("x")).select("regex", "x.where", "x.part", "x.urls").where(F.col("urls") > 0)
@@ -90,7 +104,8 @@ def split_by_table(flagged: DataFrame, patterns: DataFrame, column: str = "patte
     listed = rarest.join(sizes, ["where", "part"]).groupBy("where", "part", F.pmod(F.xxhash64("regex"), "_lists").alias("_list"))
     lists = listed.agg(F.collect_list("regex").alias("_regexes"))
     hit = F.exists("_regexes", lambda r: F.rlike(F.col("url"), r))
-    hits = _looked_up(urls, rarest).join(lists, ["where", "part"]).where(hit).select("url").distinct()
+    few = rarest.limit(_FEW + 1).count() <= _FEW
+    hits = _looked_up(urls, rarest).join(_to_build(lists, few), ["where", "part"]).where(hit).select("url").distinct()
     return marked.join(hits.withColumn("_wild", F.lit(True)), "url", "left").withColumn("suppressed", F.col("suppressed") | F.col("_wild").isNotNull()).drop("_wild")
 
 
