@@ -11,8 +11,8 @@ and their number flattens. Tokens are emitted by walking back from prefix to pre
 end, and in long ones after ``AHEAD`` bytes up to the place that all live positions share.
 
 States and transitions are made when first met. When ``STATES`` are held, all are let go and made
-anew; so are remembered pieces beyond ``PIECES`` and tested pairs beyond ``PAIRS``. Each step is the
-same whatever is held. All of it takes about 150 MB in a worker. Ranks are below 2**20 - 1.
+anew; so are remembered pieces beyond ``PIECES`` or ``HELD`` bytes, tested pairs beyond ``PAIRS`` and
+met positions beyond ``MET``. Each step is the same whatever is held. Ranks are below 2**20 - 1.
 
 A piece that is itself a token is that token, as in the rank library. Null texts encode to no ids
 like empty ones; repeated rows and null ids pass through; other columns, whatever their names, are
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import worker
 
-STATES, PIECES, PAIRS, SMALL, AHEAD = 100_000, 250_000, 100_000, 32, 4096
+STATES, PIECES, HELD, PAIRS, MET, SMALL, AHEAD = 100_000, 250_000, 16 << 20, 100_000, 50_000, 32, 4096
 _BITS = 20
 _MASK = (1 << _BITS) - 1
 _CHUNK, _LONG = 1 << 16, 1 << 20
@@ -78,29 +78,28 @@ class Transducer:
                     nodes += 1
                 node = nxt
             ends[node] = rank
-        self.ends = [ends.get(node, -1) for node in range(nodes)]
-        self.kids: dict[int, list[int]] = {}
-        self.depth = [0] * nodes
+        self.ends = array("i", (ends.get(node, -1) for node in range(nodes)))
+        self.kid, self.next, self.depth, self.under = (array("i", bytes(4 * nodes)) for _ in range(4))  # kid: the first child, next: a node's next sibling (0: none)
         for key, node in self.child.items():  # parents come before their children
-            self.kids.setdefault(key >> 8, []).append(node)
-            self.depth[node] = self.depth[key >> 8] + 1
-        self.under = [0] * nodes  # tokens strictly below a node
-        for node in range(nodes - 1, -1, -1):
-            self.under[node] = sum(self.under[k] + (self.ends[k] >= 0) for k in self.kids.get(node, ()))
+            above = key >> 8
+            self.kid[above], self.next[node] = node, self.kid[above]
+            self.depth[node] = self.depth[above] + 1
+        for key, node in reversed(self.child.items()):  # under: tokens strictly below a node
+            self.under[key >> 8] += self.under[node] + (self.ends[node] >= 0)
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.spines: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.ids: dict[tuple[int, ...], int] = {}
-        self.states: list[tuple[int, ...]] = []
+        self.ids: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.moves: dict[int, int] = {}
         self.met: dict[int, int] = {}
         self.first: dict[int, int] = {}
-        self._state((_position(0, -1),))
+        self._state(_packed((_position(0, -1),)))
 
-    def _state(self, state: tuple[int, ...]) -> int:
+    def _state(self, state: bytes) -> int:
         at = self.ids.get(state)
         if at is None:
             at = self.ids[state] = len(self.states)
@@ -111,12 +110,13 @@ class Transducer:
         """((bytes, rank of the next merge), ...) up the left and the right edge of a token's merges; None if it isn't its own encoding."""
         if token not in self.spines:
             data = self.tokens[token]
+            own = (data, token)
             if len(data) == 1:
-                found = ((data, token),), ((data, token),)
+                found = (own,), (own,)
             else:
                 parts = merge_by_rank(data, self.ranks, below=token)
                 ways = [self.spine(self.ranks[p]) for p in parts] if len(parts) == 2 else [None]
-                found = None if None in ways else ((*ways[0][0], (data, token)), (*ways[1][1], (data, token)))
+                found = None if None in ways else ((*ways[0][0], own), (*ways[1][1], own))
             self.spines[token] = found
         return self.spines[token]
 
@@ -153,10 +153,12 @@ class Transducer:
                 j += 1
 
     def _below(self, node: int) -> Iterator[int]:
-        for kid in self.kids.get(node, ()):
+        kid = self.kid[node]
+        while kid:
             if self.ends[kid] >= 0:
                 yield self.ends[kid]
             yield from self._below(kid)
+            kid = self.next[kid]
 
     def _meet(self, node: int, left: int) -> int:
         """The position that stands for all with this node after which the same tokens fit; -1 if none does."""
@@ -167,12 +169,14 @@ class Transducer:
 
     def _move(self, at: int, byte: int) -> int:
         """The next state and the token that ends here, after a byte, as one integer."""
-        if len(self.states) >= STATES or len(self.met) >= 4 * STATES:
+        if len(self.met) >= MET:
+            self.met.clear()
+        if len(self.states) >= STATES:
             live = self.states[at]
             self._clear()
             at = self._state(live)
         here, after = -1, []
-        for position in self.states[at]:
+        for position in array("q", self.states[at]):
             node, left = self.child.get((position >> _BITS) << 8 | byte), (position & _MASK) - 1
             if node is None:
                 continue
@@ -188,7 +192,7 @@ class Transducer:
                     now = met
                 if now >= 0:
                     after.append(now)
-        move = self.moves[at << 8 | byte] = self._state((*after, _position(0, here))) << _BITS | here
+        move = self.moves[at << 8 | byte] = self._state(_packed((*after, _position(0, here)))) << _BITS | here
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -205,7 +209,7 @@ class Transducer:
             at = move >> _BITS
             last.append(move & _MASK)
             if len(last) == look:
-                last = last[self._emit(last, {len(last) - self.depth[p >> _BITS] for p in self.states[at]}, out) :]
+                last = last[self._emit(last, {len(last) - self.depth[p >> _BITS] for p in array("q", self.states[at])}, out) :]
                 look = len(last) + AHEAD
         self._emit(last, {len(last)}, out)
         return out
@@ -231,22 +235,31 @@ def _position(node: int, left: int) -> int:
     return node << _BITS | left + 1
 
 
+def _packed(positions: tuple[int, ...]) -> bytes:
+    """Positions in a row of 64-bit integers, which takes a third of a tuple's memory."""
+    return array("q", positions).tobytes()
+
+
 class Encoder(dict):
     """Piece to its ids as packed little-endian 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.machine, self.split = Transducer(ranks), regex.compile(pattern)
-        self.tokens = self.machine.tokens
+        self.tokens, self.held = self.machine.tokens, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = array("I", self.machine.encode(piece.encode()))
         if sys.byteorder == "big":
             ids.byteswap()
         packed = ids.tobytes()
-        if len(self) >= PIECES:
+        size = sys.getsizeof(piece) + sys.getsizeof(packed)
+        if len(self) >= PIECES or self.held + size > HELD:
             self.clear()
-        self[piece] = packed
+            self.held = 0
+        if size <= HELD:
+            self[piece] = packed
+            self.held += size
         return packed
 
     def encode(self, text: str) -> bytes:

@@ -3,10 +3,17 @@
 Rows without an id stay in the near-duplicate stage, as no group can name them. Columns of the documents
 come through the filtering stages as they are, also where they are named like those that operators add;
 the last stage returns its own columns only. All other defined cases are those of the operators.
+
+Rows go to Python workers in batches of about ``BATCH`` bytes, unless the session names a size of its own: by
+Spark's default a batch is 10,000 texts or 64 MB, held by the JVM and the worker at once beside its heap and
+the workers' stores. The setting stays in the session, as what a stage returns runs later.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +24,21 @@ from linkloom.llm.components import connected_components
 from linkloom.llm.queries import BYTE_RANKS, TARGETS, labelled_domains
 from linkloom.llm.store import Tables
 
+BATCH = "2m"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, in a session whose batches for Python are bounded by bytes."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(_BATCH_BYTES, None) is None:
+            spark.conf.set(_BATCH_BYTES, BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def _free(name: str, docs: DataFrame, others: tuple[str, ...] = ()) -> str:
     """The name, with as many underscores before it as no column or other name has."""
@@ -26,6 +48,7 @@ def _free(name: str, docs: DataFrame, others: tuple[str, ...] = ()) -> str:
     return name
 
 
+@_in_small_batches
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores at 0.5 or more."""
     model = compression_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -33,6 +56,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return compression_quality.with_scores(docs, model, score_col=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
+@_in_small_batches
 def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the adaptive rules."""
     own = [c for c in docs.columns if c in rules.ADDED]
@@ -53,6 +77,7 @@ def _groups(spark: SparkSession, docs: DataFrame, tables: Tables) -> DataFrame:
     return near.join(roots, near.component_id == roots.node, "left").select("id", F.coalesce("root", "component_id").alias("component_id"))
 
 
+@_in_small_batches
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that fingerprints of 3 differing bits at most or near copies (5-word shingles, Jaccard 0.8 or more) connect, the document of least id, once."""
     tables = Tables(spark)
@@ -65,6 +90,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(*docs.columns)
 
 
+@_in_small_batches
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say."""
     own = [c for c in docs.columns if c in soft_mixing.ADDED]
@@ -73,6 +99,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixed.drop(copy, *soft_mixing.ADDED).withColumnsRenamed({v: k for k, v in safe.items()}).select(*docs.columns)
 
 
+@_in_small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, packed, with digests of them and of the text they decode to."""
     return bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN, with_ids=True).withColumnRenamed("id", "doc_id")

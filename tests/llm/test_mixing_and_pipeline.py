@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,23 @@ def test_one_of_each_group_stays(spark, documents):
     assert got.count(1) == 1 and got.count(2) == 0 and got.count(4) == 1 and got.count(None) == 1
 
 
+def test_stages_pass_bounded_batches_to_workers(spark, documents):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    large = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("text "), 10_000).alias("text"))
+    stages.encode(spark, documents, "")
+    assert max(r.n for r in large.mapInArrow(sizes, "n long").collect()) < 4 << 20
+    spark.conf.set(key, "8m")
+    stages.encode(spark, documents, "")
+    assert spark.conf.get(key) == "8m"
+    spark.conf.unset(key)
+
+
 def test_empty_corpus(spark, none):
     docs = none
     for _, stage in corpus_pipeline.STAGES:

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import sys
 import zlib
 
 import numpy as np
@@ -62,6 +63,15 @@ def test_full_stores_change_nothing(monkeypatch, documents):
     assert all(np.frombuffer(own.encode(t), "<u4").tolist() == LIBRARY.encode_ordinary(t) for t in texts)
 
 
+def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "HELD", 20_000, raising=False)
+    own = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    for n in range(300):
+        text = f"{'abcdefghij'[n % 10] * (50 + n)} and {'=' * 20_000 if n == 99 else n}"
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == LIBRARY.encode_ordinary(text)
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in own.items()) <= 20_000
+
+
 def test_long_pieces_and_long_texts(monkeypatch):
     for text in ("a" * 5000, "the" * 3000, "=" * 4000, " " * 4000 + "x"):
         assert coded(text) == LIBRARY.encode_ordinary(text)
